@@ -1,13 +1,10 @@
-"""Posting dates from ISO attributes and from phrases such as '3 days ago'.
-
-The functions add a column in a few projections, so every regex runs once per row instead of once per use.
-"""
+"""Posting dates from ISO attributes and from phrases such as '3 days ago'."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
-from jobtide.functions.text import spaced, strip_space
+from jobtide.functions.text import as_column, bound, spaced, strip_space
 from jobtide.schemas import instant
 
 # Month names in calendar order.
@@ -30,16 +27,18 @@ _ISO = (
 _ISO_PARTS = "$1-$3-$4|$5|$7|$8|$9|$10$11|$12"
 
 
-def parse_iso(df: DataFrame, source: str, out: str) -> DataFrame:
-    """Add ``out``: the instant of an ISO date or date-time with optional zone, null for anything else."""
-    part = lambda i: F.col("_iso").getItem(i)
-    two = lambda i: F.rpad(part(i), 2, "0")
-    zone = F.when(part(5).isin("", "Z"), part(5)).otherwise(F.concat(part(5), F.lit(":"), two(6)))
-    stamp = F.concat(
-        part(0), F.lit("T"), F.concat_ws(":", two(1), two(2), two(3)), F.lit("."), F.rpad(F.substring(part(4), 1, 6), 6, "0"), zone
-    )
-    parts = F.when(F.col(source).rlike(_ISO), F.split(F.regexp_replace(source, _ISO, _ISO_PARTS), r"\|"))
-    return df.withColumn("_iso", parts).withColumn(out, stamp.try_cast("timestamp")).drop("_iso")
+def parse_iso(value) -> Column:
+    """Instant of an ISO date or date-time with optional zone; null for anything else."""
+    text = as_column(value)
+
+    def stamp(parts: Column) -> Column:
+        two = lambda i: F.rpad(parts[i], 2, "0")
+        zone = F.when(parts[5].isin("", "Z"), parts[5]).otherwise(F.concat(parts[5], F.lit(":"), two(6)))
+        fraction = F.rpad(F.substring(parts[4], 1, 6), 6, "0")
+        return F.concat(parts[0], F.lit("T"), F.concat_ws(":", two(1), two(2), two(3)), F.lit("."), fraction, zone)
+
+    parts = F.split(F.regexp_replace(text, _ISO, _ISO_PARTS), r"\|")
+    return F.when(text.rlike(_ISO), bound(parts, stamp).try_cast("timestamp"))
 
 
 def _age_in_hours(text: Column) -> Column:
@@ -67,22 +66,21 @@ def _calendar_date(phrase: Column, as_of: Column) -> Column:
     return F.try_to_timestamp(dated, F.lit("yyyy-M-d"))
 
 
-def parse_date_text(df: DataFrame, source: str, as_of, out: str) -> DataFrame:
-    """Add ``out``: the instant named by free text relative to ``as_of``, or null."""
+def parse_date_text(value, as_of) -> Column:
+    """Instant named by free text relative to ``as_of``, or null."""
     now = instant(as_of)
-    age, text, phrase = F.col("_age"), F.col("_text"), F.col("_phrase")
-    whole_hours = F.when(age < _OLDEST_HOURS, age).cast("int")
-    moment = F.when(age.isNotNull(), now - F.make_dt_interval(F.lit(0), whole_hours)).otherwise(_calendar_date(phrase, now))
-    return (
-        df.withColumn("_text", F.lower(strip_space(source)))
-        .withColumn("_age", _age_in_hours(text))
-        .withColumn("_phrase", strip_space(F.regexp_extract(text, spaced(r"posted\s+([^\n]+)"), 1)))
-        .withColumn(out, moment)
-        .drop("_text", "_age", "_phrase")
-    )
+
+    def ago(hours: Column) -> Column:
+        return now - F.make_dt_interval(F.lit(0), F.when(hours < _OLDEST_HOURS, hours).cast("int"))
+
+    def read(text: Column) -> Column:
+        phrase = strip_space(F.regexp_extract(text, spaced(r"posted\s+([^\n]+)"), 1))
+        told = bound(phrase, lambda p: _calendar_date(p, now))
+        return bound(_age_in_hours(text), lambda hours: F.when(hours.isNotNull(), ago(hours)).otherwise(told))
+
+    return bound(F.lower(strip_space(value)), read)
 
 
-def parse_posted(df: DataFrame, attribute: str, text: str, as_of, out: str = "date_posted") -> DataFrame:
-    """Add ``out``: machine-readable attribute first, free text second."""
-    both = parse_date_text(parse_iso(df, attribute, "_exact"), text, as_of, "_told")
-    return both.withColumn(out, F.coalesce("_exact", "_told")).drop("_exact", "_told")
+def parse_posted(attribute, text, as_of) -> Column:
+    """Machine-readable attribute first, free text second."""
+    return F.coalesce(parse_iso(attribute), parse_date_text(text, as_of))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from jobtide.functions import phrases as P
-from jobtide.functions.text import as_column, spaced, strip_space
+from jobtide.functions.text import as_column, bound, spaced, strip_space
 
 VERDICT_TYPE = "struct<status:string,confidence:double,method:string,reason:string>"
 
@@ -35,17 +35,8 @@ def _hits(tests) -> Column:
     return total
 
 
-def explicit_hits(lowered: Column) -> Column:
-    return _hits(lowered.rlike(spaced(p)) for p in P.EXPLICIT_CLOSED_PATTERNS)
-
-
-def phrase_hits(lowered: Column, open_side: bool) -> Column:
-    """Phrases found; on the closed side only those that matter once no explicit pattern was found."""
-    return _hits(lowered.contains(p) for p in (P.OPEN_PHRASES if open_side else _UNDECIDED_CLOSED))
-
-
-def keyword_verdict(explicit: Column, closed: Column, opened: Column) -> Column:
-    """Verdict from the three counts; explicit patterns win, then the larger side."""
+def keyword_status(value) -> Column:
+    """Verdict from phrases: any explicit pattern means closed, else the side with more phrases wins."""
 
     def found(n, kind):
         return F.concat(F.lit("Found "), n.cast("string"), F.lit(f" {kind} indicators"))
@@ -53,12 +44,25 @@ def keyword_verdict(explicit: Column, closed: Column, opened: Column) -> Column:
     def sure(n, step, top):
         return F.least(F.lit(0.5) + n * F.lit(step), F.lit(top))
 
-    return (
-        F.when(explicit > 0, verdict("closed", sure(explicit, 0.2, 0.95), P.KEYWORD_METHOD, found(explicit, "explicit closed")))
-        .when(closed > opened, verdict("closed", sure(closed - opened, 0.1, 0.9), P.KEYWORD_METHOD, found(closed, "closed")))
-        .when(opened > closed, verdict("open", sure(opened - closed, 0.1, 0.9), P.KEYWORD_METHOD, found(opened, "open")))
-        .otherwise(verdict("unknown", 0.3, P.KEYWORD_METHOD, P.REASON_NONE))
-    )
+    def by_phrases(closed: Column, opened: Column) -> Column:
+        return (
+            F.when(closed > opened, verdict("closed", sure(closed - opened, 0.1, 0.9), P.KEYWORD_METHOD, found(closed, "closed")))
+            .when(opened > closed, verdict("open", sure(opened - closed, 0.1, 0.9), P.KEYWORD_METHOD, found(opened, "open")))
+            .otherwise(verdict("unknown", 0.3, P.KEYWORD_METHOD, P.REASON_NONE))
+        )
+
+    def judge(text: Column) -> Column:
+        explicit = _hits(text.rlike(spaced(p)) for p in P.EXPLICIT_CLOSED_PATTERNS)
+        closed = _hits(text.contains(p) for p in _UNDECIDED_CLOSED)
+        opened = _hits(text.contains(p) for p in P.OPEN_PHRASES)
+        # phrases are only counted where no explicit pattern decides
+        counted = bound(closed, lambda c: bound(opened, lambda o: by_phrases(c, o)))
+        return bound(
+            explicit,
+            lambda e: F.when(e > 0, verdict("closed", sure(e, 0.2, 0.95), P.KEYWORD_METHOD, found(e, "explicit closed"))).otherwise(counted),
+        )
+
+    return bound(F.lower(F.coalesce(as_column(value), F.lit(""))), judge)
 
 
 def text_gate(value) -> Column:
@@ -70,15 +74,18 @@ def text_gate(value) -> Column:
 
 def parse_response(value, method) -> Column:
     """Verdict from the answer of a model; a null answer has no verdict."""
-    answer = F.lower(strip_space(value))
-    has = answer.contains
-    closed = has("closed") & ~has("open") & ~has("not closed") & ~has("isn't closed")
-    return (
-        F.when(answer.isNull(), F.lit(None).cast(VERDICT_TYPE))
-        .when(closed, verdict("closed", 0.85, method))
-        .when(has("open"), verdict("open", 0.85, method))
-        .otherwise(verdict("unknown", 0.0, P.PARSE_FAILED_METHOD))
-    )
+
+    def read(answer: Column) -> Column:
+        has = answer.contains
+        closed = has("closed") & ~has("open") & ~has("not closed") & ~has("isn't closed")
+        return (
+            F.when(answer.isNull(), F.lit(None).cast(VERDICT_TYPE))
+            .when(closed, verdict("closed", 0.85, method))
+            .when(has("open"), verdict("open", 0.85, method))
+            .otherwise(verdict("unknown", 0.0, P.PARSE_FAILED_METHOD))
+        )
+
+    return bound(F.lower(strip_space(value)), read)
 
 
 def build_prompt(value) -> Column:

@@ -11,6 +11,15 @@ def as_column(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once per row.
+
+    Without it the optimizer may copy a costly expression to each place that uses it, above all when a filter
+    is pushed down.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def spaced(pattern: str) -> str:
     r"""Widen every ``\s`` of a pattern to all Unicode white space."""
     return pattern.replace(r"\s", SPACE)

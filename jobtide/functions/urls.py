@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
+
+from jobtide.functions.text import as_column, bound
 
 # scheme, authority, path, query, fragment (RFC 3986, appendix B)
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -29,45 +31,39 @@ def _squeeze_path(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.concat(walked, open_end), "/"))
 
 
-def resolve_url(df: DataFrame, href: str, base: str, out: str) -> DataFrame:
-    """Add ``out``: ``href`` as seen from ``base``. http(s) links and foreign schemes are left alone.
-
-    The pieces of both addresses are projected first, so each is taken apart once.
-    """
-    raw, link, mine, theirs = F.col(href), F.col("_link"), F.col("_mine"), F.col("_theirs")
-    scheme, host, path, query, fragment = [mine.getItem(i) for i in range(5)]
-    base_scheme, base_host, base_path, base_query, _ = [theirs.getItem(i) for i in range(5)]
-
+def _join(raw: Column, link: Column, mine: Column, theirs: Column) -> Column:
+    scheme, host, path, query, fragment = [mine[i] for i in range(5)]
+    base_scheme, base_host, base_path, base_query = [theirs[i] for i in range(4)]
     bare = (path == "") & (host == "")
-    # A path that holds a dot segment or an empty one needs the walk; the usual one does not.
-    odd = F.col("_path").rlike(r"//|/\.{1,2}(/|$)")
     joined = (
         F.when(host != "", path)
         .when(bare, base_path)
         .when(path.startswith("/"), path)
         .otherwise(F.concat(F.regexp_replace(base_path, "[^/]*$", ""), path))
     )
-    rooted = F.when((joined != "") & ~joined.startswith("/"), F.concat(F.lit("/"), joined)).otherwise(joined)
-    settled = F.when((host != "") | bare | ~odd, F.col("_path")).otherwise(_squeeze_path(F.col("_path")))
+
+    def settle(p: Column) -> Column:
+        rooted = F.when((p != "") & ~p.startswith("/"), F.concat(F.lit("/"), p)).otherwise(p)
+        # Only a path with a dot segment or an empty one needs the walk.
+        odd = p.rlike(r"//|(^|/)\.{1,2}(/|$)")
+        return F.when((host != "") | bare | ~odd, rooted).otherwise(_squeeze_path(rooted))
+
     new_query = F.when(bare & (query == ""), base_query).otherwise(query)
     absolute = F.concat(
         F.lower(base_scheme),
         F.lit("://"),
         F.when(host != "", host).otherwise(base_host),
-        settled,
+        bound(joined, settle),
         F.when(new_query != "", F.concat(F.lit("?"), new_query)).otherwise(""),
         F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
     )
-    result = (
-        F.when(raw.isNull() | raw.rlike("^https?://") | (raw == ""), raw)
-        .when((scheme != "") & (F.lower(scheme) != F.lower(base_scheme)), link)
-        .otherwise(absolute)
-    )
-    trimmed = F.regexp_replace(F.regexp_replace(raw, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-    return (
-        df.withColumn("_link", trimmed)
-        .withColumns({"_mine": _split(link), "_theirs": _split(F.col(base))})
-        .withColumn("_path", rooted)
-        .withColumn(out, result)
-        .drop("_link", "_mine", "_theirs", "_path")
-    )
+    foreign = (scheme != "") & (F.lower(scheme) != F.lower(base_scheme))
+    return F.when(foreign, link).otherwise(absolute)
+
+
+def resolve_url(href, base) -> Column:
+    """Absolute form of ``href`` seen from ``base``; http(s) links and foreign schemes are left alone."""
+    raw, origin = as_column(href), as_column(base)
+    link = F.regexp_replace(F.regexp_replace(raw, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    resolved = bound(link, lambda k: bound(_split(k), lambda mine: bound(_split(origin), lambda theirs: _join(raw, k, mine, theirs))))
+    return F.when(raw.isNull() | (raw == "") | raw.rlike("^https?://"), raw).otherwise(resolved)

@@ -5,45 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from jobtide.functions import phrases as P
-from jobtide.functions.status import (
-    VERDICT_TYPE,
-    build_prompt,
-    explicit_hits,
-    keyword_verdict,
-    parse_response,
-    phrase_hits,
-    text_gate,
-)
+from jobtide.functions.status import VERDICT_TYPE, build_prompt, keyword_status, parse_response, text_gate
 
 SURE = 0.8
 
 
-def keyword_status(texts: DataFrame, text: str = "text", out: str = "keyword") -> DataFrame:
-    """Add the keyword verdict. Lower-casing and counting are projected once, not per test;
-    phrases are only counted where no explicit pattern already decides."""
-    quiet = F.col("_explicit") == 0
-    return (
-        texts.withColumn("_lower", F.lower(F.coalesce(F.col(text), F.lit(""))))
-        .withColumn("_explicit", explicit_hits(F.col("_lower")))
-        .withColumn("_closed", F.when(quiet, phrase_hits(F.col("_lower"), False)).otherwise(0))
-        .withColumn("_open", F.when(quiet, phrase_hits(F.col("_lower"), True)).otherwise(0))
-        .withColumn(out, keyword_verdict(F.col("_explicit"), F.col("_closed"), F.col("_open")))
-        .drop("_lower", "_explicit", "_closed", "_open")
-    )
-
-
-def _local_verdicts(texts: DataFrame) -> DataFrame:
-    """Per text what can be said without a model: ``final`` where that settles it, else ``keyword`` as last resort."""
-    gate = F.when(F.col("gate").isNotNull(), F.col("gate"))
-    sure = F.when(F.col("keyword.confidence") > F.lit(SURE), F.col("keyword"))
-    judged = keyword_status(texts.withColumn("gate", text_gate("text")))
-    return judged.withColumn("final", F.coalesce(gate, sure)).drop("gate")
-
-
 def build_prompts(texts: DataFrame) -> DataFrame:
-    """Prompts for the texts that need a model, ready for a batch inference job."""
-    open_ended = _local_verdicts(texts).filter(F.col("final").isNull())
-    return open_ended.select("posting_id", build_prompt("text").alias("prompt"))
+    """Prompts for the texts that need a model, ready for a batch inference job: those long enough to judge
+    that keywords do not already settle."""
+    unsettled = text_gate("text").isNull() & (keyword_status("text")["confidence"] <= F.lit(SURE))
+    return texts.filter(unsettled).select("posting_id", build_prompt("text").alias("prompt"))
 
 
 def _answers(responses: DataFrame) -> DataFrame:
@@ -89,10 +60,12 @@ def classify(texts: DataFrame, responses: DataFrame | None = None) -> DataFrame:
 
     Texts are reduced to verdicts before the join, so no text is shuffled.
     """
-    local = _local_verdicts(texts).select("posting_id", "final", "keyword")
+    gate, keyword = F.col("gate"), F.col("keyword")
+    sure = F.when(keyword["confidence"] > F.lit(SURE), keyword)
+    local = texts.select("posting_id", text_gate("text").alias("gate"), keyword_status("text").alias("keyword"))
     if responses is None:
-        pick = F.coalesce("final", "keyword")
+        pick = F.coalesce(gate, keyword)
     else:
         local = local.join(_answers(responses), "posting_id", "left")
-        pick = F.coalesce("final", "v1", "v2", "keyword")
+        pick = F.coalesce(gate, sure, F.col("v1"), F.col("v2"), keyword)
     return local.select("posting_id", pick.cast(VERDICT_TYPE).alias("verdict")).select("posting_id", "verdict.*")

@@ -80,16 +80,13 @@ def listing_fields(elements: DataFrame, as_of) -> DataFrame:
         F.nullif(_text_or_self("heading_text"), F.lit("")),
         F.lit(P.UNTITLED),
     )
-    found = elements.filter(F.col("source") != "jsonld")
-    found = resolve_url(found, "href", "base_url", "job_url")
-    found = parse_posted(found, "date_attribute", "date_text", as_of)
     preview = F.substring(_text_or_self("description_text"), 1, P.PREVIEW_LENGTH)
-    return found.select(
+    return elements.filter(F.col("source") != "jsonld").select(
         *_POSITION,
         title.alias("job_title"),
-        F.coalesce("job_url", F.lit("")).alias("job_url"),
+        F.coalesce(resolve_url("href", "base_url"), F.lit("")).alias("job_url"),
         F.nullif(_text_or_self("location_text"), F.lit("")).alias("location"),
-        "date_posted",
+        parse_posted("date_attribute", "date_text", as_of).alias("date_posted"),
         F.nullif(preview, F.lit("")).alias("description_preview"),
         F.lit(None).cast("string").alias("raw_data"),
     )
@@ -112,17 +109,13 @@ def jsonld_jobs(elements: DataFrame) -> DataFrame:
         return F.try_variant_get("job", path, "string")
 
     posted = F.try_variant_get("job", "$.datePosted", "variant")
-    listed = (
-        parsed.withColumn("job", job)
-        .filter(F.col("job").isNotNull())
-        .withColumn("posted", F.when(F.schema_of_variant(posted) == "STRING", text("$.datePosted")))
-    )
-    return parse_iso(listed, "posted", "date_posted").select(
+    posted = F.when(F.schema_of_variant(posted) == "STRING", text("$.datePosted"))
+    return parsed.withColumn("job", job).filter(F.col("job").isNotNull()).select(
         *_POSITION,
         F.coalesce(text("$.title"), F.lit("")).alias("job_title"),
         F.coalesce(F.nullif(text("$.url"), F.lit("")), text("$.identifier.value"), F.lit("")).alias("job_url"),
         F.coalesce(text("$.jobLocation.address.addressLocality"), F.lit("")).alias("location"),
-        "date_posted",
+        parse_iso(posted).alias("date_posted"),
         F.nullif(F.substring(text("$.description"), 1, P.PREVIEW_LENGTH), F.lit("")).alias("description_preview"),
         F.to_json("job").alias("raw_data"),
     )

@@ -36,17 +36,12 @@ def _empty(column: Column) -> Column:
     return column.isNull() | (column == "")
 
 
-def upsert_jobs(jobs: DataFrame, listings: DataFrame, as_of) -> Upsert:
-    """Merge crawled listings into jobs, matching on URL across all companies.
+def match_listings(jobs: DataFrame, listings: DataFrame) -> DataFrame:
+    """One row per listed URL with what its listings say and how many jobs hold it (``holders``, null for none).
 
-    A new URL becomes a job of the lowest company that lists it, with status unknown. A known job takes the
-    title of the last company that lists it, and a location only while it has none. Jobs that are no longer
-    listed stay as they are. URLs that several jobs share cannot be matched and come back as errors.
-
-    Both sides are first reduced to one row per URL by aggregates that combine before the shuffle, and jobs
-    are then joined on their own key, so a URL repeated millions of times never meets in one task.
+    Both sides are reduced per URL by aggregates that combine before the shuffle, so a URL repeated millions of
+    times never meets in one task.
     """
-    now = instant(as_of)
     order = F.struct("company_id", "job_title")
     first = F.struct("company_id", "job_title", "location", "date_posted", "description_preview")
     listed = listings.filter(~_empty(F.col("job_url")))
@@ -58,8 +53,22 @@ def upsert_jobs(jobs: DataFrame, listings: DataFrame, as_of) -> Upsert:
         F.min_by("location", F.when(~_empty(F.col("location")), order)).alias("found_location"),
     )
     known = jobs.groupBy("job_url").agg(F.count("*").alias("holders"), F.min("job_id").alias("job_id"))
-    matched = per_url.join(known, "job_url", "left")
+    return per_url.join(known, "job_url", "left")
+
+
+def upsert_jobs(jobs: DataFrame, listings: DataFrame, as_of) -> Upsert:
+    """Merge crawled listings into jobs, matching on URL across all companies.
 
+    A new URL becomes a job of the lowest company that lists it, with status unknown. A known job takes the
+    title of the last company that lists it, and a location only while it has none. Jobs that are no longer
+    listed stay as they are. URLs that several jobs share cannot be matched and come back as errors.
+    """
+    return merge_matched(jobs, match_listings(jobs, listings), as_of)
+
+
+def merge_matched(jobs: DataFrame, matched: DataFrame, as_of) -> Upsert:
+    """The merge itself. Jobs meet the updates on their own key, which is never skewed."""
+    now = instant(as_of)
     updates = matched.filter("holders = 1").select("job_id", "last_title", "low_title", "high_title", "found_location")
     retitled = (F.col("low_title") != F.col("job_title")) | (F.col("high_title") != F.col("job_title"))
     located = _empty(F.col("location")) & F.col("found_location").isNotNull()

@@ -140,10 +140,12 @@ def company_with_jobs(companies: DataFrame, jobs: DataFrame, jobs_per_part: int
         .withColumns({"job_count": F.coalesce("job_count", F.lit(0)), "parts": parts})
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     )
-    split = sizes.select("company_id", F.ceil(F.col("job_count") / jobs_per_part).alias("_parts"))
-    placed = jobs.select(*JOB_SUMMARY).join(split, "company_id").withColumn(
-        "part", F.pmod(F.xxhash64("job_id"), F.col("_parts")).cast("int")
+    # Only the few companies that need splitting take part in this join; the others stay whole.
+    big = sizes.filter(F.col("job_count") > jobs_per_part).select(
+        "company_id", F.ceil(F.col("job_count") / jobs_per_part).alias("_parts")
     )
+    part = F.coalesce(F.pmod(F.xxhash64("job_id"), F.col("_parts")), F.lit(0)).cast("int")
+    placed = jobs.select(*JOB_SUMMARY).join(big, "company_id", "left").withColumn("part", part)
     nested = placed.groupBy("company_id", "part").agg(F.array_sort(F.collect_list(F.struct(*JOB_SUMMARY))).alias("jobs"))
     out = owners.join(nested, ["company_id", "part"], "left")
     return out.withColumn("jobs", F.coalesce("jobs", F.array().cast(nested.schema["jobs"].dataType)))

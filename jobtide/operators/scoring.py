@@ -160,47 +160,49 @@ def run_deltas(
 ) -> DataFrame:
     """Score change of every past run that had any (company_id, run_at, delta), for runs ``every_hours`` apart.
 
-    A run at time t counts the jobs created since the run before it, the updates and closures of its windows
-    (end included), and judges closures by the present status. Events are first counted per company and run
-    slot; only those counts are spread over the runs whose windows they fall in.
+    A run at time t counts the jobs created since the run before it, and the updates and closures whose windows
+    still hold t (both ends included); closures are judged by the present status. Events are first counted per
+    job and run slot; only those counts are spread over the runs whose windows they fall in.
     """
-    step = every_hours * 3600
+    step = every_hours * 3_600_000_000
 
-    def slot(moment: str) -> Column:
-        """First run at or after a moment."""
-        seconds = F.unix_seconds(F.date_trunc("second", moment))
-        late = F.when(F.date_trunc("second", moment) < F.col(moment), 1).otherwise(0)
-        return F.ceil((seconds + late) / step).cast("bigint")
+    def first_run(moment: str) -> Column:
+        micros = F.unix_micros(moment)
+        return ((micros + F.pmod(-micros, F.lit(step))) / step).cast("bigint")
 
-    created = jobs.groupBy("company_id", slot("created_at").alias("slot")).agg(F.count("*").alias("new_jobs"))
+    def last_run(moment: str, hours: int) -> Column:
+        micros = F.unix_micros(moment) + F.lit(hours * 3_600_000_000)
+        return ((micros - F.pmod(micros, F.lit(step))) / step).cast("bigint")
+
+    created = jobs.groupBy("company_id", first_run("created_at").alias("run")).agg(F.count("*").alias("new_jobs"))
+    span = {
+        "first": first_run("changed_at"),
+        "last_update": last_run("changed_at", update_hours),
+        "last_closure": last_run("changed_at", closure_hours),
+    }
     per_job = (
-        history.withColumn("slot", slot("changed_at"))
-        .groupBy("job_id", "slot")
+        history.withColumns(span)
+        .groupBy("job_id", *span)
         .agg(F.count_if(_is_update()).alias("updates"), F.count_if(F.col("new_status") == "closed").alias("closures"))
     )
     changed = (
         jobs.select("job_id", "company_id", "status")
         .join(per_job, "job_id")
-        .groupBy("company_id", "slot")
+        .groupBy("company_id", *span)
         .agg(F.sum("updates").alias("updates"), F.sum(F.when(F.col("status") == "closed", F.col("closures"))).alias("closures"))
     )
-
-    def runs_in(hours: int) -> int:
-        return max(1, hours // every_hours)
-
-    longest = max(runs_in(update_hours), runs_in(closure_hours))
-    spread = changed.select("company_id", "slot", "updates", "closures", F.explode(F.sequence(F.lit(0), F.lit(longest - 1))).alias("age"))
-    spread = spread.select(
+    runs = F.sequence("first", F.greatest("first", "last_update", "last_closure"))
+    spread = changed.withColumn("run", F.explode(runs)).select(
         "company_id",
-        (F.col("slot") + F.col("age")).alias("slot"),
+        "run",
         F.lit(0).cast("bigint").alias("new_jobs"),
-        F.when(F.col("age") < runs_in(update_hours), F.col("updates")).otherwise(0).alias("updates"),
-        F.when(F.col("age") < runs_in(closure_hours), F.coalesce("closures", F.lit(0))).otherwise(0).alias("closures"),
+        F.when(F.col("run") <= F.col("last_update"), F.col("updates")).otherwise(0).alias("updates"),
+        F.when(F.col("run") <= F.col("last_closure"), F.coalesce("closures", F.lit(0))).otherwise(0).alias("closures"),
     )
-    events = created.select("company_id", "slot", "new_jobs", F.lit(0).alias("updates"), F.lit(0).alias("closures")).unionByName(spread)
-    summed = events.groupBy("company_id", "slot").agg(*[F.sum(c).alias(c) for c in ("new_jobs", "updates", "closures")])
+    events = created.select("*", F.lit(0).alias("updates"), F.lit(0).alias("closures")).unionByName(spread)
+    summed = events.groupBy("company_id", "run").agg(*[F.sum(c).alias(c) for c in ("new_jobs", "updates", "closures")])
     delta = _points(F.col("new_jobs"), F.col("closures"), F.col("updates"))
-    run_at = F.timestamp_seconds(F.col("slot") * step)
+    run_at = F.timestamp_micros(F.col("run") * step)
     return summed.select("company_id", run_at.alias("run_at"), delta.alias("delta")).filter("delta <> 0")
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from jobtide.schemas import CRAWLED_PAGES, TABLES, conform
 
 MANIFEST = "manifest"
-# History is read by change date (scoring looks back two days), so its folders are split by day.
-_DAY = "change_day"
+# History is read by change date (scoring looks back two days), so its folders are split by month.
+_MONTH = "change_month"
 
 
 def load_tables(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> dict[str, DataFrame]:
@@ -51,9 +51,10 @@ def write_snapshot(tables: dict[str, DataFrame], path: str, run_id: str) -> None
     for name, df in tables.items():
         writer = df.write
         if name == "job_history":
-            # one folder per day; the extra sort key keeps a day's files narrow in job_id for skipping
-            day = df.withColumn(_DAY, F.to_date("changed_at"))
-            writer = day.sortWithinPartitions(_DAY, "job_id").write.partitionBy(_DAY)
+            # Ranges of time, then of job for busy moments: a task writes into one or two month folders, and
+            # row groups cover narrow spans of time that a reader can skip.
+            ranged = df.withColumn(_MONTH, F.trunc("changed_at", "month")).repartitionByRange("changed_at", "job_id")
+            writer = ranged.sortWithinPartitions("changed_at", "job_id").write.partitionBy(_MONTH)
         writer.mode("overwrite").parquet(f"{path}/{run_id}/{name}")
     names = spark.createDataFrame([(name,) for name in tables], "table_name string")
     names.coalesce(1).write.mode("overwrite").parquet(f"{path}/{run_id}/{MANIFEST}")
@@ -71,6 +72,6 @@ def read_snapshot(spark: SparkSession, path: str, run_id: str) -> dict[str, Data
 
 
 def since(history: DataFrame, moment) -> DataFrame:
-    """History rows from ``moment`` on, pruned to the day folders that can hold them."""
+    """History rows from ``moment`` on, pruned to the month folders that can hold them."""
     kept = history.filter(F.col("changed_at") >= moment)
-    return kept.filter(F.col(_DAY) >= F.to_date(moment)) if _DAY in history.columns else kept
+    return kept.filter(F.col(_MONTH) >= F.trunc(moment, "month")) if _MONTH in history.columns else kept
