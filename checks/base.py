@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from jobtide.schemas import TABLES, conform
 from jobtide.sources.shared import shared_folder, ship_package
+from jobtide.sources.tables import spread
 
 AS_OF = "2001-06-01 00:00:00"
 UPDATE_HOURS, CLOSURE_HOURS = 30 * 24, 60 * 24
@@ -76,6 +77,9 @@ FROM {lineitem}""",
 }
 SOURCES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
 
+# Tables whose rows are costly to work on.
+LONG_TEXTS = ("documents", "pages", "conversations")
+
 
 class Check(NamedTuple):
     run: Callable[[SparkSession, str], DataFrame]
@@ -95,7 +99,8 @@ class Data:
         return f"{self.folder}/{table}.parquet"
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        df = self.spark.read.parquet(self.path(name))
+        return spread(df) if name in LONG_TEXTS else df
 
     def sql(self, text: str) -> DataFrame:
         """Run shared SQL; ``{name}`` stands for a table or view."""

@@ -5,6 +5,7 @@ from jobtide.functions.dates import parse_posted
 from jobtide.functions.text import clean_text
 from jobtide.functions.urls import resolve_url
 from jobtide.operators import extraction as X
+from jobtide.sources.tables import spread
 
 _ANCHOR = r"""<li>.*?<a href="([^"]*)">([^<]*)</a></li>"""
 # every nav anchor of a page with its position
@@ -17,23 +18,20 @@ anchors AS (
 """
 
 
-def configured(d, listing="nav li", **selectors):
-    """Companies of the crawled pages, all with one listing selector."""
-    companies = d.view("crawled_pages").select("company_id").distinct()
-    own = {name: F.lit(None).cast("string") for name in X._SELECTORS} | {"job_listing_selector": F.lit(listing)}
-    own |= {name: F.lit(value) for name, value in selectors.items()}
+def companies_of(d):
+    """One company per group of crawled pages."""
     address = F.concat(F.lit("https://c"), "company_id", F.lit(".example.com/careers")).alias("career_page_url")
-    configs = companies.select(
-        F.col("company_id").alias("config_id"), "company_id", F.lit(True).alias("is_active"), *[c.cast("string").alias(n) for n, c in own.items()]
-    )
-    return X.resolve_config(companies.select("company_id", address), configs)
+    return d.view("crawled_pages").select("company_id").distinct().select("company_id", address)
 
 
-def elements(d, html=None, listing="nav li", **selectors):
+def elements(d, html=None, listing="nav li"):
+    """Elements of all crawled pages, every company having one listing selector of its own."""
     pages = d.view("crawled_pages")
     if html is not None:
         pages = pages.withColumn("html", html)
-    return X.listing_elements(X.with_selectors(pages, configured(d, listing, **selectors)))
+    own = {name: F.lit(None).cast("string") for name in X._SELECTORS} | {"job_listing_selector": F.lit(listing)}
+    configs = companies_of(d).withColumns({"config_id": F.col("company_id"), "is_active": F.lit(True), **own})
+    return X.listing_elements(X.with_selectors(pages, configs))
 
 
 @check("site_config_resolve", """
@@ -97,7 +95,8 @@ def jsonld_jobs(d):
     pages = d.sql(_JSONLD).withColumn(
         "html", F.concat("html", F.lit('<script type="application/ld+json">'), "block", F.lit("</script>"))
     )
-    found = X.listing_elements(X.with_selectors(pages, configured(d, ".no-such-listing")))
+    none_active = d.view("site_configs").filter("config_id < 0")
+    found = X.listing_elements(X.with_selectors(pages, none_active))
     return X.jsonld_jobs(found).drop("raw_data", "element_pos")
 
 
@@ -119,7 +118,7 @@ FROM anchors
 """)
 def listing_fields(d):
     cards = F.replace(F.col("html"), F.lit("<li><a "), F.expr(_CARD))
-    return X.listing_fields(elements(d, cards), AS_OF).drop("raw_data")
+    return X.listing_fields(X.with_base(elements(d, cards), companies_of(d)), AS_OF).drop("raw_data")
 
 
 _SPACED = "concat('  \t', replace(text, ' ', '   '), '\n　')"
@@ -155,7 +154,7 @@ SELECT l_orderkey, href, CASE l_linenumber
 FROM ({_LINKS})
 """)
 def resolved(d):
-    return d.sql(_LINKS).select("l_orderkey", "href", resolve_url("href", "base").alias("job_url"))
+    return spread(d.sql(_LINKS)).select("l_orderkey", "href", resolve_url("href", "base").alias("job_url"))
 
 
 _DATED = """
@@ -181,7 +180,7 @@ SELECT o_orderkey, CASE o_orderkey % 9
 FROM {{orders}}
 """)
 def posted(d):
-    return d.sql(_DATED).select("o_orderkey", parse_posted("attribute", "words", AS_OF).alias("date_posted"))
+    return spread(d.sql(_DATED)).select("o_orderkey", parse_posted("attribute", "words", AS_OF).alias("date_posted"))
 
 
 @check("valid_listings", """

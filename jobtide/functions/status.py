@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -16,6 +17,26 @@ _UNDECIDED_CLOSED = tuple(
     phrase for phrase in P.CLOSED_PHRASES if not any(re.search(p, phrase) for p in P.EXPLICIT_CLOSED_PATTERNS)
 )
 
+# Text that must occur (any of it) where the pattern of the same place matches. Looking for it first spares most
+# texts the regex.
+_NEEDED = (
+    ("no longer ",),
+    ("position",),
+    ("expired",),
+    ("closed", "filled"),
+    ("role",),
+    ("application",),
+    ("we've",),
+    ("we have",),
+    ("completed",),
+)
+_EXPLICIT = tuple(zip(P.EXPLICIT_CLOSED_PATTERNS, _NEEDED, strict=True))
+
+
+def _explicit_hit(text: Column, pattern: str, needed: tuple[str, ...]) -> Column:
+    possible = reduce(lambda a, b: a | b, [text.contains(n) for n in needed])
+    return possible & text.rlike(spaced(pattern))
+
 
 def verdict(status, confidence, method, reason=None) -> Column:
     text = lambda v: v if isinstance(v, Column) else F.lit(v).cast("string")
@@ -52,7 +73,7 @@ def keyword_status(value) -> Column:
         )
 
     def judge(text: Column) -> Column:
-        explicit = _hits(text.rlike(spaced(p)) for p in P.EXPLICIT_CLOSED_PATTERNS)
+        explicit = _hits(_explicit_hit(text, *rule) for rule in _EXPLICIT)
         closed = _hits(text.contains(p) for p in _UNDECIDED_CLOSED)
         opened = _hits(text.contains(p) for p in P.OPEN_PHRASES)
         # phrases are only counted where no explicit pattern decides

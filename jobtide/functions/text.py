@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from jobtide.functions.phrases import CLOSED_FLAG_PATTERNS, SPACE
+from jobtide.functions.phrases import CLOSED_FLAG_PATTERNS, SPACE, SPACE_CHARACTERS
 
 
 def as_column(value) -> Column:
@@ -26,7 +26,7 @@ def spaced(pattern: str) -> str:
 
 
 def strip_space(value) -> Column:
-    return F.regexp_replace(as_column(value), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(as_column(value), F.lit(SPACE_CHARACTERS))
 
 
 def clean_text(value) -> Column:

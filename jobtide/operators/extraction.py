@@ -1,8 +1,8 @@
 """From crawled pages to clean, unique job listings.
 
 One Arrow pass over the pages turns each page into raw element rows; everything after it (cleaning, dates,
-links, JSON-LD, de-duplication) is built-in expressions. Pages are independent, so the pass needs no shuffle
-and ``html`` never crosses an exchange.
+links, JSON-LD, de-duplication) is built-in expressions on those small rows. Pages are independent, so the pass
+needs no shuffle: selector configs are broadcast to it while they are few, and ``html`` is dropped by it.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from jobtide.functions import phrases as P
 from jobtide.functions.dates import parse_iso, parse_posted
-from jobtide.functions.text import clean_text
+from jobtide.functions.text import bound, clean_text
 from jobtide.functions.urls import resolve_url
 from jobtide.operators.page_scan import scan_pages, visible_texts
+from jobtide.sources.shared import broadcast_if_few
 
 _SELECTORS = {
     "job_listing_selector": ", ".join(P.LISTING_SELECTORS),
@@ -23,33 +24,37 @@ _SELECTORS = {
     "job_date_selector": P.DATE_SELECTOR,
 }
 ELEMENTS = (
-    "company_id bigint, page_num int, base_url string, source string, element_pos int, self_text string, "
+    "company_id bigint, page_num int, source string, element_pos int, self_text string, "
     "title_text string, heading_text string, href string, location_text string, date_attribute string, "
     "date_text string, description_text string, json_block string"
 )
 
 
-def resolve_config(companies: DataFrame, site_configs: DataFrame) -> DataFrame:
-    """Companies with the selectors to use: the active config's where given, else the defaults.
+def active_configs(site_configs: DataFrame) -> DataFrame:
+    """One row per company with its own selectors. Should a company have several active configs, the oldest one
+    counts; ``quality_report`` names such companies."""
+    oldest = F.min_by(F.struct(*_SELECTORS), "config_id")
+    return site_configs.filter("is_active").groupBy("company_id").agg(oldest.alias("own"))
 
-    Should a company have several active configs, the oldest one counts; ``quality_report`` names such companies.
-    """
-    chosen = (
-        site_configs.filter("is_active")
-        .groupBy("company_id")
-        .agg(F.min_by(F.struct(*_SELECTORS), "config_id").alias("own"))
-    )
-    selectors = [
+
+def _selectors() -> list[Column]:
+    return [
         F.coalesce(F.nullif(F.col(f"own.{name}"), F.lit("")), F.lit(default)).alias(name)
         for name, default in _SELECTORS.items()
     ]
-    return companies.join(chosen, "company_id", "left").select(*companies.columns, *selectors)
 
 
-def with_selectors(pages: DataFrame, configured: DataFrame) -> DataFrame:
-    """Pages with their company's selectors and the address relative links start from."""
-    config = configured.select("company_id", F.col("career_page_url").alias("base_url"), *_SELECTORS)
-    return pages.select("company_id", "page_num", "html").join(config, "company_id")
+def resolve_config(companies: DataFrame, site_configs: DataFrame) -> DataFrame:
+    """Companies with the selectors to use: the active config's where given, else the defaults."""
+    return companies.join(active_configs(site_configs), "company_id", "left").select(*companies.columns, *_selectors())
+
+
+def with_selectors(pages: DataFrame, site_configs: DataFrame) -> DataFrame:
+    """Pages with the selectors of their company, without moving any html while configs are few."""
+    configs = broadcast_if_few(active_configs(site_configs))
+    return pages.select("company_id", "page_num", "html").join(configs, "company_id", "left").select(
+        "company_id", "page_num", "html", *_selectors()
+    )
 
 
 def listing_elements(pages_cfg: DataFrame) -> DataFrame:
@@ -57,7 +62,7 @@ def listing_elements(pages_cfg: DataFrame) -> DataFrame:
 
     ``source`` says which way found them: ``selector``, ``link`` or ``jsonld``; a page uses only one.
     """
-    return pages_cfg.select("company_id", "page_num", "base_url", "html", *_SELECTORS).mapInPandas(scan_pages, ELEMENTS)
+    return pages_cfg.select("company_id", "page_num", "html", *_SELECTORS).mapInPandas(scan_pages, ELEMENTS)
 
 
 def job_link_fallback(elements: DataFrame) -> DataFrame:
@@ -73,16 +78,19 @@ def _text_or_self(column: str) -> Column:
     return clean_text(F.coalesce(F.col(column), F.col("self_text")))
 
 
-def listing_fields(elements: DataFrame, as_of) -> DataFrame:
-    """Typed listings from raw elements (JSON-LD rows are left to ``jsonld_jobs``)."""
+def with_base(elements: DataFrame, companies: DataFrame) -> DataFrame:
+    """Elements of known companies with the address their relative links start from."""
+    return elements.join(companies.select("company_id", F.col("career_page_url").alias("base_url")), "company_id")
+
+
+def _from_markup(as_of) -> Column:
     title = F.coalesce(
         F.nullif(_text_or_self("title_text"), F.lit("")),
         F.nullif(_text_or_self("heading_text"), F.lit("")),
         F.lit(P.UNTITLED),
     )
     preview = F.substring(_text_or_self("description_text"), 1, P.PREVIEW_LENGTH)
-    return elements.filter(F.col("source") != "jsonld").select(
-        *_POSITION,
+    return F.struct(
         title.alias("job_title"),
         F.coalesce(resolve_url("href", "base_url"), F.lit("")).alias("job_url"),
         F.nullif(_text_or_self("location_text"), F.lit("")).alias("location"),
@@ -92,33 +100,54 @@ def listing_fields(elements: DataFrame, as_of) -> DataFrame:
     )
 
 
-def jsonld_jobs(elements: DataFrame) -> DataFrame:
-    """Listings from JSON-LD blocks: a JobPosting object, or item 0 of an array that contains one."""
-    parsed = elements.filter(F.col("source") == "jsonld").withColumn("block", F.try_parse_json("json_block"))
+def _from_json() -> Column:
+    """Listing of a JSON-LD block: a JobPosting object, or item 0 of an array that contains one; else null."""
 
     def is_posting(value) -> Column:
         return F.try_variant_get(value, "$['@type']", "string") == "JobPosting"
 
-    is_array = F.schema_of_variant("block").startswith("ARRAY")
-    any_posting = F.exists(F.try_variant_get("block", "$", "array<variant>"), is_posting)
-    job = F.when(is_array & any_posting, F.try_variant_get("block", "$[0]", "variant")).when(
-        ~is_array & is_posting("block"), F.col("block")
-    )
+    def posting(block: Column) -> Column:
+        is_array = F.schema_of_variant(block).startswith("ARRAY")
+        any_posting = F.exists(F.try_variant_get(block, "$", "array<variant>"), is_posting)
+        first = F.when(any_posting, F.try_variant_get(block, "$[0]", "variant"))
+        return F.when(is_array, first).otherwise(F.when(is_posting(block), block))
 
-    def text(path: str) -> Column:
-        return F.try_variant_get("job", path, "string")
-
-    posted = F.try_variant_get("job", "$.datePosted", "variant")
-    posted = F.when(F.schema_of_variant(posted) == "STRING", text("$.datePosted"))
-    return parsed.withColumn("job", job).filter(F.col("job").isNotNull()).select(
-        *_POSITION,
-        F.coalesce(text("$.title"), F.lit("")).alias("job_title"),
-        F.coalesce(F.nullif(text("$.url"), F.lit("")), text("$.identifier.value"), F.lit("")).alias("job_url"),
-        F.coalesce(text("$.jobLocation.address.addressLocality"), F.lit("")).alias("location"),
-        parse_iso(posted).alias("date_posted"),
-        F.nullif(F.substring(text("$.description"), 1, P.PREVIEW_LENGTH), F.lit("")).alias("description_preview"),
-        F.to_json("job").alias("raw_data"),
-    )
+    def listing(job: Column) -> Column:
+        text = lambda path: F.try_variant_get(job, path, "string")
+        posted_kind = F.schema_of_variant(F.try_variant_get(job, "$.datePosted", "variant"))
+        return F.when(
+            job.isNotNull(),
+            F.struct(
+                F.coalesce(text("$.title"), F.lit("")).alias("job_title"),
+                F.coalesce(F.nullif(text("$.url"), F.lit("")), text("$.identifier.value"), F.lit("")).alias("job_url"),
+                F.coalesce(text("$.jobLocation.address.addressLocality"), F.lit("")).alias("location"),
+                parse_iso(F.when(posted_kind == "STRING", text("$.datePosted"))).alias("date_posted"),
+                F.nullif(F.substring(text("$.description"), 1, P.PREVIEW_LENGTH), F.lit("")).alias("description_preview"),
+                F.to_json(job).alias("raw_data"),
+            ),
+        )
+
+    return bound(F.try_parse_json("json_block"), lambda block: bound(posting(block), listing))
+
+
+def _listed(elements: DataFrame, listing: Column) -> DataFrame:
+    found = elements.select(*_POSITION, listing.alias("listing"))
+    return found.filter(F.col("listing").isNotNull()).select(*_POSITION, "listing.*")
+
+
+def listing_fields(elements: DataFrame, as_of) -> DataFrame:
+    """Typed listings from elements found by selectors or links (with ``base_url``)."""
+    return _listed(elements.filter(F.col("source") != "jsonld"), _from_markup(as_of))
+
+
+def jsonld_jobs(elements: DataFrame) -> DataFrame:
+    """Typed listings from JSON-LD blocks."""
+    return _listed(elements.filter(F.col("source") == "jsonld"), _from_json())
+
+
+def typed_listings(elements: DataFrame, as_of) -> DataFrame:
+    """Both kinds in one projection, so that the pages behind the elements are read once."""
+    return _listed(elements, F.when(F.col("source") == "jsonld", _from_json()).otherwise(_from_markup(as_of)))
 
 
 def valid_listings(listings: DataFrame) -> DataFrame:
@@ -145,11 +174,10 @@ def job_rows(listings: DataFrame) -> DataFrame:
     )
 
 
-def extract_jobs(pages_cfg: DataFrame, as_of) -> DataFrame:
-    """The whole chain, from pages with selectors to unique job rows."""
-    elements = listing_elements(pages_cfg)
-    jobs = listing_fields(elements, as_of).unionByName(jsonld_jobs(elements))
-    return job_rows(dedupe_listings(valid_listings(jobs)))
+def extract_jobs(pages: DataFrame, companies: DataFrame, site_configs: DataFrame, as_of) -> DataFrame:
+    """The whole chain, from crawled pages to unique job rows."""
+    elements = with_base(listing_elements(with_selectors(pages, site_configs)), companies)
+    return job_rows(dedupe_listings(valid_listings(typed_listings(elements, as_of))))
 
 
 def page_text(pages: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from jobtide.functions import phrases as P
 from jobtide.operators.markup import Page
 
 _COLUMNS = (
-    "company_id", "page_num", "base_url", "source", "element_pos", "self_text", "title_text", "heading_text", "href",
+    "company_id", "page_num", "source", "element_pos", "self_text", "title_text", "heading_text", "href",
     "location_text", "date_attribute", "date_text", "description_text", "json_block",
 )
 _ROWS_PER_FRAME = 2000
@@ -63,7 +63,7 @@ def scan_pages(frames):
     for frame in frames:
         for cfg in frame.itertuples(index=False):
             for element in _elements_of(cfg):
-                rows.append((cfg.company_id, cfg.page_num, cfg.base_url, *element))
+                rows.append((cfg.company_id, cfg.page_num, *element))
                 if len(rows) >= _ROWS_PER_FRAME:
                     yield pd.DataFrame(rows, columns=_COLUMNS)
                     rows = []

@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from jobtide.operators.classification import classify
-from jobtide.operators.extraction import extract_jobs, page_text, resolve_config, with_selectors
+from jobtide.operators.extraction import extract_jobs, page_text
 from jobtide.operators.merging import (
     apply_validation,
     match_listings,
@@ -35,8 +35,7 @@ class Run(NamedTuple):
 
 def crawl_run(tables: dict[str, DataFrame], pages: DataFrame, as_of, max_pages: int = CRAWL_PAGES) -> Run:
     """Extract listings from crawled pages and merge them into jobs; then recount and touch companies."""
-    configured = resolve_config(tables["companies"], tables["site_configs"])
-    listings = extract_jobs(with_selectors(crawled_pages(pages, max_pages), configured), as_of)
+    listings = extract_jobs(crawled_pages(pages, max_pages), tables["companies"], tables["site_configs"], as_of)
     matched = written(match_listings(tables["jobs"], listings), "matched")
     merged = merge_matched(tables["jobs"], matched, as_of)
     owners = tables["jobs"].select("company_id").unionByName(merged.inserted.select("company_id"))

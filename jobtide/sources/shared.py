@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -36,6 +36,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_few(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """Mark a join side for broadcast when counting shows that it is small; otherwise leave the choice to Spark.
+
+    Meant for narrow rows met by very wide ones, where moving the wide side would cost far more than the count.
+    """
+    few = df.limit(most_rows + 1).count() <= most_rows
+    return F.broadcast(df) if few else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, for the few steps that run Python in tasks.
 

@@ -30,8 +30,18 @@ def crawled_pages(pages: DataFrame, max_pages: int = 5) -> DataFrame:
     return pages.filter(F.col("page_num") <= max_pages)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Split a scan that has fewer partitions than there are cores.
+
+    A file with one big row group is read by one task, however costly the work on its rows. A table of many
+    files already has a partition per core and stays as it is, so nothing large is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def load_pages(spark: SparkSession, path: str, max_pages: int = 5) -> DataFrame:
-    return crawled_pages(spark.read.schema(CRAWLED_PAGES).parquet(path), max_pages)
+    return spread(crawled_pages(spark.read.schema(CRAWLED_PAGES).parquet(path), max_pages))
 
 
 def stream_pages(spark: SparkSession, path: str, max_pages: int = 5, files_per_trigger: int = 1000) -> DataFrame:
