@@ -18,11 +18,11 @@ _AGES = (("day", 24), ("hour", 1), ("week", 7 * 24), ("month", 30 * 24))
 # Past this many hours the date would fall before year 1.
 _OLDEST_HOURS = 24 * 365 * 1900
 
-# Date, then optionally any separator, time, fraction and zone; dashes and colons are used throughout or not at all.
+# Date, then optionally any separator, time, fraction and zone (a blank may precede it); dashes and colons are used throughout or not at all.
 _ISO = (
     r"^(\d{4})(-?)(\d{2})\2(\d{2})"
     r"(?:.(\d{2})(?:(:?)(\d{2})(?:\6(\d{2})(?:[.,](\d+))?)?)?"
-    r"(?:(Z)|([+-]\d{2})(?::?(\d{2}))?)?)?\z"
+    r"(?: ?(?:(Z)|([+-]\d{2})(?::?(\d{2}))?))?)?\z"
 )
 _ISO_PARTS = "$1-$3-$4|$5|$7|$8|$9|$10$11|$12"
 

@@ -15,20 +15,22 @@ def _split(url: Column) -> Column:
     return F.split(F.regexp_replace(url, _PARTS, _MARK.join(f"${i}" for i in range(1, 6))), _MARK)
 
 
-def _squeeze_path(path: Column) -> Column:
-    """Drop '.', resolve '..' and empty inner segments of an absolute path."""
+def _squeeze_path(path: Column, joined: Column) -> Column:
+    """Resolve '.' and '..' of a rooted path; where it was joined to a base, empty segments inside go too."""
     segments = F.split(path, "/")
     last = F.element_at(segments, -1)
-    inner = F.filter(F.slice(segments, 1, F.size(segments) - 1), lambda s: s != "")
+    inner = F.slice(segments, 2, F.greatest(F.size(segments) - 2, F.lit(0)))
+    inner = F.when(joined, F.filter(inner, lambda s: s != "")).otherwise(inner)
     walked = F.aggregate(
-        F.concat(inner, F.array(last)),
+        F.concat(F.array(F.lit("")), inner, F.array(last)),
         F.array().cast("array<string>"),
         lambda acc, seg: F.when(seg == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
         .when(seg == ".", acc)
         .otherwise(F.concat(acc, F.array(seg))),
     )
     open_end = F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.lit("/"), F.array_join(F.concat(walked, open_end), "/"))
+    text = F.array_join(F.concat(walked, open_end), "/")
+    return F.when(text.startswith("/"), text).otherwise(F.concat(F.lit("/"), text))
 
 
 def _join(raw: Column, link: Column, mine: Column, theirs: Column) -> Column:
@@ -46,7 +48,7 @@ def _join(raw: Column, link: Column, mine: Column, theirs: Column) -> Column:
         rooted = F.when((p != "") & ~p.startswith("/"), F.concat(F.lit("/"), p)).otherwise(p)
         # Only a path with a dot segment or an empty one needs the walk.
         odd = p.rlike(r"//|(^|/)\.{1,2}(/|$)")
-        return F.when((host != "") | bare | ~odd, rooted).otherwise(_squeeze_path(rooted))
+        return F.when((host != "") | bare | ~odd, rooted).otherwise(_squeeze_path(rooted, ~path.startswith("/")))
 
     new_query = F.when(bare & (query == ""), base_query).otherwise(query)
     absolute = F.concat(

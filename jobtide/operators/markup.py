@@ -93,7 +93,8 @@ class Page(HTMLParser):
         """Text as laid out: white space collapsed, blocks on lines of their own, dropped nodes left out."""
         first, last = self.span[node] if node is not None else (0, len(self.pieces))
         kept, at = [], first
-        for lo, hi in sorted(self.span[d] for d in dropped):
+        # a dropped block takes the line break before it along
+        for lo, hi in sorted((self.span[d][0] - (self.tag[d] in _BLOCKS), self.span[d][1]) for d in dropped):
             if hi > at and lo < last:
                 kept += self.pieces[at:max(lo, at)]
                 at = max(at, hi)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from jobtide.schemas import instant
+from jobtide.sources.shared import written
 from jobtide.sources.tables import since
 
 # Score weights.
@@ -216,6 +217,7 @@ def score_timeline(deltas: DataFrame, initial: DataFrame | None = None, block: s
     runs = deltas.withColumn("block", F.date_trunc(block, "run_at"))
     inside = Window.partitionBy("company_id", "block").orderBy("run_at").rowsBetween(Window.unboundedPreceding, 0)
     local = runs.withColumn("sum_here", F.sum("delta").over(inside)).withColumn("low_here", F.min("sum_here").over(inside))
+    local = written(local, "timeline")  # used for the blocks and for the runs; working it out means scanning history
 
     # The block's own sum and lowest partial sum are those of its last run.
     blocks = local.groupBy("company_id", "block").agg(

@@ -22,7 +22,7 @@ from jobtide.operators.merging import (
 )
 from jobtide.operators.scoring import apply_signals, company_signals, run_report
 from jobtide.sources.shared import written
-from jobtide.sources.tables import crawled_pages
+from jobtide.sources.tables import append_history, crawled_pages
 
 CRAWL_PAGES = 3
 
@@ -57,7 +57,7 @@ def validation_run(
     verdicts = written(classify(texts, responses).withColumnRenamed("posting_id", "job_id"), "verdicts")
     jobs = apply_validation(tables["jobs"], verdicts, as_of)
     changes = status_changes(tables["jobs"], verdicts, as_of)
-    history = tables["job_history"].unionByName(changes, allowMissingColumns=True)
+    history = append_history(tables["job_history"], changes)
     return Run({**tables, "jobs": jobs, "job_history": history}, run_report(verdicts=verdicts))
 
 

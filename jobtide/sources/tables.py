@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from jobtide.schemas import CRAWLED_PAGES, TABLES, conform
 
@@ -58,27 +61,33 @@ def write_snapshot(tables: dict[str, DataFrame], path: str, run_id: str) -> None
     if not tables:
         raise ValueError("a snapshot needs at least one table")
     spark = next(iter(tables.values())).sparkSession
+    layouts = []
     for name, df in tables.items():
         writer = df.write
         if name == "job_history":
             # Ranges of time, then of job for busy moments: a task writes into one or two month folders, and
             # row groups cover narrow spans of time that a reader can skip.
-            ranged = df.withColumn(_MONTH, F.trunc("changed_at", "month")).repartitionByRange("changed_at", "job_id")
-            writer = ranged.sortWithinPartitions("changed_at", "job_id").write.partitionBy(_MONTH)
+            df = df.withColumn(_MONTH, F.trunc("changed_at", "month"))
+            ranged = df.repartitionByRange("changed_at", "job_id").sortWithinPartitions("changed_at", "job_id")
+            writer = ranged.write.partitionBy(_MONTH)
         writer.mode("overwrite").parquet(f"{path}/{run_id}/{name}")
-    names = spark.createDataFrame([(name,) for name in tables], "table_name string")
-    names.coalesce(1).write.mode("overwrite").parquet(f"{path}/{run_id}/{MANIFEST}")
+        layouts.append((name, df.schema.json()))
+    manifest = spark.createDataFrame(layouts, "table_name string, layout string")
+    manifest.coalesce(1).write.mode("overwrite").parquet(f"{path}/{run_id}/{MANIFEST}")
 
 
 def read_snapshot(spark: SparkSession, path: str, run_id: str) -> dict[str, DataFrame]:
     """Tables of a finished run; fails when the run was never finished."""
     root = f"{path}/{run_id}"
-    names = [r.table_name for r in spark.read.parquet(f"{root}/{MANIFEST}").collect()]
-    out = {}
-    for name in names:
-        df = spark.read.parquet(f"{root}/{name}")
-        out[name] = df
-    return out
+    manifest = spark.read.parquet(f"{root}/{MANIFEST}").collect()  # one row per table
+    return {m.table_name: spark.read.schema(StructType.fromJson(json.loads(m.layout))).parquet(f"{root}/{m.table_name}") for m in manifest}
+
+
+def append_history(history: DataFrame, changes: DataFrame) -> DataFrame:
+    """History with new rows, which also get the month their folder goes by where history has it."""
+    if _MONTH in history.columns:
+        changes = changes.withColumn(_MONTH, F.trunc("changed_at", "month"))
+    return history.unionByName(changes, allowMissingColumns=True)
 
 
 def since(history: DataFrame, moment) -> DataFrame:
