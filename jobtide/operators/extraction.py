@@ -14,7 +14,7 @@ from jobtide.functions.dates import parse_iso, parse_posted
 from jobtide.functions.text import bound, clean_text
 from jobtide.functions.urls import resolve_url
 from jobtide.operators.page_scan import scan_pages, visible_texts
-from jobtide.sources.shared import broadcast_if_few
+from jobtide.sources.shared import broadcast_if_small
 
 _SELECTORS = {
     "job_listing_selector": ", ".join(P.LISTING_SELECTORS),
@@ -51,7 +51,7 @@ def resolve_config(companies: DataFrame, site_configs: DataFrame) -> DataFrame:
 
 def with_selectors(pages: DataFrame, site_configs: DataFrame) -> DataFrame:
     """Pages with the selectors of their company, without moving any html while configs are few."""
-    configs = broadcast_if_few(active_configs(site_configs))
+    configs = broadcast_if_small(active_configs(site_configs))
     return pages.select("company_id", "page_num", "html").join(configs, "company_id", "left").select(
         "company_id", "page_num", "html", *_selectors()
     )

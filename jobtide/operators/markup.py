@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -31,14 +32,16 @@ class Page(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.tag, self.attrs, self.parent, self.end, self.span = [], [], [], [], []
-        self.pieces, self._stack = [], []
-        self.feed(html)
+        self.pieces, self._stack, self._open = [], [], Counter()
+        # marked sections are no part of HTML: like browsers, take them for comments
+        self.feed(html.replace("<![", "<! ["))
         self.close()
         self._pop_to(0)
 
     def _pop_to(self, depth: int) -> None:
         while len(self._stack) > depth:
             node = self._stack.pop()
+            self._open[self.tag[node]] -= 1
             self._mark(self.tag[node])
             self.end[node] = len(self.tag)
             self.span[node][1] = len(self.pieces)
@@ -48,6 +51,8 @@ class Page(HTMLParser):
             self.pieces.append(_PARAGRAPH if tag == "p" else _BLOCK)
 
     def _depth_of(self, wanted, stops) -> int | None:
+        if not any(self._open[tag] for tag in wanted):
+            return None  # spares pages with thousands of unclosed tags the walk
         for depth in range(len(self._stack) - 1, -1, -1):
             tag = self.tag[self._stack[depth]]
             if tag in wanted:
@@ -75,6 +80,7 @@ class Page(HTMLParser):
         self.span.append([len(self.pieces), len(self.pieces)])
         if tag not in _VOID:
             self._stack.append(len(self.tag) - 1)
+            self._open[tag] += 1
 
     def handle_endtag(self, tag):
         depth = self._depth_of({tag}, ())

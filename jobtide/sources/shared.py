@@ -36,13 +36,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_few(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
-    """Mark a join side for broadcast when counting shows that it is small; otherwise leave the choice to Spark.
+def broadcast_if_small(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """Mark a join side for broadcast when measuring shows that it is small; otherwise leave the choice to Spark.
 
-    Meant for narrow rows met by very wide ones, where moving the wide side would cost far more than the count.
+    Meant for narrow rows met by very wide ones, where moving the wide side would cost far more than measuring.
     """
-    few = df.limit(most_rows + 1).count() <= most_rows
-    return F.broadcast(df) if few else df
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= most_bytes else df
 
 
 def ship_package(spark: SparkSession) -> None:

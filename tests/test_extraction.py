@@ -1,10 +1,13 @@
 from datetime import datetime
 
+import pandas as pd
 import pytest
+from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
 from jobtide.operators import extraction as X
 from jobtide.operators.markup import Page, parse_selector
+from jobtide.operators.page_scan import visible_texts
 
 NOW = "2024-06-15 12:00:00"
 CONFIG = "config_id long, company_id long, is_active boolean, " + ", ".join(f"{name} string" for name in X._SELECTORS)
@@ -46,6 +49,27 @@ def test_selectors():
             parse_selector(bad)
 
 
+_MARKUP = st.lists(
+    st.sampled_from(
+        ["<", ">", "</", "<!", "<![", "<!--", "-->", "<![CDATA[", "]]>", "<?", "a", "div", "p", " ", '"', "'", "=", "class", "&", "&#",
+         "&amp;", "/", "br", "<p>", "<div>", "</div>", "<script>", "</script>", "<title>", "é", "\n", "<li>", "<table>", "<tr>", "<td>"]
+    ),
+    max_size=40,
+).map("".join)
+
+
+@given(_MARKUP)
+def test_any_text_is_a_page(html):
+    page = Page(html)
+    assert all(i < end <= len(page.tag) for i, end in enumerate(page.end))
+    assert visible_texts(pd.Series([html])).notna().all()
+
+
+def test_many_unclosed_tags():
+    page = Page("<b>" * 30_000 + "<div>" * 30_000 + "<p>x" * 30_000)
+    assert len(page.find("p")) == 30_000
+
+
 def test_first_selector_with_a_hit_wins(spark, companies, no_configs):
     html = "<div class='job-listing'><h2>Second</h2><a href='/2'>x</a></div><div data-job-id=1><h2>First</h2><a href='/1'>x</a></div>"
     got = extracted(spark, companies, no_configs, (1, 1, html))
