@@ -7,7 +7,6 @@ from jobtide.functions.urls import resolve_url
 from jobtide.operators import extraction as X
 from jobtide.sources.tables import spread
 
-_ANCHOR = r"""<li>.*?<a href="([^"]*)">([^<]*)</a></li>"""
 # every nav anchor of a page with its position
 ANCHORS = r"""
 anchors AS (

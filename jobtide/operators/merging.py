@@ -127,7 +127,7 @@ def validation_batch(jobs: DataFrame, n: int = 50) -> DataFrame:
 
 
 def apply_validation(jobs: DataFrame, verdicts: DataFrame, as_of) -> DataFrame:
-    """Take over the verdicts (job_id, status); jobs without one, as when their page had no text, stay untouched."""
+    """Take over the verdicts (job_id, status; one a job); jobs without one, as when their page had no text, stay untouched."""
     judged = verdicts.filter(F.col("status").isNotNull()).select("job_id", F.col("status").alias("_verdict"))
     seen = F.col("_verdict").isNotNull()
     return (

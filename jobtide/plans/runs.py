@@ -50,10 +50,13 @@ def crawl_run(tables: dict[str, DataFrame], pages: DataFrame, as_of, max_pages:
 def validation_run(
     tables: dict[str, DataFrame], job_pages: DataFrame, as_of, n: int = 50, responses: DataFrame | None = None
 ) -> Run:
-    """Judge the next batch of jobs by their pages (url, html). Pages are narrowed to the batch before any
-    text is taken out of them; ``responses`` refer to jobs by posting_id."""
+    """Judge the next batch of jobs by their pages (url, html and perhaps fetched_at). Pages are narrowed to the
+    batch before any text is taken out of them. Of several pages of a job the latest with any text counts;
+    ``responses`` refer to jobs by posting_id."""
     batch = validation_batch(tables["jobs"], n).select(F.col("job_id").alias("posting_id"), F.col("job_url").alias("url"))
-    texts = page_text(job_pages.select("url", "html").join(batch, "url")).filter(F.col("text") != "")
+    texts = page_text(job_pages.join(batch, "url")).filter(F.col("text") != "")
+    order = F.struct("fetched_at", "text") if "fetched_at" in job_pages.columns else F.col("text")
+    texts = texts.groupBy("posting_id").agg(F.max_by("text", order).alias("text"))
     verdicts = written(classify(texts, responses).withColumnRenamed("posting_id", "job_id"), "verdicts")
     jobs = apply_validation(tables["jobs"], verdicts, as_of)
     changes = status_changes(tables["jobs"], verdicts, as_of)

@@ -55,6 +55,18 @@ def test_crawl_validate_score_and_store(spark, tables, tmp_path):
     assert {r.company_id: r.hiring_score for r in scored.tables["companies"].collect()} == {1: 10 - 5 + 3, 2: 5}
 
 
+def test_latest_page_of_a_job_counts(spark, tables):
+    table = conform(spark.createDataFrame([(1, 1, "u", "unknown"), (2, 2, "u", "unknown")], "job_id long, company_id long, job_url string, status string"), "jobs")
+    closed, opened = "The position is filled and this job expired, sorry. " * 2, "Apply now, we are glad to hear from you. Apply today!" * 2
+    pages = spark.createDataFrame(
+        [("u", closed, datetime(2024, 1, 2)), ("u", opened, datetime(2024, 1, 1)), ("u", "", datetime(2024, 1, 3)), ("v", opened, datetime(2024, 1, 4))],
+        "url string, html string, fetched_at timestamp",
+    )
+    run = validation_run({**tables, "jobs": table}, pages, NOW)
+    assert sorted((r.job_id, r.status) for r in run.tables["jobs"].collect()) == [(1, "closed"), (2, "closed")]
+    assert run.tables["job_history"].count() == 2
+
+
 def test_unfinished_runs_stay_hidden(spark, tables, tmp_path):
     tables["jobs"].write.parquet(str(tmp_path / "r1" / "jobs"))
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
