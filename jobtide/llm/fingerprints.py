@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from jobtide.llm.common import let, row_key, texts_of, words_of
+from jobtide.sources.shared import written
 
 #: Bins of a fingerprint and low-order bits kept of each.
 BINS, BITS = 128, 8
+_DRAWS = 6
 
 
 def fingerprint(text: Column, shingle: int = 5, bins: int = BINS) -> Column:
     """Hex fingerprint of a text, two digits a bin; that of a text without words is empty.
 
     The hash of each run of ``shingle`` words (of all words, if there are fewer) falls into one bin by its high bits, and
-    each bin keeps its smallest. An empty bin takes the value of a bin with one, chosen by ranking these with a hash of
-    both numbers: every empty bin has its own random order of bins, the same in all texts (optimal densification).
+    each bin keeps its smallest. An empty bin draws other bins by a hash of its number and the draw's, the same in all texts,
+    until one has a value to lend (optimal densification); after ``_DRAWS`` draws it ranks those with a value by such a hash.
     """
 
     def hashes(each: Column) -> Column:
@@ -26,20 +28,24 @@ def fingerprint(text: Column, shingle: int = 5, bins: int = BINS) -> Column:
         # sorted by value, so the first of a bin is its smallest
         return F.filter(ordered, lambda h, i: (i == 0) | (_bin(h, bins) != _bin(F.get(ordered, i - 1), bins)))
 
-    def filled(found: Column) -> Column:
+    def filled(found: Column, at: Column) -> Column:
         def value(b: Column) -> Column:
-            own = F.filter(found, lambda h: _bin(h, bins) == b)
-            lent = F.array_min(F.transform(found, lambda h: F.struct(F.hash(_bin(h, bins), b).alias("r"), h.alias("h"))))["h"]
-            return F.coalesce(F.get(own, F.lit(0)), lent)
+            draws = [b, *(F.pmod(F.hash(b, F.lit(t)), F.lit(bins)).cast("long") for t in range(_DRAWS))]
+            drawn = [F.get(found, (F.array_position(at, d) - 1).cast("int")) for d in draws]
+            ranks = F.transform(at, lambda other, i: F.hash(other, b).cast("long") * bins + i)
+            return F.coalesce(*drawn, F.get(found, F.pmod(F.array_min(ranks), F.lit(bins)).cast("int")))
 
-        every = F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))
-        return F.when(F.size(found) == bins, found).otherwise(F.transform(every, value))
+        # in the order that sorted values have their bins in: those of negative values come first
+        places = F.lit([*range(bins // 2, bins), *range(bins // 2)]).cast("array<long>")
+        return F.when(F.size(found) == bins, found).otherwise(F.transform(places, value))
 
-    packed = let(
-        let(let(let(F.transform(words_of(text), lambda w: F.xxhash64(w)), hashes), lambda h: let(F.array_sort(h), smallest)), filled),
-        lambda v: F.array_join(F.transform(v, lambda h: F.lpad(F.lower(F.hex(h.bitwiseAND(F.lit((1 << BITS) - 1)))), BITS // 4, "0")), ""),
-    )
-    return F.when(words_of(text) == F.array().cast("array<string>"), "").otherwise(packed)
+    def of(words: Column) -> Column:
+        ordered = let(F.transform(words, lambda w: F.xxhash64(w)), lambda w: F.sort_array(hashes(w)))
+        values = let(let(ordered, smallest), lambda f: let(F.transform(f, lambda h: _bin(h, bins)), lambda at: filled(f, at)))
+        low = F.transform(values, lambda h: F.lpad(F.lower(F.hex(h.bitwiseAND(F.lit((1 << BITS) - 1)))), BITS // 4, "0"))
+        return F.when(F.size(words) == 0, "").otherwise(F.array_join(low, ""))
+
+    return let(words_of(text), of)
 
 
 def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
@@ -54,7 +60,7 @@ def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
 
 
 def _bin(h: Column, bins: int) -> Column:
-    return F.shiftrightunsigned(h, 65 - bins.bit_length())
+    return F.shiftrightunsigned(h, 65 - bins.bit_length()).cast("long")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,10 +78,32 @@ def spliced_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Only ids are put in order: each range partition links its own rows, and one row a partition links the ranges.
     """
     rows = texts_of(docs, id_col, text_col).withColumns(dict(zip(("doc", "sig"), row_key())))
-    half = F.length("text") - F.floor(F.length("text") / 2)
-    links = _next_rows(rows.select("doc", "sig"))
-    left = rows.select("doc_id", "doc", "sig", F.length("text").cast("long").alias("n_chars"), F.expr("left(text, length(text) - length(text) div 2)").alias("begin"), fingerprint(F.col("text")).alias("fingerprint"))
-    left = left.join(links, ["doc", "sig"])
-    # a row lends at most as many characters as the longest of those before it needs
-    needs = left.groupBy("next_doc", "next_sig").agg(F.max("n_chars").alias("most"))
-    return left
+    links = _next_rows(rows.select("doc", "sig", F.length("text").alias("n")))
+    lender = rows.select(F.col("doc").alias("next_doc"), F.col("sig").alias("next_sig"), "text", fingerprint(F.col("text")).alias("next_print"))
+    lent = lender.join(links, ["next_doc", "next_sig"]).select("doc", "sig", F.expr("left(text, n div 2)").alias("lent"), "next_print")
+    lent = lent.groupBy("doc", "sig").agg(F.first("lent").alias("lent"), F.first("next_print").alias("next_print"))
+    kept = rows.select(
+        *("doc_id", "doc", "sig", F.length("text").cast("long").alias("n_chars")),
+        F.expr("left(text, length(text) - length(text) div 2)").alias("begin"),
+        fingerprint(F.col("text")).alias("fingerprint"),
+    )
+    edited = kept.join(lent, ["doc", "sig"]).withColumn("edited", F.concat("begin", "lent"))
+    made = edited.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_print"
+    )
+    near = [likeness(F.col("fingerprint"), F.col(c)).alias(n) for c, n in (("edited_fingerprint", "near_edited"), ("next_print", "near_next"))]
+    return made.select(*made.columns[:-1], *near)
+
+
+def _next_rows(keys: DataFrame) -> DataFrame:
+    """The next key of each distinct key: doc, sig, n, next_doc, next_sig."""
+    unique = written(keys.groupBy("doc", "sig").agg(F.max("n").alias("n")), "keys")
+    ranged = unique.repartitionByRange("doc", "sig").withColumn("part", F.spark_partition_id())
+    ranged = written(ranged, "ranges")  # so that each row stays in its range, whatever is worked out again
+    own = F.lead(F.struct("doc", "sig"))
+    linked = ranged.withColumn("next", own.over(Window.partitionBy("part").orderBy("doc", "sig")))
+    first = ranged.groupBy("part").agg(F.min(F.struct("doc", "sig")).alias("first"))
+    every = Window.partitionBy(F.lit(0))  # one row for each range
+    after = first.select("part", F.coalesce(F.lead("first").over(every.orderBy("part")), F.min("first").over(every)).alias("after"))
+    linked = linked.join(after, "part").withColumn("next", F.coalesce("next", "after"))
+    return linked.select("doc", "sig", "n", F.col("next.doc").alias("next_doc"), F.col("next.sig").alias("next_sig"))

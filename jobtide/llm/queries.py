@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from jobtide.llm.byte_bpe import decode, encode
 from jobtide.llm.common import documents
+from jobtide.llm.fingerprints import spliced_fingerprints
 from jobtide.llm.packing import pack
+from jobtide.llm.quality_rules import quality_rules
 from jobtide.llm.token_counts import token_counts
 
 _PATTERN = public_tokenizers.PATTERN
@@ -24,6 +26,11 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), _PATTERN)
 
 
+def op5_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    names = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept char_distance word_distance"
+    return quality_rules(documents(spark, folder).select("doc_id", "text")).select(*names.split())
+
+
 def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     vocab = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = encode(documents(spark, folder), vocab, _PATTERN)
@@ -32,8 +39,12 @@ def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return texts.select("doc_id.doc_id", "doc_id.n_tokens", "doc_id.ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return spliced_fingerprints(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pack_sequences, op4_token_counts, op7_bpe_round_trip)
+    for f in (op1_pack_sequences, op4_token_counts, op5_quality_divergence, op7_bpe_round_trip, op8_fingerprints)
 }
 ORACLES: dict[str, str] = {}
