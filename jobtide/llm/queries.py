@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from jobtide.llm import bloom_model
 from jobtide.llm.byte_bpe import decode, encode
 from jobtide.llm.common import documents
 from jobtide.llm.fingerprints import spliced_fingerprints
 from jobtide.llm.packing import pack
 from jobtide.llm.quality_rules import quality_rules
+from jobtide.llm.resampling import resample
 from jobtide.llm.token_counts import token_counts
 
 _PATTERN = public_tokenizers.PATTERN
@@ -22,6 +24,10 @@ def op1_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_resample_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return resample(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), _PATTERN)
 
@@ -43,8 +49,22 @@ def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return spliced_fingerprints(documents(spark, folder))
 
 
+def op10_bloom_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held_out = documents(spark, folder), F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    scored = bloom_model.score(docs, bloom_model.fit(docs.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), *scored.columns[1:])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pack_sequences, op4_token_counts, op5_quality_divergence, op7_bpe_round_trip, op8_fingerprints)
+    for f in (
+        op1_pack_sequences,
+        op2_resample_quality,
+        op4_token_counts,
+        op5_quality_divergence,
+        op7_bpe_round_trip,
+        op8_fingerprints,
+        op10_bloom_language_model,
+    )
 }
 ORACLES: dict[str, str] = {}
