@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobtide.llm import bloom_model
+from jobtide.llm import bloom_model, chunk_dedup, suffixes
 from jobtide.llm.byte_bpe import decode, encode
 from jobtide.llm.common import documents
 from jobtide.llm.fingerprints import spliced_fingerprints
@@ -28,6 +28,10 @@ def op2_resample_quality(spark: SparkSession, folder: str) -> DataFrame:
     return resample(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
 
 
+def op3_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return _digests(suffixes.dedup(documents(spark, folder)))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), _PATTERN)
 
@@ -49,6 +53,15 @@ def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return spliced_fingerprints(documents(spark, folder))
 
 
+def op9_chunk_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return _digests(chunk_dedup.dedup(documents(spark, folder)))
+
+
+def _digests(kept: DataFrame) -> DataFrame:
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return kept.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_bloom_language_model(spark: SparkSession, folder: str) -> DataFrame:
     docs, held_out = documents(spark, folder), F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
     scored = bloom_model.score(docs, bloom_model.fit(docs.where(~held_out)))
@@ -60,10 +73,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_pack_sequences,
         op2_resample_quality,
+        op3_repeated_spans,
         op4_token_counts,
         op5_quality_divergence,
         op7_bpe_round_trip,
         op8_fingerprints,
+        op9_chunk_dedup,
         op10_bloom_language_model,
     )
 }
