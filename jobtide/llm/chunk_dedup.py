@@ -41,15 +41,16 @@ def dedup(
     min_run: int = 100,
     id_col: str = "doc_id",
     text_col: str = "text",
+    carry: bool = False,
 ) -> DataFrame:
     """Take repeated passages out of all texts but the first: doc_id, kept (UTF-8), n_bytes, spans (removed, as start and stop byte).
 
     Texts are cut into content-defined chunks. Of equal chunks the one of the lowest id (then text hash, then place) is the first;
     others go where neighbouring ones make up ``min_run`` bytes or more. Rows equal in id and text count as one
     and keep the same text. A null text is empty; null ids come first. Only digests are shuffled to find repeats, counted before the
-    shuffle; those of repeated chunks then go to their texts.
+    shuffle; those of repeated chunks then go to their texts. With ``carry`` the other columns stay in a struct ``carried``.
     """
-    rows = keyed(docs, id_col, text_col)
+    rows = keyed(docs, id_col, text_col, carry)
 
     def run(batches):
         for batch in batches:

@@ -14,10 +14,10 @@ SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 _TEXT_BATCH = 4 << 20
 
 
-def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Columns ``doc_id`` and ``text`` alone, whatever else the input has; a null text is empty."""
+def texts_of(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """Columns ``doc_id``, ``text`` and ``more`` alone, whatever else the input has; a null text is empty."""
     ship_package(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:

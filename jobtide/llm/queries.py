@@ -11,6 +11,7 @@ from jobtide.llm import bloom_model, chunk_dedup, suffixes
 from jobtide.llm.byte_bpe import decode, encode
 from jobtide.llm.common import documents
 from jobtide.llm.fingerprints import spliced_fingerprints
+from jobtide.llm.near_duplicates import near_duplicates
 from jobtide.llm.packing import pack
 from jobtide.llm.quality_rules import quality_rules
 from jobtide.llm.resampling import resample
@@ -20,7 +21,11 @@ _PATTERN = public_tokenizers.PATTERN
 
 
 def op1_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = pack(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), _PATTERN)
+    return packed(documents(spark, folder))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    pieces = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), _PATTERN)
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -41,6 +46,10 @@ def op5_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(documents(spark, folder).select("doc_id", "text")).select(*names.split())
 
 
+def op6_minmax_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(documents(spark, folder)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     vocab = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = encode(documents(spark, folder), vocab, _PATTERN)
@@ -76,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_repeated_spans,
         op4_token_counts,
         op5_quality_divergence,
+        op6_minmax_near_duplicates,
         op7_bpe_round_trip,
         op8_fingerprints,
         op9_chunk_dedup,

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 from jobtide.llm.common import row_key, texts_of
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and the key (doc, sig) of each row."""
-    return texts_of(docs, id_col, text_col).withColumns(dict(zip(("doc", "sig"), row_key())))
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """doc_id, text and the key (doc, sig) of each row; with ``carry`` also ``carried``, a struct of all columns but the text."""
+    rows = docs.select("*", F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("__carried")) if carry else docs
+    texts = texts_of(rows, id_col, text_col, *(["__carried"] if carry else []))
+    return texts.withColumnRenamed("__carried", "carried").withColumns(dict(zip(("doc", "sig"), row_key())))
 
 
 def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -27,10 +29,11 @@ def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def without_spans(rows: DataFrame, spans: DataFrame, least: int = 1) -> DataFrame:
     """Texts without spans of their bytes: doc_id, kept (binary), n_bytes, spans (maximal removed runs of ``least`` bytes or more).
 
-    ``rows``: doc_id, text, doc, sig. ``spans``: doc, sig, start, stop; a row's spans come together with its text, which is longer.
+    ``rows``: doc_id, text, doc, sig, and carried, which stays, or not. ``spans``: doc, sig, start, stop; a row's spans come together with its text, which is longer.
     """
     lists = spans.groupBy("doc", "sig").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    key = rows.schema["doc_id"].dataType.simpleString()
+    stays = [c for c in ("doc_id", "carried") if c in rows.columns]
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in stays)
 
     def run(batches):
         for batch in batches:
@@ -44,8 +47,8 @@ def without_spans(rows: DataFrame, spans: DataFrame, least: int = 1) -> DataFram
                 gone.append([{"start": a, "stop": b} for a, b in out])
             pairs = pa.array(gone, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pairs], ["doc_id", "kept", "n_bytes", "spans"]
+                [*map(batch.column, stays), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pairs], [*stays, "kept", "n_bytes", "spans"]
             )
 
-    both = rows.join(lists, ["doc", "sig"], "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(run, f"doc_id {key}, kept binary, n_bytes long, spans array<struct<start:long,stop:long>>")
+    both = rows.join(lists, ["doc", "sig"], "left").select(*stays, "text", "spans")
+    return both.mapInArrow(run, f"{kinds}, kept binary, n_bytes long, spans array<struct<start:long,stop:long>>")
