@@ -68,42 +68,35 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return texts_of(docs, id_col, text_col).withColumn("fingerprint", fingerprint(F.col("text")))
 
 
-def spliced_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def spliced_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """Fingerprints of texts and of the same texts with their second half replaced by the start of the next document.
 
     The last floor(n / 2) of n characters give way to the first as many (or all) of the next row by id, then by a hash of
-    the text; after the last comes the first; the next of a single row is itself. Rows that repeat each other count once in this order and share their next. Null ids come
-    first. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    the text; after the last comes the first, and the next of a single row is itself. Rows that repeat each other follow each other.
+    Null ids come first. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Only ids are put in order: each range partition links its own rows, and one row a partition links the ranges.
+    Texts are shuffled once, by range of ids (``ranges`` of them, four for each shuffle partition unless given), and each looks at the
+    next in its range; a copy of the first row of the next range ends each range.
     """
+    spark = docs.sparkSession
+    ranges = ranges or min(4_000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = texts_of(docs, id_col, text_col).withColumns(dict(zip(("doc", "sig"), row_key())))
-    links = _next_rows(rows.select("doc", "sig", F.length("text").alias("n")))
-    lender = rows.select(F.col("doc").alias("next_doc"), F.col("sig").alias("next_sig"), "text", fingerprint(F.col("text")).alias("next_print"))
-    lent = lender.join(links, ["next_doc", "next_sig"]).select("doc", "sig", F.expr("left(text, n div 2)").alias("lent"), "next_print")
-    lent = lent.groupBy("doc", "sig").agg(F.first("lent").alias("lent"), F.first("next_print").alias("next_print"))
-    kept = rows.select(
-        *("doc_id", "doc", "sig", F.length("text").cast("long").alias("n_chars")),
-        F.expr("left(text, length(text) - length(text) div 2)").alias("begin"),
-        fingerprint(F.col("text")).alias("fingerprint"),
-    )
-    edited = kept.join(lent, ["doc", "sig"]).withColumn("edited", F.concat("begin", "lent"))
-    made = edited.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_print"
-    )
-    near = [likeness(F.col("fingerprint"), F.col(c)).alias(n) for c, n in (("edited_fingerprint", "near_edited"), ("next_print", "near_next"))]
-    return made.select(*made.columns[:-1], *near)
-
+    cuts = rows.agg(F.percentile_approx("doc", [i / ranges for i in range(1, ranges)], F.lit(100 * ranges))).first()[0] if ranges > 1 else []
+    cuts = F.lit(sorted(set(cuts or [])))
+    rows = rows.withColumn("range", F.size(F.filter(cuts.cast("array<long>"), lambda c: c <= F.col("doc"))))
 
-def _next_rows(keys: DataFrame) -> DataFrame:
-    """The next key of each distinct key: doc, sig, n, next_doc, next_sig."""
-    unique = written(keys.groupBy("doc", "sig").agg(F.max("n").alias("n")), "keys")
-    ranged = unique.repartitionByRange("doc", "sig").withColumn("part", F.spark_partition_id())
-    ranged = written(ranged, "ranges")  # so that each row stays in its range, whatever is worked out again
-    own = F.lead(F.struct("doc", "sig"))
-    linked = ranged.withColumn("next", own.over(Window.partitionBy("part").orderBy("doc", "sig")))
-    first = ranged.groupBy("part").agg(F.min(F.struct("doc", "sig")).alias("first"))
+    first = rows.groupBy("range").agg(F.min(F.struct("doc", "sig")).alias("own"))
     every = Window.partitionBy(F.lit(0))  # one row for each range
-    after = first.select("part", F.coalesce(F.lead("first").over(every.orderBy("part")), F.min("first").over(every)).alias("after"))
-    linked = linked.join(after, "part").withColumn("next", F.coalesce("next", "after"))
-    return linked.select("doc", "sig", "n", F.col("next.doc").alias("next_doc"), F.col("next.sig").alias("next_sig"))
+    first = first.select("range", F.coalesce(F.lead("own").over(every.orderBy("range")), F.min("own").over(every)).alias("own"))
+    first = written(first.select(F.col("range").alias("last_of"), "own.*"), "ranges")
+    ends = rows.join(F.broadcast(first), ["doc", "sig"])  # at most ``ranges`` rows
+    ends = ends.dropDuplicates(["last_of"]).withColumns({"range": F.col("last_of"), "end": F.lit(True)}).drop("last_of")
+
+    order = Window.partitionBy("range").orderBy("end", "doc", "sig")
+    named = rows.withColumn("end", F.lit(False)).unionByName(ends).withColumn("fingerprint", fingerprint(F.col("text")))
+    named = named.withColumns({"next": F.lead("text").over(order), "next_print": F.lead("fingerprint").over(order)}).where("NOT end")
+    edited = F.expr("concat(left(text, length(text) - length(text) div 2), left(next, length(text) div 2))")
+    made = named.select("doc_id", F.length("text").cast("long").alias("n_chars"), "fingerprint", "next_print", edited.alias("edited"))
+    made = made.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
+    near = [likeness(F.col("fingerprint"), F.col(c)).alias(n) for c, n in (("edited_fingerprint", "near_edited"), ("next_print", "near_next"))]
+    return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", *near)
