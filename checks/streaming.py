@@ -12,14 +12,6 @@ def stream_of(d, table):
     return instants(d.spark.readStream.schema(schema).parquet(path.replace(".parquet", ".parque[t]")))
 
 
-def drained(d, stream, label):
-    """Run a stream over the files present and return what it wrote."""
-    root = d.folder_for(label)
-    writer = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return d.spark.read.schema(stream.schema).parquet(f"{root}/out")
-
-
 @check("stream_status_changes", """
 SELECT job_id, coalesce(before, 'unknown') AS old_status, status AS new_status, observed_at AS changed_at FROM (
   SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY observed_at) AS before FROM {observations} WHERE status IS NOT NULL)
@@ -32,7 +24,18 @@ def stream_status_changes(d):
         F.when(F.col("event_type") == "signup", "unknown").when(F.col("event_type") == "purchase", "closed")
         .when(F.col("event_type") != "error", "open").alias("status"),
     )
-    return drained(d, changes.status_changes_stream(seen), "status-changes")
+    root = d.folder_for("status-changes")
+    changes.status_changes_stream(seen, f"{root}/state", f"{root}/checkpoint", buckets=8).awaitTermination()
+    return changes.changes_written(d.spark, f"{root}/state")
+
+
+@check("status_changes_table", """
+SELECT job_id, coalesce(before, 'unknown') AS old_status, status AS new_status, observed_at AS changed_at FROM (
+  SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY observed_at) AS before FROM {observations} WHERE status IS NOT NULL)
+WHERE coalesce(before, 'unknown') <> status
+""")
+def status_changes_table(d):
+    return changes.status_changes_batch(d.view("observations"))
 
 
 @check("stream_upsert", f"WITH {MERGED} SELECT {_SHOWN} FROM kept UNION ALL SELECT {_SHOWN} FROM added")
@@ -40,11 +43,12 @@ def stream_upsert(d):
     # the crawl arrives as files; jobs are the state before the first of them
     root = d.folder_for("upsert")
     nothing = {"date_posted": F.lit(None).cast("timestamp"), "description_preview": F.lit(None).cast("string")}
-    d.sql(CRAWL).withColumns(nothing).write.parquet(f"{root}/crawl")
-    files = d.spark.readStream.schema(d.spark.read.parquet(f"{root}/crawl").schema).parquet(f"{root}/crawl")
-    query = crawl.upsert_stream(files, _conformed(d, KNOWN), f"{root}/state", f"{root}/checkpoint", AS_OF)
+    # several triggers; all listings of a URL come in one, as the SQL sees them together
+    d.sql(CRAWL).withColumns(nothing).repartition(3, "job_url").write.parquet(f"{root}/crawl")
+    files = d.spark.readStream.schema(d.spark.read.parquet(f"{root}/crawl").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/crawl")
+    query = crawl.upsert_stream(files, _conformed(d, KNOWN), f"{root}/state", f"{root}/checkpoint", AS_OF, buckets=8)
     query.awaitTermination()
-    return crawl.current_jobs(d.spark, f"{root}/state").select(*_SHOWN.split(", "))
+    return crawl.current_jobs(d.spark, f"{root}/state", buckets=8).select(*_SHOWN.split(", "))
 
 
 @check("stream_activity_windows", f"""
@@ -55,8 +59,7 @@ starts AS (SELECT moved.*, time_bucket(INTERVAL '720 hours', changed_at, TIMESTA
            FROM moved, (SELECT unnest(range(2)) AS age))
 SELECT company_id, window_start, window_start + INTERVAL '{CLOSURE_HOURS} hours' AS window_end,
        count(*) FILTER (is_update) AS updates, count(*) FILTER (is_closure) AS closures
-FROM starts WHERE window_start + INTERVAL '{CLOSURE_HOURS} hours' <= (SELECT max(changed_at) - INTERVAL '1 hour' FROM moved)
-GROUP BY 1, 2
+FROM starts GROUP BY 1, 2
 """)
 def stream_activity_windows(d):
     history = stream_of(d, "lineitem").select(
@@ -65,15 +68,18 @@ def stream_activity_windows(d):
         F.when(F.col("l_linestatus") == "O", "open").otherwise("closed").alias("new_status"),
         F.col("l_shipdate").alias("changed_at"),
     )
-    moved = activity.with_company(history, d.view("jobs"))
-    return drained(d, activity.activity_windows(moved, CLOSURE_HOURS, CLOSURE_HOURS // 2), "activity")
+    root, slide = d.folder_for("activity"), CLOSURE_HOURS // 2
+    activity.activity_stream(history, f"{root}/state", f"{root}/checkpoint", slide, buckets=8).awaitTermination()
+    return activity.activity_windows(d.spark, f"{root}/state", d.view("jobs"), CLOSURE_HOURS, slide, buckets=8)
 
 
-@check("stream_first_seen", "SELECT DISTINCT user_id AS company_id, concat('https://c.example.com/jobs/', event_type) AS job_url FROM {events}")
+@check("stream_first_seen", "SELECT user_id AS company_id, concat('https://c.example.com/jobs/', event_type) AS job_url, min(ts) AS seen_at FROM {events} GROUP BY 1, 2")
 def stream_first_seen(d):
     sightings = stream_of(d, "events").select(
         F.col("user_id").alias("company_id"),
         F.concat(F.lit("https://c.example.com/jobs/"), "event_type").alias("job_url"),
         F.col("ts").alias("seen_at"),
     )
-    return drained(d, crawl.first_seen(sightings, "60 days"), "first-seen").select("company_id", "job_url")
+    root = d.folder_for("first-seen")
+    crawl.first_seen_stream(sightings, f"{root}/state", f"{root}/checkpoint", buckets=8).awaitTermination()
+    return crawl.first_seen(d.spark, f"{root}/state", buckets=8)

@@ -16,7 +16,6 @@ COMPANY_SUMMARY = (
     "last_checked",
 )
 COMPANY_DETAIL = (*COMPANY_SUMMARY, "last_job_count", "created_at", "updated_at")
-JOBS_PER_PART = 1000
 
 
 class Page(NamedTuple):
@@ -126,29 +125,18 @@ def company_jobs(jobs: DataFrame, company_id: int, status: str | None = None) ->
     return wanted.orderBy(F.desc("created_at"), "job_id").select(*JOB_SUMMARY)
 
 
-def company_with_jobs(companies: DataFrame, jobs: DataFrame, jobs_per_part: int = JOBS_PER_PART) -> DataFrame:
-    """Companies with their jobs nested as an array ordered by id.
+def company_with_jobs(companies: DataFrame, jobs: DataFrame, parts: int = 1) -> DataFrame:
+    """Companies with their jobs nested as an array ordered by id, in ``parts`` rows each (``part`` from 0).
 
-    A company with more than ``jobs_per_part`` jobs comes as several rows (``part`` of ``parts``) that together
-    hold all its jobs, so no row and no task grows with the size of one company.
+    Part p holds the jobs whose id leaves p when divided by ``parts``, for every company alike. Choose so many that the jobs of the
+    largest company, spread over them, fit into rows.
     """
-    sizes = jobs.groupBy("company_id").agg(F.count("*").alias("job_count"))
-    parts = F.greatest(F.lit(1), F.ceil(F.coalesce("job_count", F.lit(0)) / jobs_per_part)).cast("int")
-    owners = (
-        companies.select(*COMPANY_DETAIL)
-        .join(sizes, "company_id", "left")
-        .withColumns({"job_count": F.coalesce("job_count", F.lit(0)), "parts": parts})
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    )
-    # Only the few companies that need splitting take part in this join; the others stay whole.
-    big = sizes.filter(F.col("job_count") > jobs_per_part).select(
-        "company_id", F.ceil(F.col("job_count") / jobs_per_part).alias("_parts")
-    )
-    part = F.coalesce(F.pmod(F.xxhash64("job_id"), F.col("_parts")), F.lit(0)).cast("int")
-    placed = jobs.select(*JOB_SUMMARY).join(big, "company_id", "left").withColumn("part", part)
-    nested = placed.groupBy("company_id", "part").agg(F.array_sort(F.collect_list(F.struct(*JOB_SUMMARY))).alias("jobs"))
-    out = owners.join(nested, ["company_id", "part"], "left")
-    return out.withColumn("jobs", F.coalesce("jobs", F.array().cast(nested.schema["jobs"].dataType)))
+    part = F.pmod("job_id", F.lit(parts)).cast("int")
+    nested = jobs.withColumn("part", part).groupBy("company_id", "part")
+    nested = nested.agg(F.array_sort(F.collect_list(F.struct(*JOB_SUMMARY))).alias("jobs"), F.count("*").alias("job_count"))
+    every = companies.select(*COMPANY_DETAIL, F.lit(parts).alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    out = every.join(nested, ["company_id", "part"], "left")
+    return out.withColumns({"jobs": F.coalesce("jobs", F.array().cast(nested.schema["jobs"].dataType)), "job_count": F.coalesce("job_count", F.lit(0))})
 
 
 def hiring_stats(companies: DataFrame, jobs: DataFrame, top: int = 10) -> DataFrame:

@@ -2,32 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from jobtide.streaming.state import BucketState, run_batches
 
-def with_company(history: DataFrame, jobs: DataFrame) -> DataFrame:
-    """History rows (stream or table) with their job's company and present status."""
-    owner = jobs.select("job_id", "company_id", F.col("status").alias("job_status"))
-    return history.join(owner, "job_id")
+_COUNTS = "job_id bigint, slot timestamp, updates bigint, closures bigint"
 
 
-def activity_windows(changes: DataFrame, hours: int, slide_hours: int = 1, delay: str = "1 hour") -> DataFrame:
-    """Updates and closures per company in windows of ``hours``, one every ``slide_hours``.
+def _state(spark: SparkSession, path: str, buckets: int) -> BucketState:
+    return BucketState(spark, path, _COUNTS, ["job_id"], buckets)
 
-    Rows are first counted in windows as long as the slide, so each is aggregated once; only those counts go
-    into the overlapping windows. Rows later than ``delay`` are dropped and a window appears once it is over.
+
+def activity_stream(history: DataFrame, path: str, checkpoint: str, slide_hours: int = 1, buckets: int = 64) -> StreamingQuery:
+    """Keep counts of updates and closures per job and slot of ``slide_hours`` below ``path``.
+
+    A trigger's rows are counted per job and slot before anything moves, so a busy job is a few rows; the counts are added to
+    those of earlier triggers, whatever order rows come in. Nothing is too late and nothing is dropped.
     """
-    update = F.col("old_status") != F.col("new_status")
-    closure = (F.col("new_status") == "closed") & (F.col("job_status") == "closed")
-    slide = f"{slide_hours} hours"
-    counted = (
-        changes.withColumn("changed_at", F.col("changed_at").cast("timestamp"))
-        .withWatermark("changed_at", delay)
-        .groupBy("company_id", F.window("changed_at", slide).alias("slot"))
-        .agg(F.count_if(update).alias("updates"), F.count_if(closure).alias("closures"))
-    )
+    state = _state(history.sparkSession, path, buckets)
+    slot = F.window(F.col("changed_at").cast("timestamp"), f"{slide_hours} hours")["start"]
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        moved = F.coalesce(F.col("old_status") != F.col("new_status"), F.lit(False))
+        counted = batch.groupBy("job_id", slot.alias("slot")).agg(F.count_if(moved).alias("updates"), F.count_if(F.col("new_status") == "closed").alias("closures"))
+        touched = state.touched(counted)
+        both = state.before(batch_id, touched).unionByName(counted)
+        summed = both.groupBy("job_id", "slot").agg(F.sum("updates").alias("updates"), F.sum("closures").alias("closures"))
+        state.update(batch_id, touched, summed)
+
+    return run_batches(history, add, checkpoint)
+
+
+def activity_windows(spark: SparkSession, path: str, jobs: DataFrame, hours: int, slide_hours: int = 1, buckets: int = 64) -> DataFrame:
+    """Updates and closures per company in windows of ``hours``, one every ``slide_hours``, from the counts that ``activity_stream`` keeps.
+
+    A closure counts while its job is closed at present. Every window that holds a change appears, also one that is not over yet.
+    ``hours`` is a multiple of ``slide_hours``.
+    """
+    if hours % slide_hours:
+        raise ValueError("windows are made of whole slides")
+    owner = jobs.select("job_id", "company_id", (F.col("status") == "closed").alias("closed"))
+    slots = _state(spark, path, buckets).rows().join(owner, "job_id").groupBy("company_id", "slot")
+    slots = slots.agg(F.sum("updates").alias("updates"), F.sum(F.when(F.col("closed"), F.col("closures")).otherwise(0)).alias("closures"))
+    back = F.explode(F.sequence(F.lit(0), F.lit(hours // slide_hours - 1)))
+    starts = slots.withColumn("back", back).withColumn("window_start", F.col("slot") - F.make_dt_interval(hours=F.col("back") * slide_hours))
     return (
-        counted.groupBy("company_id", F.window(F.window_time("slot"), f"{hours} hours", slide).alias("span"))
+        starts.groupBy("company_id", "window_start")
         .agg(F.sum("updates").alias("updates"), F.sum("closures").alias("closures"))
-        .select("company_id", F.col("span.start").alias("window_start"), F.col("span.end").alias("window_end"), "updates", "closures")
+        .select("company_id", "window_start", (F.col("window_start") + F.make_dt_interval(hours=F.lit(hours))).alias("window_end"), "updates", "closures")
     )

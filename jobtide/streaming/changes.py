@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from jobtide.sources.shared import written
+from jobtide.streaming.state import BucketState, run_batches
 
 CHANGES = "job_id bigint, old_status string, new_status string, changed_at timestamp"
-_STATE = "status string, seen_at bigint"
+_LAST = "job_id bigint, status string, seen_at timestamp"
 # A job nobody has looked at yet.
 _START = "unknown"
 
@@ -18,64 +20,55 @@ def _observed(observations: DataFrame) -> DataFrame:
     return seen.select("job_id", F.col("observed_at").cast("timestamp").alias("observed_at"), "status")
 
 
-def _step(key, frames, state):
-    """Changes of one job in one trigger; observations older than the last one seen are ignored.
+def status_changes_stream(observations: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Write a change row whenever a job's observed status differs from the one before, below ``path``.
 
-    Only times and one-byte status codes are held, some 20 bytes an observation, as rows come in no order.
+    State is the last status and time of each job, in buckets. A trigger compares its rows as ``status_changes_batch`` does, so one busy
+    job spreads over many tasks. Observations not newer than the job's last one of an earlier trigger can change nothing that was
+    written; they go to ``late`` beside the ``changes``. Observations without a job are left out, as there.
     """
-    last, seen_at = state.get if state.exists else (_START, None)
-    names, times, codes = {last: 0}, [], []
-    for frame in frames:
-        local, found = pd.factorize(frame["status"])
-        codes.append(np.array([names.setdefault(name, len(names)) for name in found], "int8")[local])
-        times.append(frame["observed_at"].to_numpy("datetime64[us]").astype("int64"))
-    times, codes = np.concatenate(times), np.concatenate(codes)
-    rank = np.argsort(np.argsort(list(names)))
-    order = np.lexsort((rank[codes], times))
-    if seen_at is not None:
-        order = order[times[order] > seen_at]
-    if not len(order):
-        return
-    times, codes = times[order], codes[order]
-    before = np.concatenate(([0], codes[:-1]))
-    moved = codes != before
-    label = np.array(list(names), dtype=object)
-    state.update((label[codes[-1]], int(times[-1])))
-    yield pd.DataFrame(
-        {
-            "job_id": key[0],
-            "old_status": label[before[moved]],
-            "new_status": label[codes[moved]],
-            "changed_at": times[moved].astype("datetime64[us]"),
-        }
-    )
+    spark = observations.sparkSession
+    state = BucketState(spark, f"{path}/last", _LAST, ["job_id"], buckets)
 
+    def step(batch: DataFrame, batch_id: int) -> None:
+        seen = written(_observed(batch).where("job_id IS NOT NULL"), "observed")
+        touched = state.touched(seen)
+        last = state.before(batch_id, touched)
+        known = seen.join(last.select("job_id", "seen_at"), "job_id", "left")
+        late = F.coalesce(F.col("observed_at") <= F.col("seen_at"), F.lit(False))
+        known.where(late).select(*seen.columns).write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+        fresh = known.where(~late).select(*seen.columns)
+        status_changes_batch(fresh, last=last).write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
+        newest = fresh.groupBy("job_id").agg(F.max(F.struct("observed_at", "status")).alias("m"))
+        newest = newest.select("job_id", F.col("m.status").alias("status"), F.col("m.observed_at").alias("seen_at"))
+        old = last.join(newest, "job_id", "left_anti")
+        state.update(batch_id, touched, old.unionByName(newest))
 
-def status_changes_stream(observations: DataFrame) -> DataFrame:
-    """A change row whenever a job's observed status differs from the one before.
+    return run_batches(observations, step, checkpoint)
 
-    State is one status and time per job. What a task holds of one job is bounded by the size of a trigger
-    (``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` on the source); use ``status_changes_batch`` to work
-    through a long backlog.
-    """
-    from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return (
-        _observed(observations)
-        .groupBy("job_id")
-        .applyInPandasWithState(_step, CHANGES, _STATE, "append", GroupStateTimeout.NoTimeout)
-    )
+def changes_written(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(CHANGES).parquet(f"{path}/changes").select("job_id", "old_status", "new_status", "changed_at")
+
+
+def late_observations(spark: SparkSession, path: str) -> DataFrame:
+    """What came too late to count."""
+    return spark.read.schema("job_id bigint, observed_at timestamp, status string").parquet(f"{path}/late").select("job_id", "observed_at", "status")
 
 
-def status_changes_batch(observations: DataFrame, block: str = "day") -> DataFrame:
-    """The same rows from a table. Each job's history is cut into time blocks that are compared on their own;
+def status_changes_batch(observations: DataFrame, block: str = "day", last: DataFrame | None = None) -> DataFrame:
+    """The same rows from a table; ``last`` (job_id, status) gives the statuses known before it. Each job's history is cut into time blocks that are compared on their own;
     only the last status of a block is handed to the next, so a job with very many observations spreads out."""
     seen = _observed(observations).withColumn("block", F.date_trunc(block, "observed_at"))
     inside = Window.partitionBy("job_id", "block").orderBy("observed_at", "status")
     compared = seen.withColumn("before", F.lag("status").over(inside))
 
     ends = seen.groupBy("job_id", "block").agg(F.max_by("status", F.struct("observed_at", "status")).alias("end"))
-    handed = ends.withColumn("handed", F.lag("end", 1, _START).over(Window.partitionBy("job_id").orderBy("block")))
+    handed = ends.withColumn("handed", F.lag("end").over(Window.partitionBy("job_id").orderBy("block")))
+    if last is not None:
+        handed = handed.join(last.select("job_id", F.col("status").alias("known")), "job_id", "left")
+        handed = handed.withColumn("handed", F.coalesce("handed", "known")).drop("known")
+    handed = handed.withColumn("handed", F.coalesce("handed", F.lit(_START)))
     previous = F.coalesce("before", "handed")
     return (
         compared.join(handed.drop("end"), ["job_id", "block"])

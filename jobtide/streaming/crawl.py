@@ -5,53 +5,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from jobtide.operators.merging import upsert_jobs
+from jobtide.operators.merging import match_listings, merge_matched
+from jobtide.schemas import JOBS
+from jobtide.sources.shared import written
+from jobtide.streaming.state import BucketState, run_batches
 
+_SIGHTING = "company_id bigint, job_url string, seen_at timestamp"
 
-def _state_path(path: str, batch_id: int) -> str:
-    return f"{path}/batch={batch_id}"
 
+def _jobs_state(spark: SparkSession, path: str, buckets: int) -> BucketState:
+    return BucketState(spark, f"{path}/jobs", JOBS, ["job_url"], buckets)
 
-def upsert_stream(listings: DataFrame, jobs: DataFrame, path: str, checkpoint: str, as_of) -> StreamingQuery:
-    """Merge every trigger's listings into the jobs state below ``path``.
 
-    Trigger n reads the state of trigger n-1 (the first one reads ``jobs``) and writes its own folder, so a
-    repeated trigger overwrites the same folder with the same rows and never reads what it writes. Errors are
-    written beside the state. The stream stops when the files present are worked off.
+def upsert_stream(listings: DataFrame, jobs: DataFrame, path: str, checkpoint: str, as_of, buckets: int = 64) -> StreamingQuery:
+    """Merge every trigger's listings into the jobs state below ``path``, which starts with ``jobs``.
+
+    State lies in buckets of the job URL, by which listings and jobs are matched, so a trigger reads and rewrites the buckets of
+    its URLs only. The match is written once and gives both the jobs and the errors, which are written beside the state. The stream stops
+    when the files present are worked off.
     """
+    state = _jobs_state(listings.sparkSession, path, buckets)
+    state.start(jobs)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        old = jobs if batch_id == 0 else batch.sparkSession.read.parquet(_state_path(f"{path}/jobs", batch_id - 1))
-        result = upsert_jobs(old.select(*jobs.columns), batch, as_of)
-        result.errors.write.mode("overwrite").parquet(_state_path(f"{path}/errors", batch_id))
-        result.jobs.write.mode("overwrite").parquet(_state_path(f"{path}/jobs", batch_id))
+        listed = batch.filter(F.col("job_url") != "")
+        touched = state.touched(listed)
+        old = state.before(batch_id, touched)
+        result = merge_matched(old, written(match_listings(old, listed), "matched"), as_of)
+        result.errors.write.mode("overwrite").parquet(f"{path}/errors/batch={batch_id}")
+        state.update(batch_id, touched, result.jobs)
 
-    return (
-        listings.writeStream.foreachBatch(merge)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return run_batches(listings, merge, checkpoint)
 
 
-def current_jobs(spark: SparkSession, path: str) -> DataFrame:
-    """Jobs after the last trigger; finding it reads folder names only."""
-    state = spark.read.parquet(f"{path}/jobs")
-    last = state.agg(F.max("batch")).first()[0]
-    return state.filter(F.col("batch") == last).drop("batch")
+def current_jobs(spark: SparkSession, path: str, buckets: int = 64) -> DataFrame:
+    """Jobs after the last trigger: the bucket folders that its manifest names, and no others."""
+    return _jobs_state(spark, path, buckets).rows()
 
 
-def _thin(frames):
-    """Drop repeats within each Arrow batch, so that a very common listing is small before it is shuffled."""
-    for frame in frames:
-        yield frame.sort_values("seen_at").drop_duplicates(["company_id", "job_url"])
+def first_seen_stream(sightings: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keep the earliest sighting of each company and URL (columns company_id, job_url, seen_at) below ``path``.
 
+    Repeats combine before the shuffle, so a very common listing is one row a task. Whatever the order of files, the earliest time
+    stays, and no key is ever forgotten.
+    """
+    state = BucketState(sightings.sparkSession, path, _SIGHTING, ["company_id", "job_url"], buckets)
 
-def first_seen(sightings: DataFrame, delay: str = "7 days") -> DataFrame:
-    """One row per company and URL sighted (columns company_id, job_url, seen_at).
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        found = _earliest(batch.select("company_id", "job_url", F.col("seen_at").cast("timestamp").alias("seen_at")))
+        touched = state.touched(found)
+        state.update(batch_id, touched, _earliest(state.before(batch_id, touched).unionByName(found)))
 
-    A key is forgotten once the watermark passes its last sighting by ``delay``.
-    """
-    narrow = sightings.select("company_id", "job_url", F.col("seen_at").cast("timestamp").alias("seen_at"))
-    thinned: DataFrame = narrow.mapInPandas(_thin, narrow.schema)
-    return thinned.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["company_id", "job_url"])
+    return run_batches(sightings, merge, checkpoint)
+
+
+def first_seen(spark: SparkSession, path: str, buckets: int = 64) -> DataFrame:
+    """One row per company and URL, with its first sighting."""
+    return BucketState(spark, path, _SIGHTING, ["company_id", "job_url"], buckets).rows()
+
+
+def _earliest(sightings: DataFrame) -> DataFrame:
+    return sightings.groupBy("company_id", "job_url").agg(F.min("seen_at").alias("seen_at"))

@@ -1,0 +1,84 @@
+"""State of a stream as a table in buckets: a trigger rewrites the buckets it touches, a manifest says where each one lies."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+_BUCKET = "state_bucket"
+
+
+class BucketState:
+    """Rows below ``path``, spread over ``buckets`` by a hash of ``keys``.
+
+    Trigger n reads the manifest of the last trigger before it and writes data folders and a manifest of its own, the manifest last. A
+    repeated trigger writes the same again and never reads what it writes. Folders that the latest manifest does not name can be dropped.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int = 64):
+        self._spark, self._path, self._keys, self._buckets = spark, path.rstrip("/"), keys, buckets
+        self._schema = spark.createDataFrame([], schema).schema
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self._keys), F.lit(self._buckets)).cast("int")
+
+    def _manifests(self) -> list[int]:
+        """Numbers of the finished manifests, from folder names alone."""
+        folder = self._spark._jvm.org.apache.hadoop.fs.Path(f"{self._path}/manifest")
+        files = folder.getFileSystem(self._spark._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            return []
+        found = [s.getPath() for s in files.listStatus(folder)]
+        done = [p for p in found if files.exists(self._spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(p.getName().rpartition("=")[2]) for p in done)
+
+    def _places(self, before: int | None = None) -> dict[int, str]:
+        """Data folder of each bucket, as of the last trigger (before ``before``); at most ``buckets`` entries."""
+        finished = [n for n in self._manifests() if before is None or n < before]
+        if not finished:
+            return {}
+        rows = self._spark.read.schema("bucket int, folder string").parquet(f"{self._path}/manifest/batch={finished[-1]}").collect()
+        return {r.bucket: r.folder for r in rows}
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self._spark.createDataFrame([], self._schema)
+        return self._spark.read.schema(self._schema).parquet(*[f"{self._path}/data/{f}" for f in sorted(folders)])
+
+    def rows(self) -> DataFrame:
+        """All rows after the last trigger; only the folders that the manifest names are opened."""
+        return self._rows(list(self._places().values()))
+
+    def start(self, rows: DataFrame) -> None:
+        """Fill an empty state, before the first trigger."""
+        if not self._manifests():
+            self._write(-1, {}, rows.select(*self._schema.names, self.bucket().alias(_BUCKET)), range(self._buckets))
+
+    def touched(self, delta: DataFrame) -> list[int]:
+        """Buckets that rows of ``delta`` fall into."""
+        return [r[0] for r in delta.select(self.bucket()).distinct().collect()]
+
+    def before(self, batch_id: int, buckets: list[int]) -> DataFrame:
+        """Rows of some buckets as they were before a trigger."""
+        places = self._places(batch_id)
+        return self._rows([places[b] for b in buckets if b in places])
+
+    def update(self, batch_id: int, buckets: list[int], rows: DataFrame) -> None:
+        """Put ``rows`` in the place of what ``buckets`` held before a trigger."""
+        self._write(batch_id, self._places(batch_id), rows.select(*self._schema.names, self.bucket().alias(_BUCKET)), buckets)
+
+    def _write(self, batch_id: int, places: dict[int, str], rows: DataFrame, buckets) -> None:
+        name = f"batch={batch_id}"
+        rows.repartition(_BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{self._path}/data/{name}")
+        written = self._spark._jvm.org.apache.hadoop.fs.Path(f"{self._path}/data/{name}")
+        files = written.getFileSystem(self._spark._jsc.hadoopConfiguration())
+        here = {int(n.rpartition("=")[2]): f"{name}/{n}" for n in (s.getPath().getName() for s in files.listStatus(written)) if "=" in n}
+        kept = {b: f for b, f in places.items() if b not in set(buckets)} | here
+        manifest = self._spark.createDataFrame(list(kept.items()), "bucket int, folder string")
+        manifest.coalesce(1).write.mode("overwrite").parquet(f"{self._path}/manifest/{name}")
+
+
+def run_batches(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str):
+    """Call ``work`` with each trigger's rows until the files present are worked off."""
+    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

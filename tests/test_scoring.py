@@ -110,12 +110,14 @@ def test_run_deltas_equal_scoring_at_every_run(spark):
     assert got == want
 
 
-def test_big_companies_come_in_parts(spark):
-    work = jobs(spark, [(i, 1, "open") for i in range(250)] + [(1000, 2, "open")])
-    rows = R.company_with_jobs(companies(spark, [(1, 0, 0), (2, 0, 0), (3, 0, 0)]), work, jobs_per_part=100).collect()
-    big = [r for r in rows if r.company_id == 1]
-    assert len(big) == 3 and sorted(j.job_id for r in big for j in r.jobs) == list(range(250))
-    assert {r.company_id: (r.parts, len(r.jobs)) for r in rows if r.company_id > 1} == {2: (1, 1), 3: (1, 0)}
+def test_every_company_comes_in_the_same_parts(spark):
+    work = jobs(spark, [(i, 1, "open") for i in range(5000)] + [(1000000, 2, "open")])
+    rows = R.company_with_jobs(companies(spark, [(1, 0, 0), (2, 0, 0), (3, 0, 0)]), work, parts=4).collect()
+    assert sorted((r.company_id, r.part, r.parts) for r in rows) == [(c, p, 4) for c in (1, 2, 3) for p in range(4)]
+    assert all([j.job_id for j in r.jobs] == list(range(r.part, 5000, 4)) for r in rows if r.company_id == 1)
+    assert [r.job_count for r in sorted(rows, key=lambda r: (r.company_id, r.part)) if r.company_id > 1] == [1, 0, 0, 0, 0, 0, 0, 0]
+    whole = R.company_with_jobs(companies(spark, [(1, 0, 0), (2, 0, 0)]), work).collect()
+    assert sorted((r.company_id, r.part, len(r.jobs)) for r in whole) == [(1, 0, 5000), (2, 0, 1)]
 
 
 def test_paging_and_search(spark):

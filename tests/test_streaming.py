@@ -1,13 +1,12 @@
 import random
 from datetime import datetime, timedelta
 
-import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from jobtide.operators.merging import upsert_jobs
 from jobtide.schemas import conform
 from jobtide.streaming import activity, changes, crawl
+from jobtide.streaming.state import BucketState
 
 START = datetime(2024, 1, 1)
 SEEN = "job_id long, observed_at timestamp, status string"
@@ -23,10 +22,9 @@ def stream(spark, folder, schema, per_trigger=1):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{folder}/*")
 
 
-def drain(df, root):
-    out = df.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
-    out.trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/out")
+def changed(spark, folder, root, per_trigger=1):
+    changes.status_changes_stream(stream(spark, folder, SEEN, per_trigger), f"{root}/state", f"{root}/checkpoint", buckets=4).awaitTermination()
+    return sorted(map(tuple, changes.changes_written(spark, f"{root}/state").collect()))
 
 
 def observations(n=400, seed=4):
@@ -46,10 +44,17 @@ def plain_changes(rows):
 
 
 def test_status_changes_over_several_triggers(spark, tmp_path):
-    rows = observations()
+    rows = observations()  # one job has most of them
     write_files(spark, tmp_path / "in", [rows[:150], rows[150:160], rows[160:]], SEEN)
-    got = drain(changes.status_changes_stream(stream(spark, tmp_path / "in", SEEN)), tmp_path)
-    assert sorted(map(tuple, got.collect())) == plain_changes(rows)
+    assert changed(spark, tmp_path / "in", tmp_path) == plain_changes(rows)
+    assert changes.late_observations(spark, f"{tmp_path}/state").count() == 0
+
+
+def test_a_hot_job_is_compared_by_blocks_of_time(spark):
+    seen = spark.createDataFrame(observations(), SEEN)
+    last = spark.createDataFrame([(0, "closed")], "job_id long, status string")
+    plan = changes.status_changes_batch(seen, last=last)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
 
 
 @pytest.mark.parametrize("block", ["hour", "day", "year"])
@@ -59,13 +64,13 @@ def test_status_changes_of_a_table(spark, block):
     assert sorted(map(tuple, got.collect())) == plain_changes(rows)
 
 
-def test_restart_and_stale_observations(spark, tmp_path):
+def test_restart_and_late_observations(spark, tmp_path):
     write_files(spark, tmp_path / "in", [[(1, START, "open")]], SEEN)
-    query = lambda: drain(changes.status_changes_stream(stream(spark, tmp_path / "in", SEEN)), tmp_path)
-    assert query().count() == 1
+    assert len(changed(spark, tmp_path / "in", tmp_path)) == 1
     later = [(1, START + timedelta(hours=2), "open"), (1, START + timedelta(hours=3), "closed"), (1, START - timedelta(hours=1), "unknown")]
     spark.createDataFrame(later, SEEN).coalesce(1).write.parquet(str(tmp_path / "in" / "001"))
-    assert sorted(map(tuple, query().collect())) == [(1, "open", "closed", START + timedelta(hours=3)), (1, "unknown", "open", START)]
+    assert changed(spark, tmp_path / "in", tmp_path) == [(1, "open", "closed", START + timedelta(hours=3)), (1, "unknown", "open", START)]
+    assert [tuple(r) for r in changes.late_observations(spark, f"{tmp_path}/state").collect()] == [(1, START - timedelta(hours=1), "unknown")]
 
 
 LISTING = "company_id long, job_title string, job_url string, location string, date_posted timestamp, description_preview string"
@@ -77,58 +82,73 @@ def test_upsert_stream(spark, tmp_path):
     write_files(spark, tmp_path / "in", batches, LISTING)
     jobs = conform(spark.createDataFrame([(1, 1, "old", "u1")], "job_id long, company_id long, job_title string, job_url string"), "jobs")
     start = lambda: crawl.upsert_stream(
-        stream(spark, tmp_path / "in", LISTING), jobs, str(tmp_path / "state"), str(tmp_path / "checkpoint"), "2024-06-15 12:00:00"
+        stream(spark, tmp_path / "in", LISTING), jobs, str(tmp_path / "state"), str(tmp_path / "checkpoint"), "2024-06-15 12:00:00", buckets=8
     ).awaitTermination()
     start()
     want = jobs
     for rows in batches:
         want = upsert_jobs(want, spark.createDataFrame(rows, LISTING), "2024-06-15 12:00:00").jobs
-    got = crawl.current_jobs(spark, str(tmp_path / "state"))
+    now = lambda: crawl.current_jobs(spark, str(tmp_path / "state"), buckets=8)
     show = lambda df: sorted(map(str, df.select("job_id", "company_id", "job_title", "job_url", "status", "last_checked").collect()))
-    assert show(got) == show(want)
+    assert show(now()) == show(want)
     start()  # nothing new: nothing changes
-    assert show(crawl.current_jobs(spark, str(tmp_path / "state"))) == show(want)
+    assert show(now()) == show(want)
+
+    before = set(now().inputFiles())
+    spark.createDataFrame([(1, "Z", "u1", None, None, None)], LISTING).coalesce(1).write.parquet(str(tmp_path / "in" / "099"))
+    start()
+    after = set(now().inputFiles())
+    assert len(before - after) == 1 and len(after - before) == 1  # the other buckets keep their files
+    assert [r.job_title for r in now().filter("job_url = 'u1'").collect()] == ["Z"]
+
+
+def test_a_half_written_trigger_is_not_the_state(spark, tmp_path):
+    state = BucketState(spark, str(tmp_path), "k long, v long", ["k"], 4)
+    state.start(spark.range(10).selectExpr("id AS k", "id AS v"))
+    (tmp_path / "manifest" / "batch=0").mkdir()  # begun, never finished
+    assert state.rows().agg({"v": "sum"}).first()[0] == 45
+    delta = spark.createDataFrame([(3, 100)], "k long, v long")
+    for _ in range(2):  # a repeated trigger gives the same
+        touched = state.touched(delta)
+        state.update(0, touched, state.before(0, touched).where("k <> 3").unionByName(delta))
+        assert state.rows().agg({"v": "sum"}).first()[0] == 142 and state.rows().count() == 10
 
 
 def test_activity_windows(spark, tmp_path):
     rng = random.Random(2)
-    schema = "company_id long, old_status string, new_status string, job_status string, changed_at timestamp"
+    schema = "job_id long, old_status string, new_status string, changed_at timestamp"
+    jobs = [(j, j % 3, rng.choice(["open", "closed"])) for j in range(8)]
     rows = [
-        (rng.randrange(3), rng.choice([None, "open", "closed"]), rng.choice(["open", "closed"]), rng.choice(["open", "closed"]), START + timedelta(minutes=m))
+        (0 if rng.random() < 0.5 else rng.randrange(8), rng.choice([None, "open", "closed"]), rng.choice(["open", "closed"]), START + timedelta(minutes=m))
         for m in sorted(rng.sample(range(6000), 120))
     ]
-    late = [(0, "open", "closed", "closed", START)]  # days behind the watermark by then
-    write_files(spark, tmp_path / "in", [rows[:60], rows[60:], late], schema)
-    got = drain(activity.activity_windows(stream(spark, tmp_path / "in", schema), 24, 6), tmp_path)
-    end = max(r[4] for r in rows) - timedelta(hours=1)
+    early = [(0, "open", "closed", START - timedelta(days=9))]  # long before what has been seen by then
+    write_files(spark, tmp_path / "in", [rows[:60], rows[60:], early], schema)
+    activity.activity_stream(stream(spark, tmp_path / "in", schema), f"{tmp_path}/state", f"{tmp_path}/checkpoint", 6, buckets=4).awaitTermination()
+    table = spark.createDataFrame(jobs, "job_id long, company_id long, status string")
+    got = activity.activity_windows(spark, f"{tmp_path}/state", table, 24, 6, buckets=4)
     want = {}
-    for company, old, new, now, at in rows:
+    for job, old, new, at in rows + early:
         slot = START + timedelta(hours=6) * ((at - START) // timedelta(hours=6))
         for k in range(4):
-            first = slot - timedelta(hours=6 * k)
-            if first + timedelta(hours=24) <= end:
-                sums = want.setdefault((company, first), [0, 0])
-                sums[0] += old is not None and old != new
-                sums[1] += new == "closed" and now == "closed"
+            sums = want.setdefault((job % 3, slot - timedelta(hours=6 * k)), [0, 0])
+            sums[0] += old is not None and old != new
+            sums[1] += new == "closed" and jobs[job][2] == "closed"
     assert {(r.company_id, r.window_start): [r.updates, r.closures] for r in got.collect()} == want
+    assert all(r.window_end - r.window_start == timedelta(hours=24) for r in got.collect())
+    with pytest.raises(ValueError):
+        activity.activity_windows(spark, f"{tmp_path}/state", table, 25, 6)
 
 
-def test_first_seen(spark, tmp_path):
+@pytest.mark.parametrize("per_trigger", [1, 5])
+def test_first_seen_is_the_earliest_whatever_the_order_of_files(spark, tmp_path, per_trigger):
     schema = "company_id long, job_url string, seen_at timestamp"
-    batches = [[(i % 3, f"u{i % 7}", START + timedelta(hours=i + 30 * b)) for i in range(30)] for b in range(3)]
+    batches = [[(i % 3, "hot" if i % 2 else f"u{i % 7}", START + timedelta(hours=i + 30 * b)) for i in range(30)] for b in (2, 0, 1)]
     write_files(spark, tmp_path / "in", batches, schema)
-    got = drain(crawl.first_seen(stream(spark, tmp_path / "in", schema), "30 days"), tmp_path).collect()
-    keys = [(r.company_id, r.job_url) for r in got]
-    assert len(keys) == len(set(keys)) and set(keys) == {(r[0], r[1]) for b in batches for r in b}
-
-
-def test_repeats_thin_out_before_the_shuffle():
-    frame = pd.DataFrame({"company_id": [1, 1, 2], "job_url": ["a", "a", "a"], "seen_at": [3, 1, 2]})
-    (thin,) = crawl._thin([frame])
-    assert sorted(thin.itertuples(index=False, name=None)) == [(1, "a", 1), (2, "a", 2)]
-
-
-def test_with_company_joins_on_the_job(spark):
-    history = spark.createDataFrame([(1, "open"), (2, "open")], "job_id long, new_status string")
-    jobs = spark.createDataFrame([(1, 7, "closed")], "job_id long, company_id long, status string")
-    assert [(r.company_id, r.job_status) for r in activity.with_company(history, jobs).select(F.col("company_id"), "job_status").collect()] == [(7, "closed")]
+    sightings = stream(spark, tmp_path / "in", schema, per_trigger)
+    crawl.first_seen_stream(sightings, f"{tmp_path}/state", f"{tmp_path}/checkpoint", buckets=4).awaitTermination()
+    want = {}
+    for company, url, at in (r for b in batches for r in b):
+        want[company, url] = min(at, want.get((company, url), at))
+    got = crawl.first_seen(spark, f"{tmp_path}/state", buckets=4).collect()
+    assert len(got) == len(want) and {(r.company_id, r.job_url): r.seen_at for r in got} == want
