@@ -31,6 +31,8 @@ class Run(NamedTuple):
     tables: dict[str, DataFrame]
     report: DataFrame
     errors: DataFrame | None = None
+    # rows that a table got beside those it had, for ``write_snapshot``
+    added: dict[str, DataFrame] = {}
 
 
 def crawl_run(tables: dict[str, DataFrame], pages: DataFrame, as_of, max_pages: int = CRAWL_PAGES) -> Run:
@@ -61,7 +63,7 @@ def validation_run(
     jobs = apply_validation(tables["jobs"], verdicts, as_of)
     changes = status_changes(tables["jobs"], verdicts, as_of)
     history = append_history(tables["job_history"], changes)
-    return Run({**tables, "jobs": jobs, "job_history": history}, run_report(verdicts=verdicts))
+    return Run({**tables, "jobs": jobs, "job_history": history}, run_report(verdicts=verdicts), added={"job_history": changes})
 
 
 def scoring_run(tables: dict[str, DataFrame], as_of, advance_baseline: bool = False) -> Run:

@@ -39,6 +39,14 @@ TABLES = {
     "site_configs": SITE_CONFIGS,
 }
 
+# Columns without which a stored table cannot be used.
+KEYS = {
+    "companies": ("company_id",),
+    "jobs": ("job_id",),
+    "job_history": ("job_id",),
+    "site_configs": ("config_id",),
+}
+
 _DEFAULTS = {
     "companies": {"last_job_count": 0, "current_job_count": 0, "hiring_score": 0},
     "jobs": {"status": "unknown", "job_type": "unknown"},

@@ -3,29 +3,71 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from jobtide.schemas import CRAWLED_PAGES, TABLES, conform
+from jobtide.schemas import CRAWLED_PAGES, KEYS, TABLES, conform
 
 MANIFEST = "manifest"
 # History is read by change date (scoring looks back two days), so its folders are split by month.
 _MONTH = "change_month"
 
 
-def load_tables(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> dict[str, DataFrame]:
-    """The four state tables below ``path`` with declared columns and defaults."""
-    return {
-        name: conform(spark.read.format(fmt).options(**options).schema(schema).load(f"{path}/{name}"), name)
-        for name, schema in TABLES.items()
-    }
+class Tables(dict):
+    """Tables by name, as one snapshot holds them. ``root`` and ``folders`` say where each one lies."""
 
+    def __init__(self, tables: dict[str, DataFrame], root: str, folders: dict[str, list[str]]):
+        super().__init__(tables)
+        self.root, self.folders = root, folders
 
-def load_jdbc(spark: SparkSession, url: str, **options) -> dict[str, DataFrame]:
-    """The same tables from a database; pass ``partitionColumn`` and bounds to read in parallel."""
-    read = spark.read.format("jdbc").option("url", url).options(**options)
-    return {name: conform(read.option("dbtable", name).load(), name) for name in TABLES}
+
+def load_tables(
+    spark: SparkSession,
+    path: str,
+    fmt: str = "parquet",
+    columns: dict[str, dict[str, str]] | None = None,
+    values: dict[str, dict[str, dict[str, str]]] | None = None,
+    **options,
+) -> dict[str, DataFrame]:
+    """The four state tables below ``path`` with declared columns and defaults.
+
+    A run's folder is read as its last finished attempt wrote it, history with the month its folders go by; a run that never finished is an
+    error. Other folders hold one stored table each: ``columns`` then gives our name of a stored column, ``values`` our value of a stored
+    one (both by table), and a table without its key column is an error.
+    """
+    root, _, run_id = path.rstrip("/").rpartition("/")
+    if _folders(spark, path, "attempt-"):
+        stored = read_snapshot(spark, root, run_id)
+        return Tables({name: _stored(df, name) for name, df in stored.items()}, stored.root, stored.folders)
+    read = spark.read.format(fmt).options(**options)
+    return {name: _stored(read.load(f"{path}/{name}"), name, (columns or {}).get(name), (values or {}).get(name)) for name in TABLES}
+
+
+def load_jdbc(
+    spark: SparkSession, url: str, options: dict[str, dict[str, str]] | None = None, columns=None, values=None, **shared
+) -> dict[str, DataFrame]:
+    """The same tables from a database. ``options`` by table can hold its ``partitionColumn`` and bounds, to read it in parallel."""
+    found = {name: spark.read.format("jdbc").options(url=url, **shared, **(options or {}).get(name, {})).option("dbtable", name).load() for name in TABLES}
+    return {name: _stored(df, name, (columns or {}).get(name), (values or {}).get(name)) for name, df in found.items()}
+
+
+def _stored(df: DataFrame, table: str, columns: dict[str, str] | None = None, values: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """A stored table in the declared layout."""
+    df = df.withColumnsRenamed(columns or {})
+    if missing := [k for k in KEYS[table] if k not in df.columns]:
+        raise ValueError(f"{table} has no column {', '.join(missing)}; name it in columns")
+    for name, ours in (values or {}).items():
+        df = df.withColumn(name, F.coalesce(*[F.when(F.col(name) == old, new) for old, new in ours.items()], F.col(name)))
+    month = [F.col(_MONTH)] if _MONTH in df.columns else []
+    shaped = conform(df, table)
+    if not month:
+        return shaped
+    # the folder's column stays beside the declared ones, so that a filter on it still prunes
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(shaped.schema[c].dataType).alias(c) for c in shaped.columns], _MONTH)
 
 
 def crawled_pages(pages: DataFrame, max_pages: int = 5) -> DataFrame:
@@ -36,15 +78,15 @@ def crawled_pages(pages: DataFrame, max_pages: int = 5) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Split a scan that has fewer partitions than there are cores.
 
-    A file with one big row group is read by one task, however costly the work on its rows. A table of many
-    files already has a partition per core and stays as it is, so nothing large is shuffled.
+    A file with one big row group is read by one task, however costly the work on its rows. For small tables only: all rows are shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def load_pages(spark: SparkSession, path: str, max_pages: int = 5) -> DataFrame:
-    return spread(crawled_pages(spark.read.schema(CRAWLED_PAGES).parquet(path), max_pages))
+    """Stored pages. Write them in small row groups: a scan is split by these and ``spark.sql.files.maxPartitionBytes``, and no html is shuffled."""
+    return crawled_pages(spark.read.schema(CRAWLED_PAGES).parquet(path), max_pages)
 
 
 def stream_pages(spark: SparkSession, path: str, max_pages: int = 5, files_per_trigger: int = 1000) -> DataFrame:
@@ -52,35 +94,73 @@ def stream_pages(spark: SparkSession, path: str, max_pages: int = 5, files_per_t
     return crawled_pages(stream.parquet(path), max_pages)
 
 
-def write_snapshot(tables: dict[str, DataFrame], path: str, run_id: str) -> None:
-    """Write every table below ``path/run_id``; the manifest comes last and makes the run visible.
+def write_snapshot(
+    tables: dict[str, DataFrame], path: str, run_id: str, base: dict[str, DataFrame] | None = None, added: dict[str, DataFrame] | None = None
+) -> None:
+    """Write a run's tables below ``path/run_id`` in a new attempt folder; its manifest comes last and makes it visible.
 
-    A run that dies half way leaves no manifest, so readers never see part of it, and running it again
-    overwrites the remains. Never pass tables read from the same run folder.
+    Only what changed is written. A table that is the very one of ``base`` (tables loaded from a run below the same ``path``) is
+    named where it lies; rows in ``added`` are written beside the folders that ``base`` has of that table. An attempt that dies leaves no
+    manifest, and earlier attempts stay as they are.
     """
     if not tables:
         raise ValueError("a snapshot needs at least one table")
     spark = next(iter(tables.values())).sparkSession
-    layouts = []
+    attempt = f"{run_id}/attempt-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    there = base.folders if isinstance(base, Tables) and base.root == path.rstrip("/") else {}
+    entries = []
     for name, df in tables.items():
-        writer = df.write
-        if name == "job_history":
-            # Ranges of time, then of job for busy moments: a task writes into one or two month folders, and
-            # row groups cover narrow spans of time that a reader can skip.
-            df = df.withColumn(_MONTH, F.trunc("changed_at", "month"))
-            ranged = df.repartitionByRange("changed_at", "job_id").sortWithinPartitions("changed_at", "job_id")
-            writer = ranged.write.partitionBy(_MONTH)
-        writer.mode("overwrite").parquet(f"{path}/{run_id}/{name}")
-        layouts.append((name, df.schema.json()))
-    manifest = spark.createDataFrame(layouts, "table_name string, layout string")
-    manifest.coalesce(1).write.mode("overwrite").parquet(f"{path}/{run_id}/{MANIFEST}")
-
-
-def read_snapshot(spark: SparkSession, path: str, run_id: str) -> dict[str, DataFrame]:
-    """Tables of a finished run; fails when the run was never finished."""
-    root = f"{path}/{run_id}"
-    manifest = spark.read.parquet(f"{root}/{MANIFEST}").collect()  # one row per table
-    return {m.table_name: spark.read.schema(StructType.fromJson(json.loads(m.layout))).parquet(f"{root}/{m.table_name}") for m in manifest}
+        folders, layout = list(there.get(name, [])), _laid_out(name, df).schema.json()
+        if not folders or name not in (added or {}) and df is not base[name]:
+            folders = [_write(name, df, path, attempt)]
+        elif name in (added or {}):
+            folders.append(_write(name, added[name], path, attempt))
+        entries.append((name, layout, folders))
+    manifest = spark.createDataFrame(entries, "table_name string, layout string, folders array<string>")
+    manifest.coalesce(1).write.parquet(f"{path}/{attempt}/{MANIFEST}")
+
+
+def compact(spark: SparkSession, path: str, run_id: str, into: str) -> None:
+    """Write a run's tables anew as run ``into``, each in one folder; for histories that many runs have added to."""
+    write_snapshot(dict(read_snapshot(spark, path, run_id)), path, into)
+
+
+def _laid_out(name: str, df: DataFrame) -> DataFrame:
+    return df.withColumn(_MONTH, F.trunc("changed_at", "month")) if name == "job_history" else df
+
+
+def _write(name: str, df: DataFrame, path: str, attempt: str) -> str:
+    df = _laid_out(name, df)
+    writer = df.write
+    if name == "job_history":
+        # Ranges of time, then of job for busy moments: a task writes into one or two month folders, and
+        # row groups cover narrow spans of time that a reader can skip.
+        ranged = df.repartitionByRange("changed_at", "job_id").sortWithinPartitions("changed_at", "job_id")
+        writer = ranged.write.partitionBy(_MONTH)
+    writer.parquet(f"{path}/{attempt}/{name}")
+    return f"{attempt}/{name}"
+
+
+def _folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Names of the folders below ``path`` that start so, in order."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+    return sorted(n for n in names if n.startswith(prefix))
+
+
+def read_snapshot(spark: SparkSession, path: str, run_id: str) -> Tables:
+    """Tables of a run as its last finished attempt wrote them; fails when none was finished."""
+    root = path.rstrip("/")
+    done = [a for a in _folders(spark, f"{root}/{run_id}", "attempt-") if "_SUCCESS" in _folders(spark, f"{root}/{run_id}/{a}/{MANIFEST}", "_")]
+    if not done:
+        raise ValueError(f"run {run_id} has no finished attempt below {root}")
+    manifest = spark.read.parquet(f"{root}/{run_id}/{done[-1]}/{MANIFEST}").collect()  # one row per table
+    tables = {}
+    for m in manifest:
+        read = spark.read.schema(StructType.fromJson(json.loads(m.layout)))
+        tables[m.table_name] = reduce(DataFrame.unionByName, [read.parquet(f"{root}/{f}") for f in m.folders])
+    return Tables(tables, root, {m.table_name: list(m.folders) for m in manifest})
 
 
 def append_history(history: DataFrame, changes: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from jobtide.operators.classification import build_prompts, classify
 from jobtide.plans.runs import crawl_run, scoring_run, validation_run
 from jobtide.schemas import TABLES, conform
 from jobtide.sources.shared import shared_folder
-from jobtide.sources.tables import load_pages, load_tables, read_snapshot, spread, write_snapshot
+from jobtide.sources.tables import compact, load_pages, load_tables, read_snapshot, since, spread, write_snapshot
 
 NOW = "2024-06-15 12:00:00"
 
@@ -69,7 +70,7 @@ def test_latest_page_of_a_job_counts(spark, tables):
 
 def test_unfinished_runs_stay_hidden(spark, tables, tmp_path):
     tables["jobs"].write.parquet(str(tmp_path / "r1" / "jobs"))
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+    with pytest.raises(ValueError, match="no finished attempt"):
         read_snapshot(spark, str(tmp_path), "r1")
     write_snapshot(tables, str(tmp_path), "r1")
     assert set(read_snapshot(spark, str(tmp_path), "r1")) == set(TABLES)
@@ -77,6 +78,61 @@ def test_unfinished_runs_stay_hidden(spark, tables, tmp_path):
         write_snapshot({}, str(tmp_path), "r2")
 
 
+def test_a_failing_rerun_leaves_the_finished_rows(spark, tables, tmp_path):
+    write_snapshot(tables, str(tmp_path), "r1")
+    broken = tables["job_history"].withColumn("job_id", F.raise_error(F.lit("gone")).cast("long")).unionByName(
+        spark.range(1).select(F.raise_error(F.lit("gone")).cast("long").alias("job_id")), allowMissingColumns=True
+    )
+    with pytest.raises(Exception, match="gone"):
+        write_snapshot({**tables, "jobs": tables["jobs"].limit(0), "job_history": broken}, str(tmp_path), "r1")
+    assert read_snapshot(spark, str(tmp_path), "r1")["jobs"].count() == 1
+
+
+def test_runs_write_only_what_they_change(spark, tables, tmp_path):
+    root = str(tmp_path)
+    change = spark.createDataFrame([(10, "unknown", "open", datetime(2024, 6, 14))], "job_id long, old_status string, new_status string, changed_at timestamp")
+    write_snapshot({**tables, "job_history": conform(change, "job_history")}, root, "r1")
+    base = load_tables(spark, f"{root}/r1")
+    scored = scoring_run(base, NOW)
+    write_snapshot(scored.tables, root, "r2", base=base)
+    assert [p.name for p in next((tmp_path / "r2").iterdir()).iterdir() if p.name != "manifest"] == ["companies"]
+
+    base = load_tables(spark, f"{root}/r2")
+    page = spark.createDataFrame([("https://a.example/jobs/1", "<body>" + "The job expired and is no longer available. " * 3)], "url string, html string")
+    checked = validation_run(base, page, NOW)
+    write_snapshot(checked.tables, root, "r3", base=base, added=checked.added)
+    (attempt,) = (tmp_path / "r3").iterdir()
+    assert sorted(p.name for p in attempt.iterdir()) == ["job_history", "jobs", "manifest"]
+    assert spark.read.parquet(str(attempt / "job_history")).count() == 1
+    stored = load_tables(spark, f"{root}/r3")
+    assert sorted((r.old_status, r.new_status) for r in stored["job_history"].collect()) == [("open", "closed"), ("unknown", "open")]
+    compact(spark, root, "r3", "r4")
+    assert stored["job_history"].exceptAll(load_tables(spark, f"{root}/r4")["job_history"]).count() == 0
+
+
+def test_loaded_history_is_pruned_by_month(spark, tables, tmp_path):
+    change = spark.createDataFrame([(10, "unknown", "open", datetime(2024, 6, 14))], "job_id long, old_status string, new_status string, changed_at timestamp")
+    write_snapshot({**tables, "job_history": conform(change, "job_history")}, str(tmp_path), "r1")
+    signals = scoring_run(load_tables(spark, f"{tmp_path}/r1"), NOW)
+    history = since(load_tables(spark, f"{tmp_path}/r1")["job_history"], F.lit(NOW).cast("timestamp"))
+    plan = spark._jvm.PythonSQLUtils.explainString(history._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [isnotnull(change_month" in plan
+    assert signals.tables["companies"].count() == 2
+
+
+def test_stored_layouts_are_mapped_and_missing_keys_fail(spark, tables, tmp_path):
+    for name, df in tables.items():
+        key = {"companies": "company_id", "site_configs": "config_id"}.get(name, "job_id")
+        df.withColumnRenamed(key, "id" if name != "job_history" else key).write.parquet(str(tmp_path / name))
+    upper = spark.createDataFrame([(10, 1, "OPEN"), (11, 1, None), (12, 1, "closed")], "id long, company_id long, status string")
+    upper.write.mode("overwrite").parquet(str(tmp_path / "jobs"))
+    with pytest.raises(ValueError, match="no column company_id"):
+        load_tables(spark, str(tmp_path))
+    columns = {"companies": {"id": "company_id"}, "jobs": {"id": "job_id"}, "site_configs": {"id": "config_id"}}
+    loaded = load_tables(spark, str(tmp_path), columns=columns, values={"jobs": {"status": {"OPEN": "open"}}})
+    assert sorted((r.job_id, r.status) for r in loaded["jobs"].collect()) == [(10, "open"), (11, "unknown"), (12, "closed")]
+
+
 def test_tables_get_declared_columns_and_defaults(spark, tmp_path):
     for name, column in {"companies": "company_id", "jobs": "job_id", "job_history": "job_id", "site_configs": "config_id"}.items():
         spark.range(1).withColumnRenamed("id", column).write.parquet(str(tmp_path / name))
