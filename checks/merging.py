@@ -151,6 +151,36 @@ def insert_companies(d):
     return accepted.unionByName(out.rejected.drop("reason"))
 
 
+@check("insert_created", f"""
+WITH {DECIDED}
+SELECT company_id, job_url, 'unknown' AS status, 'unknown' AS job_type, TIMESTAMP '{AS_OF}' AS created_at, TIMESTAMP '{AS_OF}' AS updated_at
+FROM ranked WHERE parent AND NOT used AND rn = 1
+""")
+def insert_created(d):
+    out = M.insert_checked("jobs", d.sql(REQUESTS), d.sql(TAKEN), d.view("companies"))
+    rows = M.created_rows("jobs", out.accepted.select("seq", "company_id", "job_url"), AS_OF)
+    return rows.select("company_id", "job_url", "status", "job_type", "created_at", "updated_at")
+
+
+_CONFIG_REQUESTS = """
+SELECT s_suppkey AS seq, s_suppkey * 3 AS company_id, concat('li.', s_nationkey) AS job_listing_selector,
+       CASE WHEN s_suppkey % 7 = 0 THEN repeat('p', 51) WHEN s_suppkey % 2 = 0 THEN 'next' END AS pagination_type FROM {supplier}"""
+
+
+@check("insert_site_configs", f"""
+SELECT r.seq, r.company_id, CASE WHEN length(pagination_type) > 50 THEN NULL ELSE coalesce(pagination_type, 'none') END AS pagination_type,
+       CASE WHEN length(pagination_type) > 50 THEN 422 WHEN c.company_id IS NULL THEN 404 ELSE 201 END AS code
+FROM ({_CONFIG_REQUESTS}) r LEFT JOIN {{companies}} c USING (company_id)
+""")
+def insert_site_configs(d):
+    decided = M.decide_inserts("site_configs", d.sql(_CONFIG_REQUESTS), companies=d.view("companies"))
+    good = decided.filter("code IS NULL")
+    made = M.created_rows("site_configs", good, AS_OF).select("company_id", "pagination_type")
+    good = good.select("seq", "company_id").join(made, "company_id").withColumn("code", F.lit(201))
+    shown = F.when(F.col("code") == 404, F.coalesce("pagination_type", F.lit("none")))
+    return good.unionByName(decided.filter("code IS NOT NULL").select("seq", "company_id", shown.alias("pagination_type"), "code"))
+
+
 # Several patches per job, in order; a supplied null counts.
 PATCHES = """
 SELECT l_orderkey AS job_id, l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS seq, l_linestatus = 'O' AS set_job_title,
@@ -174,6 +204,21 @@ def patch_rows(d):
     return out.select("job_id", "job_title", "location", "status", "last_checked")
 
 
+_ASKED = """
+SELECT l_orderkey * 2 AS job_id, l_linenumber AS seq, l_partkey % 3 = 0 AS set_job_title,
+       CASE l_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'Cook' ELSE repeat('t', 499 + CAST(l_partkey % 4 AS INT)) END AS job_title,
+       l_partkey % 2 = 0 AS set_status, CASE l_suppkey % 5 WHEN 0 THEN 'gone' ELSE 'open' END AS status FROM {lineitem}"""
+
+
+@check("patch_decisions", f"""
+SELECT a.job_id, seq, CASE WHEN set_job_title AND (job_title = '' OR length(job_title) > 500) THEN 422 WHEN set_status AND status = 'gone' THEN 422
+                           WHEN j.job_id IS NULL THEN 404 END AS code
+FROM ({_ASKED}) a LEFT JOIN (SELECT job_id FROM {{jobs}}) j USING (job_id)
+""")
+def patch_decisions(d):
+    return M.decide_patches("jobs", d.view("jobs"), d.sql(_ASKED), "job_id").select("job_id", "seq", "code")
+
+
 @check("delete_cascade", """
 WITH gone AS (SELECT c_custkey AS company_id FROM {customer} WHERE c_mktsegment = 'FURNITURE'),
 left_jobs AS (SELECT * FROM {jobs} WHERE company_id NOT IN (SELECT company_id FROM gone)

@@ -57,6 +57,11 @@ def company_jobs(d):
     return R.company_jobs(d.view("jobs"), 7, "closed").drop("date_posted")
 
 
+@check("site_config_active", "SELECT config_id, job_listing_selector, is_active FROM {site_configs} WHERE company_id = 8 AND is_active")
+def site_config_active(d):
+    return R.site_config(d.view("site_configs"), 8).select("config_id", "job_listing_selector", "is_active")
+
+
 @check("company_with_jobs", """
 SELECT c.company_id, c.company_name, CAST(p.part AS INT) AS part, 3 AS parts, coalesce(n, 0) AS job_count, coalesce(ids, '') AS job_ids, coalesce(titles, '') AS job_titles
 FROM {companies} c CROSS JOIN (SELECT unnest(range(3)) AS part) p LEFT JOIN (

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobtide.functions.phrases import DEFAULT_CHANGE_REASON
-from jobtide.schemas import conform, instant
+from jobtide.schemas import JOB_TYPES, STATUSES, conform, instant
 
 JOB_PATCHABLE = ("job_title", "location", "job_type", "description_preview", "status")
 COMPANY_PATCHABLE = ("company_name", "career_page_url", "logo_url", "industry")
@@ -171,36 +171,88 @@ _INSERT_RULES = {
 }
 
 
-def insert_checked(
+# columns that must have text, and the longest texts; what is allowed where only some values are
+_REQUIRED = {"jobs": ("job_title", "job_url"), "companies": ("company_name", "career_page_url"), "site_configs": ()}
+_LONGEST = {"job_title": 500, "location": 255, "company_name": 255, "industry": 100, "pagination_type": 50}
+_ALLOWED = {"status": STATUSES, "job_type": JOB_TYPES}
+
+
+def _fault(table: str, given: dict[str, Column]) -> Column:
+    """What is wrong with the values of a row, null for nothing. ``given``: the columns it has, and when each one counts."""
+    found = []
+    for name, counts in given.items():
+        if name in _REQUIRED[table]:
+            found.append(F.when(counts & _empty(F.col(name)), f"{name} is empty"))
+        if name in _LONGEST:
+            found.append(F.when(counts & (F.length(name) > _LONGEST[name]), f"{name} is too long"))
+        if name in _ALLOWED:
+            found.append(F.when(counts & ~F.col(name).isin(*_ALLOWED[name]), f"{name} is not allowed"))
+    return F.coalesce(*found, F.lit(None).cast("string"))
+
+
+def decide_inserts(
     table: str, incoming: DataFrame, existing: DataFrame | None = None, companies: DataFrame | None = None
-) -> Checked:
-    """Accept new rows one after the other by ``seq``: the company must exist (404), the URL must be new (400).
+) -> DataFrame:
+    """``incoming`` with ``code`` and ``reason``, null for rows to accept one after the other by ``seq``.
 
-    Of several incoming rows with one URL the earliest whose company exists wins.
+    Empty, too long or unknown values are refused first (422); the company must exist (404), the URL must be new (400). Of several
+    incoming rows with one URL the earliest that is not refused for another reason wins.
     """
     url, message, needs_parent = _INSERT_RULES[table]
-    rows = incoming
+    rows = incoming.withColumn("_fault", _fault(table, {c: F.lit(True) for c in incoming.columns}))
     if needs_parent:
         parents = companies.select("company_id").distinct().withColumn("_parent", F.lit(True))
         rows = rows.join(parents, "company_id", "left")
     else:
         rows = rows.withColumn("_parent", F.lit(True))
-    orphan = F.col("_parent").isNull()
-    code, reason = F.when(orphan, 404), F.when(orphan, "Company not found")
+    faulty, orphan = F.col("_fault").isNotNull(), F.col("_parent").isNull()
+    code = F.when(faulty, 422).when(orphan, 404)
+    reason = F.when(faulty, F.col("_fault")).when(orphan, "Company not found")
     if url:
         # One candidate per URL, then back on the unique request number: a hot URL never joins with itself.
-        candidates = rows.filter(~orphan).groupBy(url).agg(F.min("seq").alias("seq"))
+        candidates = rows.filter(~faulty & ~orphan).groupBy(url).agg(F.min("seq").alias("seq"))
         winners = candidates.join(existing.select(url).distinct(), url, "left_anti").select("seq", F.lit(True).alias("_won"))
         rows = rows.join(winners, "seq", "left")
         code = code.when(F.col("_won").isNull(), 400)
         reason = reason.when(F.col("_won").isNull(), message)
-    decided = rows.select(*incoming.columns, code.alias("code"), reason.alias("reason"))
+    return rows.select(*incoming.columns, code.alias("code"), reason.alias("reason"))
+
+
+def insert_checked(
+    table: str, incoming: DataFrame, existing: DataFrame | None = None, companies: DataFrame | None = None
+) -> Checked:
+    """The two sides of ``decide_inserts``; write its result once where both are used."""
+    decided = decide_inserts(table, incoming, existing, companies)
     return Checked(
         decided.filter("code is null").drop("code", "reason"),
         decided.filter("code is not null"),
     )
 
 
+def created_rows(table: str, accepted: DataFrame, as_of) -> DataFrame:
+    """Accepted requests as whole rows of ``table``: with key, defaults and times, ready to be added to it."""
+    key, columns = {"jobs": ("job_id", ("company_id", "job_url")), "companies": ("company_id", ("career_page_url",)), "site_configs": ("config_id", ("company_id", "seq"))}[table]
+    now = instant(as_of)
+    return conform(accepted.withColumns({key: new_key(*columns), "created_at": now, "updated_at": now}), table)
+
+
+def decide_patches(table: str, rows: DataFrame, patches: DataFrame, key: str) -> DataFrame:
+    """``patches`` with ``code`` and ``reason``, null for those that ``patch_rows`` may apply: values that are set must be allowed (422),
+    and the row must exist (404)."""
+    set_columns = [c.removeprefix("set_") for c in patches.columns if c.startswith("set_")]
+    fault = _fault(table, {c: F.coalesce(f"set_{c}", F.lit(False)) for c in set_columns})
+    known = rows.select(key).distinct().withColumn("_known", F.lit(True))
+    decided = patches.withColumn("_fault", fault).join(known, key, "left")
+    faulty, unknown = F.col("_fault").isNotNull(), F.col("_known").isNull()
+    code, reason = F.when(faulty, 422).when(unknown, 404), F.when(faulty, F.col("_fault")).when(unknown, f"no row has this {key}")
+    return decided.select(*patches.columns, code.alias("code"), reason.alias("reason"))
+
+
+def unknown_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Ids to delete that no row has."""
+    return ids.select(key).distinct().join(rows.select(key), key, "left_anti")
+
+
 def patch_rows(df: DataFrame, patches: DataFrame, key: str, fields: tuple[str, ...], as_of) -> DataFrame:
     """Partial updates: ``patches`` holds ``key``, and per field ``set_<field>`` and ``<field>``.
 

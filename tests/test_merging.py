@@ -157,3 +157,24 @@ def test_quality_finds_repeats(spark):
 
 def test_jobs_schema_is_complete():
     assert JOBS.startswith("job_id BIGINT, company_id BIGINT")
+
+
+def test_values_are_judged_before_anything_else(spark):
+    asked = [(1, 1, "", "u1"), (2, 9, "T", "u1"), (3, 1, "T", "u1"), (4, 1, "T", "u1"), (5, 1, "x" * 501, "u2"), (6, 1, "T", None), (7, 1, None, "u3")]
+    incoming = spark.createDataFrame(asked, "seq long, company_id long, job_title string, job_url string")
+    none, one = spark.createDataFrame([], "job_url string"), spark.createDataFrame([(1,)], "company_id long")
+    decided = {r.seq: (r.code, r.reason) for r in M.decide_inserts("jobs", incoming, none, one).collect()}
+    assert {k: v[0] for k, v in decided.items()} == {1: 422, 2: 404, 3: None, 4: 400, 5: 422, 6: 422, 7: 422}
+    assert decided[1][1] == "job_title is empty" and decided[6][1] == "job_url is empty"
+    made = M.created_rows("jobs", M.insert_checked("jobs", incoming, none, one).accepted, NOW)
+    (row,) = made.collect()
+    assert (row.job_url, row.status, row.job_type) == ("u1", "unknown", "unknown") and row.job_id > 0 and row.created_at == row.updated_at
+
+
+def test_patches_of_unknown_rows_come_back(spark):
+    table = spark.createDataFrame([(1, "A", "open")], "job_id long, job_title string, status string")
+    asked = [(1, True, "", False, None), (1, False, "", True, "open"), (2, True, "B", False, None), (1, False, None, True, "lost"), (1, True, None, False, None)]
+    patches = spark.createDataFrame(asked, "job_id long, set_job_title boolean, job_title string, set_status boolean, status string")
+    assert [r.code for r in M.decide_patches("jobs", table, patches, "job_id").orderBy("job_id", "set_job_title", "status", "job_title").collect()].count(422) == 3
+    assert sorted(r.code or 0 for r in M.decide_patches("jobs", table, patches, "job_id").collect()) == [0, 404, 422, 422, 422]
+    assert [r.job_id for r in M.unknown_ids(table, patches, "job_id").collect()] == [2]
