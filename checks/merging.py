@@ -62,7 +62,7 @@ def upsert_jobs(d):
     return M.upsert_jobs(_conformed(d, KNOWN), _crawl(d), AS_OF).jobs.select(*_SHOWN.split(", "))
 
 
-@check("upsert_errors", f"WITH {MERGED} SELECT job_url, first_company AS company_id FROM urls JOIN holders USING (job_url) WHERE n > 1")
+@check("upsert_errors", f"WITH {MERGED} SELECT DISTINCT job_url, company_id FROM crawl JOIN holders USING (job_url) WHERE n > 1")
 def upsert_errors(d):
     return M.upsert_jobs(_conformed(d, KNOWN), _crawl(d), AS_OF).errors.drop("error")
 

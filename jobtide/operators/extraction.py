@@ -13,7 +13,7 @@ from jobtide.functions import phrases as P
 from jobtide.functions.dates import parse_iso, parse_posted
 from jobtide.functions.text import bound, clean_text
 from jobtide.functions.urls import resolve_url
-from jobtide.operators.page_scan import scan_pages, visible_texts
+from jobtide.operators.page_scan import scan_pages, unusable, visible_texts
 from jobtide.sources.shared import broadcast_if_small
 
 _SELECTORS = {
@@ -57,6 +57,18 @@ def with_selectors(pages: DataFrame, site_configs: DataFrame) -> DataFrame:
     )
 
 
+def unsupported_selectors(site_configs: DataFrame) -> DataFrame:
+    """Companies whose active config has a selector that the page scan cannot use: company_id and error, one row for each such selector.
+
+    Each different selector is tried once.
+    """
+    texts = F.explode(F.array_distinct(F.array(*_selectors()))).alias("selector")
+    used = active_configs(site_configs).select("company_id", texts)
+    tried = used.select("selector").distinct().mapInPandas(unusable, "selector string")
+    error = F.concat(F.lit("unsupported selector: "), "selector").alias("error")
+    return used.join(tried, "selector", "left_semi").select("company_id", error)
+
+
 def listing_elements(pages_cfg: DataFrame) -> DataFrame:
     """Raw candidate elements of every page (columns: ``ELEMENTS``), one row per element.
 

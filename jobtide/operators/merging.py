@@ -63,11 +63,12 @@ def upsert_jobs(jobs: DataFrame, listings: DataFrame, as_of) -> Upsert:
     title of the last company that lists it, and a location only while it has none. Jobs that are no longer
     listed stay as they are. URLs that several jobs share cannot be matched and come back as errors.
     """
-    return merge_matched(jobs, match_listings(jobs, listings), as_of)
+    return merge_matched(jobs, match_listings(jobs, listings), as_of, listings)
 
 
-def merge_matched(jobs: DataFrame, matched: DataFrame, as_of) -> Upsert:
-    """The merge itself. Jobs meet the updates on their own key, which is never skewed."""
+def merge_matched(jobs: DataFrame, matched: DataFrame, as_of, listings: DataFrame) -> Upsert:
+    """The merge itself. Jobs meet the updates on their own key, which is never skewed. Every company that lists a URL which
+    several jobs share has an error."""
     now = instant(as_of)
     updates = matched.filter("holders = 1").select("job_id", "last_title", "low_title", "high_title", "found_location")
     retitled = (F.col("low_title") != F.col("job_title")) | (F.col("high_title") != F.col("job_title"))
@@ -102,9 +103,9 @@ def merge_matched(jobs: DataFrame, matched: DataFrame, as_of) -> Upsert:
         ),
         "jobs",
     )
-    errors = matched.filter("holders > 1").select(
-        "job_url", F.col("first.company_id").alias("company_id"), F.lit("several jobs share this URL").alias("error")
-    )
+    # repeats of a listing combine before they meet the shared URLs
+    listed = listings.groupBy("job_url", "company_id").agg(F.lit("several jobs share this URL").alias("error"))
+    errors = listed.join(matched.filter("holders > 1").select("job_url"), "job_url", "left_semi")
     return Upsert(kept.unionByName(inserted.select(*jobs.columns)), inserted, errors)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 
 from jobtide.functions import phrases as P
-from jobtide.operators.markup import Page
+from jobtide.operators.markup import Page, parse_selector
 
 _COLUMNS = (
     "company_id", "page_num", "source", "element_pos", "self_text", "title_text", "heading_text", "href",
@@ -71,6 +71,20 @@ def scan_pages(frames):
         yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
+def unusable(frames):
+    """The selectors that cannot be parsed."""
+    for frame in frames:
+        yield frame[[not _parses(selector) for selector in frame["selector"]]]
+
+
+def _parses(selector: str) -> bool:
+    try:
+        parse_selector(selector)
+    except ValueError:
+        return False
+    return True
+
+
 def _visible(html: str | None) -> str:
     if not html:
         return ""

@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from jobtide.operators.classification import classify
-from jobtide.operators.extraction import extract_jobs, page_text
+from jobtide.operators.extraction import extract_jobs, page_text, unsupported_selectors
 from jobtide.operators.merging import (
     apply_validation,
     match_listings,
@@ -36,15 +36,24 @@ class Run(NamedTuple):
 
 
 def crawl_run(tables: dict[str, DataFrame], pages: DataFrame, as_of, max_pages: int = CRAWL_PAGES) -> Run:
-    """Extract listings from crawled pages and merge them into jobs; then recount and touch companies."""
-    listings = extract_jobs(crawled_pages(pages, max_pages), tables["companies"], tables["site_configs"], as_of)
+    """Extract listings from crawled pages and merge them into jobs; then recount and touch companies.
+
+    Errors name the companies whose crawl failed: a page without html, a selector that cannot be used (nothing is extracted for them), or a listed URL that
+    several jobs share. They do not count as processed.
+    """
+    wanted = crawled_pages(pages, max_pages)
+    empty = wanted.filter(F.col("html").isNull()).groupBy("company_id").agg(F.lit("a page has no html").alias("error"))
+    faulty = written(unsupported_selectors(tables["site_configs"]), "selectors")
+    usable = wanted.join(faulty.select("company_id").distinct(), "company_id", "left_anti")
+    # small beside the html it comes from, and read several times
+    listings = written(extract_jobs(usable, tables["companies"], tables["site_configs"], as_of), "listings")
     matched = written(match_listings(tables["jobs"], listings), "matched")
-    merged = merge_matched(tables["jobs"], matched, as_of)
+    merged = merge_matched(tables["jobs"], matched, as_of, listings)
     owners = tables["jobs"].select("company_id").unionByName(merged.inserted.select("company_id"))
     companies = touch_companies(recount_jobs(tables["companies"], owners), as_of)
-    errors = merged.errors.select(
-        F.lit("crawl").alias("task"), F.col("company_id").cast("string").alias("item"), F.concat("error", F.lit(": "), "job_url").alias("error")
-    )
+    shared = merged.errors.select("company_id", F.concat("error", F.lit(": "), "job_url").alias("error"))
+    errors = shared.unionByName(empty).unionByName(faulty)
+    errors = errors.select(F.lit("crawl").alias("task"), F.col("company_id").cast("string").alias("item"), "error")
     report = run_report(companies=tables["companies"], inserted=merged.inserted, errors=errors)
     return Run({**tables, "companies": companies, "jobs": merged.jobs}, report, errors)
 

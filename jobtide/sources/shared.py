@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _SHIPPED: set[str] = set()
+# Folders that ``written`` made, by application.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -32,10 +34,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     Later steps neither repeat the work nor lose it with an executor.
     """
     path = shared_folder(df.sparkSession, label)
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_written(spark: SparkSession) -> None:
+    """Delete what this application has put aside with ``written``; call it once the results that build on it are saved."""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def broadcast_if_small(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     """Mark a join side for broadcast when measuring shows that it is small; otherwise leave the choice to Spark.
 

@@ -31,7 +31,7 @@ def upsert_stream(listings: DataFrame, jobs: DataFrame, path: str, checkpoint: s
         listed = batch.filter(F.col("job_url") != "")
         touched = state.touched(listed)
         old = state.before(batch_id, touched)
-        result = merge_matched(old, written(match_listings(old, listed), "matched"), as_of)
+        result = merge_matched(old, written(match_listings(old, listed), "matched"), as_of, listed)
         result.errors.write.mode("overwrite").parquet(f"{path}/errors/batch={batch_id}")
         state.update(batch_id, touched, result.jobs)
 

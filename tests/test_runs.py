@@ -1,4 +1,5 @@
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,8 @@ from pyspark.sql import functions as F
 from jobtide.operators.classification import build_prompts, classify
 from jobtide.plans.runs import crawl_run, scoring_run, validation_run
 from jobtide.schemas import TABLES, conform
-from jobtide.sources.shared import shared_folder
+from jobtide.sources import shared
+from jobtide.sources.shared import clear_written, shared_folder, written
 from jobtide.sources.tables import compact, load_pages, load_tables, read_snapshot, since, spread, write_snapshot
 
 NOW = "2024-06-15 12:00:00"
@@ -56,6 +58,26 @@ def test_crawl_validate_score_and_store(spark, tables, tmp_path):
     assert {r.company_id: r.hiring_score for r in scored.tables["companies"].collect()} == {1: 10 - 5 + 3, 2: 5}
 
 
+def test_failed_crawls_are_named_by_company(spark, tables):
+    shared = [(1, 1, "X", "https://s.example/1", "open"), (2, 2, "X", "https://s.example/1", "open")]
+    stored = conform(spark.createDataFrame(shared, "job_id long, company_id long, job_title string, job_url string, status string"), "jobs")
+    companies = conform(spark.createDataFrame([(i, f"C{i}", f"https://c{i}.example/") for i in range(1, 6)], "company_id long, company_name string, career_page_url string"), "companies")
+    configs = conform(spark.createDataFrame([(1, 4, "li:nth-child(2)", True), (2, 5, ".job", True)], "config_id long, company_id long, job_listing_selector string, is_active boolean"), "site_configs")
+    card = "<div class='job'><h2>T</h2><a href='{}'>x</a></div>".format
+    rows = [(1, "p", 1, 200, card("https://s.example/1")), (2, "p", 1, 200, card("https://s.example/1")), (3, "p", 1, 500, None), (4, "p", 1, 200, card("/jobs/9")), (5, "p", 1, 200, card("/jobs/5"))]
+    pages = spark.createDataFrame(rows, "company_id long, url string, page_num int, http_status int, html string")
+    run = crawl_run({**tables, "companies": companies, "jobs": stored, "site_configs": configs}, pages, NOW)
+    errors = {(r.item, r.error) for r in run.errors.collect()}
+    assert errors == {
+        ("1", "several jobs share this URL: https://s.example/1"),
+        ("2", "several jobs share this URL: https://s.example/1"),
+        ("3", "a page has no html"),
+        ("4", "unsupported selector: li:nth-child(2)"),
+    }
+    assert {r.metric: r.value for r in run.report.collect()} == {"companies_processed": 1, "jobs_added": 1, "errors": 4}
+    assert sorted(r.job_url for r in run.tables["jobs"].collect()) == ["https://c5.example/jobs/5", "https://s.example/1", "https://s.example/1"]
+
+
 def test_latest_page_of_a_job_counts(spark, tables):
     table = conform(spark.createDataFrame([(1, 1, "u", "unknown"), (2, 2, "u", "unknown")], "job_id long, company_id long, job_url string, status string"), "jobs")
     closed, opened = "The position is filled and this job expired, sorry. " * 2, "Apply now, we are glad to hear from you. Apply today!" * 2
@@ -164,6 +186,19 @@ def test_shared_folder_follows_the_session(spark):
     assert shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
 
 
+def test_what_was_put_aside_can_be_cleared(spark):
+    (path,) = {f.rpartition("/")[0] for f in written(spark.range(3), "aside").inputFiles()}
+    kept = written(spark.range(2), "aside")
+    assert kept.count() == 2 and Path(path.removeprefix("file://")).exists()
+    before = dict(shared._WRITTEN)
+    try:
+        shared._WRITTEN[spark.sparkContext.applicationId] = [path]
+        clear_written(spark)
+    finally:
+        shared._WRITTEN.update(before)
+    assert not Path(path.removeprefix("file://")).exists() and kept.count() == 2
+
+
 def test_cascade(spark):
     long = "Nothing here tells whether anyone may still write to us about this. "
     texts = {1: "Job", 2: "Position has been filled, no longer available. " + long, 3: long, 4: long, 5: long, 6: long, 7: long + "apply now"}
