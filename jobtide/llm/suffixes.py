@@ -52,7 +52,7 @@ class _Names:
         return out
 
 
-def repeated_spans(rows: DataFrame, length: int = 400, width: int = 41) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = 400, width: int = 74) -> DataFrame:
     """Spans (doc, sig, start, stop) that cover all bytes of the ``length``-byte strings that start at two or more places of all texts.
 
     Names of strings are 64-bit ranks, each made from the pair of names of its halves (prefix doubling). Spark groups sampled positions
@@ -61,7 +61,7 @@ def repeated_spans(rows: DataFrame, length: int = 400, width: int = 41) -> DataF
     left is where repeats begin or end; there one run for each different text gives the names of its single strings, and those met
     twice are repeated. Equal names of over 300 bytes with equal shared bytes (128 bits) are taken for equal strings.
 
-    ``length`` from 300 to 500, ``width`` up to 44. No group is ever held by a task: all steps are counts, minima and joins.
+    ``length`` + ``width`` up to 512, ``length`` - ``width`` from 256 on. No group is ever held by a task: all steps are counts, minima and joins.
     """
     last = length - _SEED  # the largest offset of a sampled position in its string
 
@@ -78,15 +78,15 @@ def repeated_spans(rows: DataFrame, length: int = 400, width: int = 41) -> DataF
                     seeds.append(_seeds(data, table[:, 0]))
             table = np.concatenate([np.zeros((0, 3), dtype=np.int64), *parts])
             seed = np.concatenate([np.zeros(0, dtype=np.uint64), *seeds]).view(np.int64)
-            columns = [np.repeat(doc, lengths), np.repeat(sig, lengths), table[:, 0], table[:, 1], table[:, 2], seed]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "sig", "place", "low", "high", "seed"])
+            columns = [np.repeat(doc, lengths), np.repeat(sig, lengths), _packed(*table.T), seed]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "sig", "place", "seed"])
 
     def running(batches):
         for batch in batches:
             out = [[] for _ in range(6)]
             for doc, sig, text, places in zip(*(batch.column(c) for c in ("doc", "sig", "text", "places"))):
                 data = np.frombuffer(text.as_py().encode(), dtype=np.uint8)
-                place, low, high = (np.array([x[c] for x in places.as_py()], dtype=np.int64) for c in ("place", "low", "high"))
+                place, low, high = _unpacked(np.array(places.as_py(), dtype=np.int64))
                 first, final = (place - high) // width, (place - low) // width
                 count = final - first + 1
                 each = np.repeat(np.arange(len(place)), count)
@@ -119,10 +119,11 @@ def repeated_spans(rows: DataFrame, length: int = 400, width: int = 41) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "sig", "start", "core", "name"])
 
     texts = rows.select("doc", "sig", "text")
-    sampled = texts.mapInArrow(sampling, "doc long, sig long, place long, low long, high long, seed long")
-    common = sampled.groupBy("seed").count().where("count > 1").select("seed")
+    sampled = written(texts.mapInArrow(sampling, "doc long, sig long, place long, seed long"), "sampled")
+    # written, so that a join with a seed that very many places have can be split
+    common = written(sampled.groupBy("seed").count().where("count > 1").select("seed"), "seeds")
     sampled = sampled.join(common, "seed", "left_semi")
-    places = sampled.dropDuplicates(["doc", "sig", "place"]).groupBy("doc", "sig").agg(F.collect_list(F.struct("place", "low", "high")).alias("places"))
+    places = sampled.groupBy("doc", "sig").agg(F.collect_set("place").alias("places"))
     runs = texts.join(places, ["doc", "sig"]).mapInArrow(running, "doc long, sig long, low long, high long, core long, span long")
     runs = written(runs, "runs")
 
@@ -152,6 +153,16 @@ def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     return without_spans(rows, repeated_spans(rows, length))
 
 
+def _packed(place: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A sampled position and its first and last start, which lie less than 512 bytes before it, in one number."""
+    return place << 18 | (place - low) << 9 | place - high
+
+
+def _unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    place = packed >> 18
+    return place, place - (packed >> 9 & 511), place - (packed & 511)
+
+
 def _seeds(data: np.ndarray, places: np.ndarray) -> np.ndarray:
     out = np.empty(len(places), dtype=np.uint64)
     for begin in range(0, len(data), _PART):
