@@ -19,7 +19,7 @@ def encode(
     overlap: int = 512,
     id_col: str = "doc_id",
     text_col: str = "text",
-    known: int = 400_000,
+    known: int = 200_000,
 ) -> DataFrame:
     """Ids of every text under a rank file: doc_id, n_tokens, ids (little-endian unsigned 32-bit, one after another).
 
@@ -54,9 +54,10 @@ def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
         table = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             table[i] = token
-        for batch in batches:
-            texts = [b"".join(map(table.__getitem__, np.frombuffer(x.as_py() or b"", dtype="<u4").tolist())) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary())], ["doc_id", "bytes"])
+        for whole in batches:
+            for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+                texts = [b"".join(map(table.__getitem__, np.frombuffer(x.as_py() or b"", dtype="<u4").tolist())) for x in batch.column("ids")]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary())], ["doc_id", "bytes"])
 
     key = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {key}, bytes binary")
@@ -105,8 +106,8 @@ def _encoding(vocab_path: str, pattern: str, known: int):
         ranks, find = read_ranks(vocab_path), regex.compile(pattern).findall
         memory = _Memory(ranks)
         for batch in batches:
-            out = []
-            for _, texts in blocks(batch.column("text")):
+            # a block's ids go out before the next block is read, so a task holds those of one block
+            for begin, texts in blocks(batch.column("text")):
                 if len(memory) > known:
                     memory = _Memory(ranks)
                 places = []
@@ -114,9 +115,10 @@ def _encoding(vocab_path: str, pattern: str, known: int):
                     found = find(text)
                     places.append(np.fromiter(map(memory.__getitem__, found), dtype=np.int64, count=len(found)))
                 flat, start, size = memory.tables()
-                out += [flat[_spread(start[p], size[p])].tobytes() for p in places]
-            kept = [batch.column(c) for c in ("doc_id", "doc", "sig", "piece")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.binary())], ["doc_id", "doc", "sig", "piece", "ids"])
+                out = [flat[_spread(start[p], size[p])].tobytes() for p in places]
+                part = batch.slice(begin, len(texts))
+                kept = [part.column(c) for c in ("doc_id", "doc", "sig", "piece")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.binary())], ["doc_id", "doc", "sig", "piece", "ids"])
 
     return run
 
