@@ -15,6 +15,7 @@ from jobtide.llm.near_duplicates import near_duplicates
 from jobtide.llm.packing import pack
 from jobtide.llm.quality_rules import quality_rules
 from jobtide.llm.resampling import resample
+from jobtide.llm.sql import NEAR_DUPLICATES
 from jobtide.llm.token_counts import token_counts
 
 _PATTERN = public_tokenizers.PATTERN
@@ -92,4 +93,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_bloom_language_model,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {op6_minmax_near_duplicates.__name__: NEAR_DUPLICATES}
