@@ -111,6 +111,27 @@ def test_scores_against_brute_force(spark, settings):
         assert got[k].score <= 0
 
 
+@pytest.mark.parametrize("settings", [{}, {"bits": 16}, {"bits": 9}])
+def test_pair_scores_are_those_of_brute_force(spark, settings):
+    rng = random.Random(11)
+    texts = {i: english(rng, rng.randint(0, 80)) for i in range(120)} | {200: None, 201: "THE Bating zzz zzz"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    # with so many probes no pair is taken for another, but for very small blocks, where that can only raise scores
+    got = {r.doc_id: r for r in bloom_model.score(docs, bloom_model.fit(docs.where("doc_id < 100"), probes=30, inertia=50.0, **settings)).collect()}
+    tokens = {k: [*(t or "").encode().lower().split(), b" "] for k, t in texts.items()}
+    count = Counter(x for k in range(100) for x in tokens[k])
+    pairs = Counter(p for k in range(100) for p in zip([b" ", *tokens[k]], tokens[k]))
+    total, different = sum(count.values()), len(count)
+    assert sum(n == 1 for n in pairs.values()) > 1000
+    for k, found in tokens.items():
+        want = 0.0
+        for v, w in zip([b" ", *found], found):
+            n = pairs[v, w]
+            seen = min(max(1.0, 1.5 * 2 ** math.floor(math.log2(n)) - 0.5), count[v], count[w]) if n else 0.0
+            want += math.log10((seen + 50.0 * (count[w] + 0.5) / (total + 0.5 * (different + 1))) / (count[v] + 50.0))
+        assert math.isclose(got[k].score, want, abs_tol=1e-9) or settings.get("bits") == 9 and got[k].score > want
+
+
 def test_pairs_seen_in_training_score_better(spark):
     rng = random.Random(5)
     text = [f"{a} {a}x {a}y" for a in "abcdefgh"]
