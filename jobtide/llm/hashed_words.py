@@ -49,9 +49,9 @@ class HashedWords:
             self._values = np.concatenate([self._values, self._look_up(np.array(new, dtype=np.uint64))])
         return [self._values[p] for p in places]
 
-    def batches(self, column: pa.Array):
-        """Runs of the column's texts as such arrays, with the place of the first."""
-        for start, texts in blocks(column):
+    def batches(self, column: pa.Array, *most: int):
+        """Runs of the column's texts as such arrays, with the place of the first; ``most`` characters or so each, if given."""
+        for start, texts in blocks(column, *most):
             yield start, self.of(texts)
 
 

@@ -111,7 +111,7 @@ def test_scores_against_brute_force(spark, settings):
         assert got[k].score <= 0
 
 
-@pytest.mark.parametrize("settings", [{}, {"bits": 16}, {"bits": 9}])
+@pytest.mark.parametrize("settings", [{}, {"bits": 16}, {"bits": 9}, {"most_tokens": 30}, {"most_tokens": 0}])
 def test_pair_scores_are_those_of_brute_force(spark, settings):
     rng = random.Random(11)
     texts = {i: english(rng, rng.randint(0, 80)) for i in range(120)} | {200: None, 201: "THE Bating zzz zzz"}
