@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 import pytest
 
@@ -34,3 +36,29 @@ def test_run_gives_the_pieces_of_the_last_stage(spark, stages):
     assert sorted((r.doc_id, r.doc_tokens) for r in corpus_pipeline.run(spark, SMALL).select("doc_id", "doc_tokens").distinct().collect()) == sorted(
         {(r.doc_id, r.doc_tokens) for r in stages[4][3]}
     )
+
+
+def test_near_dedup_keeps_the_lowest_id_of_brute_force_groups(spark):
+    rng, rows = random.Random(12), []
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(204)]
+        # each changed word takes up to five shingles of 200 away: 4 give about 0.82, 5 about 0.78
+        for changed in (0, 1, 3, 4, 4, 5):
+            words = list(base)
+            for at in rng.sample(range(8, 196, 8), changed):
+                words[at] = f"x{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(words)))
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, t in rows if (w := t.split())}
+    up = {k: k for k, _ in rows}
+    found = set()
+    for a in sets:
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                found.add(100 * common < 85 * (len(sets[a]) + len(sets[b]) - common))
+                low, high = sorted((up[a], up[b]))
+                up = {k: low if c == high else c for k, c in up.items()}
+    assert found == {True, False}
+    docs = spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs.repartition(3), SMALL)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(up.values()))
