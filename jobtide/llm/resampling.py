@@ -22,17 +22,23 @@ _LARGEST = float(1 << 46)
 
 
 class Resampling(NamedTuple):
-    """A fitted model. ``weights``: log ratio of each slot; ``least``: the smallest key that is sampled, None for all."""
+    """A fitted model. ``weights``: log ratios of each slot, of target to raw text and of toxic to clean rows; ``least``: the smallest key that is
+    sampled, None for all; ``worst``: the strongest toxic evidence that is let pass, None for any."""
 
     weights: Broadcast
     orders: int
     passage: int
     seed: int
     least: int | None
+    worst: float | None
 
-    def log_weight(self, text: Column) -> Column:
-        """Log ratio of the two models' probabilities of a text, for a passage of ``passage`` n-grams of it; null without words."""
-        return _log_weight(self.weights, self.orders, self.passage)(F.coalesce(text, F.lit("")))
+    def scored(self, text: Column) -> Column:
+        """``weight``, the log ratio of target and raw model's probabilities of a text, for a passage of ``passage`` n-grams of it, and ``evidence``,
+        the largest log ratio of toxic to clean rows among its n-grams; null without words."""
+        return _scored(self.weights, self.orders, self.passage)(F.coalesce(text, F.lit("")))
+
+    def rejected(self, evidence: Column) -> Column:
+        return F.lit(False) if self.worst is None else F.coalesce(evidence > self.worst, F.lit(False))
 
     def key(self, doc_id: Column, text: Column, log_weight: Column) -> Column:
         """Log weight plus Gumbel noise drawn from id and text, as an integer in the same order (steps of 2^-20). Null weights stay null."""
@@ -54,6 +60,7 @@ def fit(
     priors: tuple[float, ...] = (5.0, 100.0),
     passage: int = 512,
     lose: float = 0.03,
+    lose_clean: float = 0.01,
     seed: int = 7,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -65,32 +72,55 @@ def fit(
     ``priors`` is added to target counts and to raw counts brought to their size, so that rare slots say little.
     k is the number of rows whose log weight is no lower than that of all but a share ``lose`` of the held-out target
     rows, since labels may be wrong. Rows tied with the k-th are sampled as well. Without target rows all rows are.
+
+    A few toxic words hardly move the weight of a long text. So a second ratio compares in how many labelled toxic and clean (toxic 0) rows each slot
+    is found, at most ``sample`` of either, two thirds of them; a row is rejected if its strongest n-gram exceeds what all but a share ``lose_clean``
+    of the held-out clean rows have. Rejected rows have no key. Without toxic or held-out clean rows none is rejected.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    good = good.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
-    good = good.withColumn("target", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(3)) != 0)
-    rows = texts_of(docs, id_col, text_col).join(F.broadcast(good), "doc_id", "left")  # at most ``sample`` ids
-    counts = rows.select("text", F.coalesce("target", F.lit(False)).alias("target")).mapInArrow(_counting(orders, slots), "slot int, raw long, target long")
+    named, toxic = labels.where("doc_id IS NOT NULL"), F.coalesce(F.col("toxic"), F.lit(0))
+    bad = named.where(toxic == 1).select("doc_id").distinct()
+    kinds = {
+        "good": named.where((F.col("quality") == 1) & (toxic == 0)),
+        "toxic": bad,
+        "clean": named.where("toxic = 0").join(bad, "doc_id", "left_anti"),
+    }
+    marks = None
+    for kind, found in kinds.items():
+        found = found.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
+        found = found.select("doc_id", *[F.lit(kind == k).alias(k) for k in kinds])
+        marks = found if marks is None else marks.unionByName(found)
+    marks = marks.groupBy("doc_id").agg(*[F.max(k).alias(k) for k in kinds])
+    marks = marks.withColumn("train", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(3)) != 0)
+    rows = texts_of(docs, id_col, text_col).join(F.broadcast(marks), "doc_id", "left")  # at most three times ``sample`` ids
+    uses = [F.coalesce(F.col(k) & F.col("train"), F.lit(False)).alias(k) for k in kinds]
+    counts = rows.select("text", *uses).mapInArrow(_counting(orders, slots), "slot int, raw long, good long, toxic long, clean long")
     # as many rows as there are slots at most
-    total = counts.groupBy("slot").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, target = np.zeros(orders * slots), np.zeros(orders * slots)
+    total = counts.groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("raw", *kinds)]).toArrow()
     at = total.column("slot").to_numpy()
-    raw[at], target[at] = total.column("raw").to_numpy(), total.column("target").to_numpy()
-    weights = np.zeros(orders * slots, dtype=np.float32)
-    for n in range(orders):
-        part = slice(n * slots, (n + 1) * slots)
-        size = target[part].sum() / max(raw[part].sum(), 1)
-        weights[part] = np.log((target[part] + priors[n]) / (raw[part] * size + priors[n]))
-    model = Resampling(spark.sparkContext.broadcast(weights), orders, passage, seed, None)
-    if not target.any():
+
+    def column(name: str) -> np.ndarray:
+        found = np.zeros(orders * slots)
+        found[at] = total.column(name).to_numpy()
+        return found
+
+    target, found = column("good"), column("toxic")
+    weights = np.stack([_ratio(target, column("raw"), orders, priors), _ratio(found, column("clean"), orders, priors)])
+    model = Resampling(spark.sparkContext.broadcast(weights), orders, passage, seed, None, None)
+    if not target.any() and not found.any():
         return model
-    scored = rows.withColumn("weight", model.log_weight(F.col("text")))
-    scored = scored.select("target", "weight", model.key(F.col("doc_id"), F.col("text"), F.col("weight")).alias("key"))
-    scored = written(scored, "weights")
+    scored = rows.withColumn("scored", model.scored(F.col("text")))
+    key = model.key(F.col("doc_id"), F.col("text"), F.col("scored.weight"))
+    held_out = [(F.coalesce(F.col(k), F.lit(False)) & ~F.col("train")).alias(k) for k in ("good", "clean")]
+    scored = written(scored.select(*held_out, "scored.*", key.alias("key")), "weights")
     # one row from each task, over at most ``sample`` values
-    bound = scored.where(~F.col("target")).agg(F.percentile("weight", F.lit(lose))).first()[0]
+    if found.any():
+        model = model._replace(worst=scored.where("clean").agg(F.percentile("evidence", F.lit(1 - lose_clean))).first()[0])
+    if not target.any():
+        return model
+    scored = scored.where(~model.rejected(F.col("evidence")))
+    bound = scored.where("good").agg(F.percentile("weight", F.lit(lose))).first()[0]
     k = scored.where(F.col("weight") >= bound).count() if bound is not None else 0
     return model._replace(least=_kth_largest(scored.select("key").where("key IS NOT NULL"), k) if k else None)
 
@@ -98,7 +128,8 @@ def fit(
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """doc_id, log_weight, sample_key and kept of every row of ``docs``; see ``fit`` for how rows are sampled and the settings.
 
-    A text without words has no weight and is not sampled, unless there is no target text; null ids can be sampled. Repeated rows
+    A text without words has no weight and is not sampled, unless there is no target text; one rejected as toxic has no key and is never kept; null ids
+    can be sampled. Repeated rows
     share their noise and so their fate. Needs no shuffle of texts.
     """
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **settings)
@@ -107,9 +138,20 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def decided(docs: DataFrame, model: Resampling, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with log_weight, sample_key and kept; columns of these names are replaced."""
-    made = docs.withColumn("log_weight", model.log_weight(F.col(text_col)))
-    made = made.withColumn("sample_key", model.key(F.col(id_col), F.col(text_col), F.col("log_weight")))
-    return made.withColumn("kept", model.kept(F.col("sample_key")))
+    made = docs.withColumn("kept", model.scored(F.col(text_col))).withColumn("log_weight", F.col("kept.weight"))
+    rejected = model.rejected(F.col("kept.evidence"))
+    key = F.when(~rejected, model.key(F.col(id_col), F.col(text_col), F.col("log_weight")))
+    return made.withColumn("sample_key", key).withColumn("kept", model.kept(F.col("sample_key")) & ~rejected)
+
+
+def _ratio(one: np.ndarray, other: np.ndarray, orders: int, priors: tuple[float, ...]) -> np.ndarray:
+    """Log ratios of the counts of each slot, brought to the same size for each order."""
+    out = np.zeros(len(one), dtype=np.float32)
+    for n in range(orders):
+        part = slice(n * len(one) // orders, (n + 1) * len(one) // orders)
+        size = one[part].sum() / max(other[part].sum(), 1)
+        out[part] = np.log((one[part] + priors[n]) / (other[part] * size + priors[n]))
+    return out
 
 
 def _places(hashes: np.ndarray, orders: int, slots: int) -> np.ndarray:
@@ -125,31 +167,37 @@ def _counting(orders: int, slots: int):
     def run(batches):
         words = HashedWords(lambda h: h)
         raw, target = (np.zeros(orders * slots, dtype=np.int64) for _ in range(2))
+        toxic, clean = (np.zeros(orders * slots, dtype=np.int32) for _ in range(2))
         for batch in batches:
-            good = batch.column("target").to_pylist()
+            marks = [batch.column(k).to_pylist() for k in ("good", "toxic", "clean")]
             for start, texts in words.batches(batch.column("text")):
                 for i, hashes in enumerate(texts, start):
-                    at = _places(hashes, orders, slots)
-                    for counts in (raw, target) if good[i] else (raw,):
+                    at, (good, bad, fair) = _places(hashes, orders, slots), (m[i] for m in marks)
+                    for counts in (raw, target) if good else (raw,):
                         np.add.at(counts, at, 1)
+                    if bad or fair:
+                        (toxic if bad else clean)[np.unique(at)] += 1
         used = np.flatnonzero(raw).astype(np.int32)
         for part in np.array_split(used, len(used) // 100_000 + 1):
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(raw[part]), pa.array(target[part])], ["slot", "raw", "target"])
+            numbers = [pa.array(c[part].astype(np.int64)) for c in (raw, target, toxic, clean)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *numbers], ["slot", "raw", "good", "toxic", "clean"])
 
     return run
 
 
-def _log_weight(weights: Broadcast, orders: int, passage: int):
-    def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words, table = HashedWords(lambda h: h), weights.value
+def _scored(weights: Broadcast, orders: int, passage: int):
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        words, (table, toxic) = HashedWords(lambda h: h), weights.value
         for column in columns:
-            found = []
+            found, evidence = [], []
             for _, texts in words.batches(pa.array(column)):
-                each = [table[_places(h, orders, len(table) // orders)] for h in texts]
-                found += [passage * float(w.mean(dtype=np.float64)) if len(w) else None for w in each]
-            yield pd.Series(found, dtype="Float64")
+                for hashes in texts:
+                    at = _places(hashes, orders, len(table) // orders)
+                    found.append(passage * float(table[at].mean(dtype=np.float64)) if len(at) else None)
+                    evidence.append(float(toxic[at].max()) if len(at) else None)
+            yield pd.DataFrame({"weight": pd.Series(found, dtype="Float64"), "evidence": pd.Series(evidence, dtype="Float64")})
 
-    return pandas_udf(run, "double")
+    return pandas_udf(run, "weight double, evidence double")
 
 
 def _kth_largest(keys: DataFrame, k: int) -> int:

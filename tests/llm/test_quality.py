@@ -163,6 +163,25 @@ def test_resampling_finds_what_the_target_lacks(spark):
     assert resampling.resample(docs.limit(0), labels).collect() == []
 
 
+def test_few_toxic_words_in_long_texts_are_rejected(spark):
+    rng = random.Random(13)
+    texts = {i: english(rng, 300) for i in range(900)}
+    for i in range(0, 900, 9):
+        words = texts[i].split()
+        for at in rng.sample(range(300), 4):
+            words[at] = rng.choice(["vile", "foul", "putrid"])
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame([*texts.items(), (1000, None)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in resampling.resample(docs, labels).collect()}
+    assert sum(kept[i] for i in range(0, 900, 9)) <= 2 and not kept[1000]
+    assert sum(kept[i] for i in range(900) if i % 9) > 0.9 * 800
+    # without target text all but the rejected ones are kept
+    kept = {r.doc_id: r.kept for r in resampling.resample(docs, labels.withColumn("quality", F.lit(0))).collect()}
+    assert sum(kept[i] for i in range(0, 900, 9)) <= 2 and kept[1000] and sum(kept[i] for i in range(900) if i % 9) > 0.95 * 800
+    assert all(r.kept for r in resampling.resample(docs, labels.where("quality = 0 OR toxic = 0").withColumn("quality", F.lit(0))).collect())
+
+
 @pytest.mark.parametrize("k", [1, 2, 7, 100])
 def test_kth_largest(spark, k):
     rng = random.Random(k)
