@@ -142,6 +142,12 @@ def test_groups_are_those_of_brute_force(spark, stars):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_buckets_of_two_are_compared_without_stars(spark):
+    text = prose(random.Random(14), 200)
+    got = near_duplicates(frame(spark, [(1, text), (2, text + " end")]), stars=0).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1}
+
+
 def test_a_large_group_of_copies_keeps_one(spark):
     rng = random.Random(8)
     text = prose(rng, 60)
