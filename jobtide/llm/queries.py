@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobtide.llm import bloom_model, chunk_dedup, suffixes, training_suffixes
+from jobtide.llm import alignment, bloom_model, chunk_dedup, suffixes, training_suffixes
 from jobtide.llm.byte_bpe import decode, encode
 from jobtide.llm.common import documents
 from jobtide.llm.fingerprints import spliced_fingerprints
@@ -82,6 +82,11 @@ def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return training_suffixes.report(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    names = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+    return alignment.report(documents(spark, folder), public_tokenizers.path(names[0]), _PATTERN, public_tokenizers.path(names[1]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_chunk_dedup,
         op10_bloom_language_model,
         op12_decontamination,
+        op13_tokenizer_alignment,
     )
 }
 ORACLES: dict[str, str] = {op6_minmax_near_duplicates.__name__: NEAR_DUPLICATES, op12_decontamination.__name__: CONTAMINATION}
