@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobtide.llm import alignment, bloom_model, chunk_dedup, suffixes, training_suffixes
+from jobtide.llm import alignment, bloom_model, chunk_dedup, lexical_search, suffixes, training_suffixes
 from jobtide.llm.byte_bpe import decode, encode
 from jobtide.llm.common import documents
 from jobtide.llm.fingerprints import spliced_fingerprints
@@ -15,7 +15,7 @@ from jobtide.llm.near_duplicates import near_duplicates
 from jobtide.llm.packing import pack
 from jobtide.llm.quality_rules import quality_rules
 from jobtide.llm.resampling import resample
-from jobtide.llm.sql import CONTAMINATION, NEAR_DUPLICATES
+from jobtide.llm.sql import CONTAMINATION, LEXICAL_SEARCH, NEAR_DUPLICATES
 from jobtide.llm.token_counts import token_counts
 
 _PATTERN = public_tokenizers.PATTERN
@@ -78,6 +78,10 @@ def op10_bloom_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), *scored.columns[1:])
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return training_suffixes.report(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
@@ -100,8 +104,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_fingerprints,
         op9_chunk_dedup,
         op10_bloom_language_model,
+        op11_lexical_search,
         op12_decontamination,
         op13_tokenizer_alignment,
     )
 }
-ORACLES: dict[str, str] = {op6_minmax_near_duplicates.__name__: NEAR_DUPLICATES, op12_decontamination.__name__: CONTAMINATION}
+ORACLES: dict[str, str] = {
+    op6_minmax_near_duplicates.__name__: NEAR_DUPLICATES,
+    op11_lexical_search.__name__: LEXICAL_SEARCH,
+    op12_decontamination.__name__: CONTAMINATION,
+}
