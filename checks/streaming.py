@@ -1,7 +1,10 @@
 from pyspark.sql import functions as F
 
 from checks.base import AS_OF, CLOSURE_HOURS, check, instants
+from checks.extraction import ANCHORS, companies_of
 from checks.merging import CRAWL, KNOWN, MERGED, _conformed, _SHOWN
+from jobtide.operators.extraction import _SELECTORS
+from jobtide.sources.tables import conform_pages, stream_pages
 from jobtide.streaming import activity, changes, crawl
 
 
@@ -25,8 +28,8 @@ def stream_status_changes(d):
         .when(F.col("event_type") != "error", "open").alias("status"),
     )
     root = d.folder_for("status-changes")
-    changes.status_changes_stream(seen, f"{root}/state", f"{root}/checkpoint", buckets=8).awaitTermination()
-    return changes.changes_written(d.spark, f"{root}/state")
+    changes.status_changes_stream(seen, f"{root}/changes", f"{root}/checkpoint").awaitTermination()
+    return changes.changes_written(d.spark, f"{root}/changes")
 
 
 @check("status_changes_table", """
@@ -46,9 +49,9 @@ def stream_upsert(d):
     # several triggers; all listings of a URL come in one, as the SQL sees them together
     d.sql(CRAWL).withColumns(nothing).repartition(3, "job_url").write.parquet(f"{root}/crawl")
     files = d.spark.readStream.schema(d.spark.read.parquet(f"{root}/crawl").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/crawl")
-    query = crawl.upsert_stream(files, _conformed(d, KNOWN), f"{root}/state", f"{root}/checkpoint", AS_OF, buckets=8)
+    query = crawl.upsert_stream(files, _conformed(d, KNOWN), f"{root}/state", f"{root}/checkpoint", AS_OF, parts=8, files=1)
     query.awaitTermination()
-    return crawl.current_jobs(d.spark, f"{root}/state", buckets=8).select(*_SHOWN.split(", "))
+    return crawl.current_jobs(d.spark, f"{root}/state").select(*_SHOWN.split(", "))
 
 
 @check("stream_activity_windows", f"""
@@ -69,8 +72,9 @@ def stream_activity_windows(d):
         F.col("l_shipdate").alias("changed_at"),
     )
     root, slide = d.folder_for("activity"), CLOSURE_HOURS // 2
-    activity.activity_stream(history, f"{root}/state", f"{root}/checkpoint", slide, buckets=8).awaitTermination()
-    return activity.activity_windows(d.spark, f"{root}/state", d.view("jobs"), CLOSURE_HOURS, slide, buckets=8)
+    # the file is in no order of time, so nothing in it may count as late
+    activity.activity_stream(history, d.view("jobs"), f"{root}/windows", f"{root}/checkpoint", CLOSURE_HOURS, slide, "3650 days").awaitTermination()
+    return activity.activity_windows(d.spark, f"{root}/windows")
 
 
 @check("stream_first_seen", "SELECT user_id AS company_id, concat('https://c.example.com/jobs/', event_type) AS job_url, min(ts) AS seen_at FROM {events} GROUP BY 1, 2")
@@ -81,5 +85,23 @@ def stream_first_seen(d):
         F.col("ts").alias("seen_at"),
     )
     root = d.folder_for("first-seen")
-    crawl.first_seen_stream(sightings, f"{root}/state", f"{root}/checkpoint", buckets=8).awaitTermination()
-    return crawl.first_seen(d.spark, f"{root}/state", buckets=8)
+    crawl.first_seen_stream(sightings, f"{root}/seen", f"{root}/checkpoint").awaitTermination()
+    return crawl.first_seen(d.spark, f"{root}/seen")
+
+
+@check("stream_listings", f"""
+WITH {ANCHORS},
+first AS (SELECT *, row_number() OVER (PARTITION BY company_id, href ORDER BY page_num, element_pos) AS i FROM anchors WHERE page_num <= 3)
+SELECT company_id, label AS job_title, concat('https://c', company_id, '.example.com', href) AS job_url, label AS location, 'unknown' AS status
+FROM first WHERE i = 1
+""")
+def stream_listings(d):
+    # pages arrive in several files, whose order is not that of the pages
+    root, companies = d.folder_for("stream-listings"), companies_of(d)
+    pages = conform_pages(d.view("crawled_pages")).repartition(4, F.xxhash64("url"))
+    pages.write.option("parquet.block.size", 1 << 20).parquet(f"{root}/pages")
+    own = {name: F.lit("nav li" if name == "job_listing_selector" else None).cast("string") for name in _SELECTORS}
+    configs = companies.withColumns({"config_id": F.col("company_id"), "is_active": F.lit(True), **own})
+    arriving = stream_pages(d.spark, f"{root}/pages", max_pages=3, files_per_trigger=2)
+    crawl.listings_stream(arriving, companies, configs, f"{root}/listings", f"{root}/checkpoint", AS_OF).awaitTermination()
+    return crawl.listings_found(d.spark, f"{root}/listings").select("company_id", "job_title", "job_url", "location", "status")

@@ -39,6 +39,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, in whatever store the path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def clear_written(spark: SparkSession) -> None:
     """Delete what this application has put aside with ``written``; call it once the results that build on it are saved."""
     for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):

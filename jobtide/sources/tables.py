@@ -84,6 +84,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def conform_pages(pages: DataFrame) -> DataFrame:
+    """Exactly the declared columns of crawled pages; absent ones become null."""
+    fields = [f.split() for f in CRAWLED_PAGES.split(", ")]
+    return pages.select(*[(F.col(name) if name in pages.columns else F.lit(None)).cast(kind).alias(name) for name, kind in fields])
+
+
 def load_pages(spark: SparkSession, path: str, max_pages: int = 5) -> DataFrame:
     """Stored pages. Write them in small row groups: a scan is split by these and ``spark.sql.files.maxPartitionBytes``, and no html is shuffled."""
     return crawled_pages(spark.read.schema(CRAWLED_PAGES).parquet(path), max_pages)

@@ -5,50 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from jobtide.streaming.state import BucketState, run_batches
+from jobtide.streaming.sinks import latest_rows, write_triggers
 
-_COUNTS = "job_id bigint, slot timestamp, updates bigint, closures bigint"
+_WINDOWS = "company_id bigint, window_start timestamp, window_end timestamp, updates bigint, closures bigint"
 
 
-def _state(spark: SparkSession, path: str, buckets: int) -> BucketState:
-    return BucketState(spark, path, _COUNTS, ["job_id"], buckets)
+def activity_stream(
+    history: DataFrame, jobs: DataFrame, path: str, checkpoint: str, hours: int = 48, slide_hours: int = 1, delay: str = "7 days"
+) -> StreamingQuery:
+    """Count updates and closures per company in windows of ``hours``, one every ``slide_hours``, and write the counts that a trigger changed below ``path``.
 
-
-def activity_stream(history: DataFrame, path: str, checkpoint: str, slide_hours: int = 1, buckets: int = 64) -> StreamingQuery:
-    """Keep counts of updates and closures per job and slot of ``slide_hours`` below ``path``.
-
-    A trigger's rows are counted per job and slot before anything moves, so a busy job is a few rows; the counts are added to
-    those of earlier triggers, whatever order rows come in. Nothing is too late and nothing is dropped.
+    A closure counts if its job is closed in ``jobs`` when the change is read. Open windows show as they grow. The watermark stays ``delay`` behind the latest
+    change of earlier triggers: a change adds to its windows that end after the watermark; those that ended before are final and no longer kept. Changes without a time, or of unknown jobs, are left out.
+    Rows combine in each task before they move, so a busy company is a row for each window and task.
     """
-    state = _state(history.sparkSession, path, buckets)
-    slot = F.window(F.col("changed_at").cast("timestamp"), f"{slide_hours} hours")["start"]
-
-    def add(batch: DataFrame, batch_id: int) -> None:
-        moved = F.coalesce(F.col("old_status") != F.col("new_status"), F.lit(False))
-        counted = batch.groupBy("job_id", slot.alias("slot")).agg(F.count_if(moved).alias("updates"), F.count_if(F.col("new_status") == "closed").alias("closures"))
-        touched = state.touched(counted)
-        both = state.before(batch_id, touched).unionByName(counted)
-        summed = both.groupBy("job_id", "slot").agg(F.sum("updates").alias("updates"), F.sum("closures").alias("closures"))
-        state.update(batch_id, touched, summed)
-
-    return run_batches(history, add, checkpoint)
-
+    owner = jobs.select("job_id", "company_id", (F.col("status") == "closed").alias("closed"))
+    moved = F.coalesce(F.col("old_status") != F.col("new_status"), F.lit(False))
+    timed = history.withColumn("changed_at", F.col("changed_at").cast("timestamp")).withWatermark("changed_at", delay)
+    slots = timed.join(owner, "job_id").groupBy("company_id", F.window("changed_at", f"{hours} hours", f"{slide_hours} hours"))
+    counted = slots.agg(F.count_if(moved).alias("updates"), F.count_if(F.col("closed") & (F.col("new_status") == "closed")).alias("closures"))
+    shown = counted.select("company_id", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "updates", "closures")
+    return write_triggers(shown, path, checkpoint, "update")
 
-def activity_windows(spark: SparkSession, path: str, jobs: DataFrame, hours: int, slide_hours: int = 1, buckets: int = 64) -> DataFrame:
-    """Updates and closures per company in windows of ``hours``, one every ``slide_hours``, from the counts that ``activity_stream`` keeps.
 
-    A closure counts while its job is closed at present. Every window that holds a change appears, also one that is not over yet.
-    ``hours`` is a multiple of ``slide_hours``.
-    """
-    if hours % slide_hours:
-        raise ValueError("windows are made of whole slides")
-    owner = jobs.select("job_id", "company_id", (F.col("status") == "closed").alias("closed"))
-    slots = _state(spark, path, buckets).rows().join(owner, "job_id").groupBy("company_id", "slot")
-    slots = slots.agg(F.sum("updates").alias("updates"), F.sum(F.when(F.col("closed"), F.col("closures")).otherwise(0)).alias("closures"))
-    back = F.explode(F.sequence(F.lit(0), F.lit(hours // slide_hours - 1)))
-    starts = slots.withColumn("back", back).withColumn("window_start", F.col("slot") - F.make_dt_interval(hours=F.col("back") * slide_hours))
-    return (
-        starts.groupBy("company_id", "window_start")
-        .agg(F.sum("updates").alias("updates"), F.sum("closures").alias("closures"))
-        .select("company_id", "window_start", (F.col("window_start") + F.make_dt_interval(hours=F.lit(hours))).alias("window_end"), "updates", "closures")
-    )
+def activity_windows(spark: SparkSession, path: str) -> DataFrame:
+    """The counts so far, of every window that holds a change, also of one that is not over yet."""
+    return latest_rows(spark, path, _WINDOWS, ["company_id", "window_start", "window_end"])
