@@ -5,6 +5,8 @@ from jobtide.functions.dates import parse_posted
 from jobtide.functions.text import clean_text
 from jobtide.functions.urls import resolve_url
 from jobtide.operators import extraction as X
+from jobtide.plans.runs import crawl_run
+from jobtide.schemas import conform
 from jobtide.sources.tables import spread
 
 # every nav anchor of a page with its position
@@ -216,3 +218,35 @@ SELECT page_id, url, length(body) AS n_chars, md5(body) AS digest FROM plain
 def page_text(d):
     texts = X.page_text(d.table("pages")).withColumn("text", clean_text("text"))
     return texts.select("page_id", "url", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+# a crawl in which pages are lost, answer with errors or come without html
+_FETCHED = """
+SELECT company_id, page_num, page_id, url, CASE WHEN page_id % 17 = 4 THEN NULL ELSE html END AS html,
+  CAST(CASE page_id % 11 WHEN 0 THEN 404 WHEN 5 THEN 500 ELSE 200 END AS INT) AS http_status
+FROM {crawled_pages} WHERE page_id % 13 <> 3"""
+
+
+@check("crawl_report", f"""
+WITH {ANCHORS},
+fetched AS ({_FETCHED} AND page_num <= 3),
+companies AS (SELECT DISTINCT company_id FROM {{crawled_pages}} UNION ALL SELECT -1),
+last AS (SELECT company_id, max(page_num) AS n FROM fetched GROUP BY 1),
+failed AS (
+  SELECT DISTINCT company_id, concat('code ', http_status) AS error FROM fetched WHERE http_status >= 400
+  UNION ALL SELECT DISTINCT company_id, 'no html' FROM fetched WHERE http_status < 400 AND html IS NULL
+  UNION ALL SELECT company_id, concat('no page ', i) FROM last, (SELECT unnest(range(1, 4)) AS i)
+            WHERE i < n AND NOT EXISTS (SELECT 1 FROM fetched f WHERE f.company_id = last.company_id AND f.page_num = i)
+  UNION ALL SELECT company_id, 'nothing' FROM companies WHERE company_id NOT IN (SELECT company_id FROM fetched))
+SELECT 'crawl' AS task, 'companies_processed' AS metric, count(*) AS value FROM companies WHERE company_id NOT IN (SELECT company_id FROM failed)
+UNION ALL SELECT 'crawl', 'jobs_added', count(*) FROM (
+  SELECT DISTINCT a.company_id, a.href FROM anchors a JOIN fetched f ON a.page_id = f.page_id WHERE f.http_status < 400 AND f.html IS NOT NULL)
+UNION ALL SELECT 'crawl', 'errors', count(*) FROM failed HAVING count(*) > 0
+""")
+def crawl_report(d):
+    lost = d.spark.sql("SELECT -1L AS company_id, 'https://lost.example.com/' AS career_page_url")
+    companies = companies_of(d).unionByName(lost)
+    own = {name: F.lit("nav li" if name == "job_listing_selector" else None).cast("string") for name in X._SELECTORS}
+    configs = companies.withColumns({"config_id": F.col("company_id"), "is_active": F.lit(True), **own})
+    tables = {"companies": conform(companies, "companies"), "site_configs": conform(configs, "site_configs"), "jobs": d.view("jobs").limit(0), "job_history": d.view("job_history")}
+    return crawl_run(tables, d.sql(_FETCHED), AS_OF).report

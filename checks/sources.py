@@ -63,8 +63,7 @@ def snapshot_write(d):
     history = tables["job_history"].withColumn("half", F.pmod(F.xxhash64(*tables["job_history"].columns), F.lit(2)))
     first, second = (history.where(F.col("half") == n).drop("half") for n in (0, 1))
     write_snapshot({**tables, "companies": tables["companies"].limit(0), "job_history": first}, root, "run-1")
-    base = read_snapshot(d.spark, root, "run-1")
-    write_snapshot({**base, "companies": tables["companies"]}, root, "run-2", base=base, added={"job_history": second})
+    write_snapshot({"companies": tables["companies"]}, root, "run-2", added={"job_history": second})
     keys = {"companies": "company_id", "jobs": "job_id", "job_history": "job_id", "site_configs": "config_id"}
     rows = [
         df.agg(F.count("*").alias("n"), F.sum(keys[name]).alias("keys")).select(F.lit(name).alias("table_name"), "n", "keys")

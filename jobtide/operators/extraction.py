@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from jobtide.functions import phrases as P
 from jobtide.functions.dates import parse_iso, parse_posted
-from jobtide.functions.text import bound, clean_text
+from jobtide.functions.text import bound, clean_text, strip_space
 from jobtide.functions.urls import resolve_url
-from jobtide.operators.page_scan import scan_pages, unusable, visible_texts
+from jobtide.operators.markup import BLOCK, LINE, PARAGRAPH
+from jobtide.operators.page_scan import main_texts, scan_pages, unusable
 from jobtide.sources.shared import broadcast_if_small
 
 _SELECTORS = {
@@ -23,10 +24,10 @@ _SELECTORS = {
     "job_location_selector": P.LOCATION_SELECTOR,
     "job_date_selector": P.DATE_SELECTOR,
 }
-ELEMENTS = (
-    "company_id bigint, page_num int, source string, element_pos int, self_text string, "
-    "title_text string, heading_text string, href string, location_text string, date_attribute string, "
-    "date_text string, description_text string, json_block string"
+_SPAN = "struct<start:int,size:int>"
+_NODES = (
+    "company_id bigint, page_num int, fetched boolean, source string, page_text binary, "
+    f"nodes array<struct<own:{_SPAN},title:{_SPAN},heading:{_SPAN},location:{_SPAN},dated:{_SPAN},description:{_SPAN},href:string,date_attribute:string>>"
 )
 
 
@@ -69,12 +70,33 @@ def unsupported_selectors(site_configs: DataFrame) -> DataFrame:
     return used.join(tried, "selector", "left_semi").select("company_id", error)
 
 
-def listing_elements(pages_cfg: DataFrame) -> DataFrame:
-    """Raw candidate elements of every page (columns: ``ELEMENTS``), one row per element.
+def page_nodes(pages_cfg: DataFrame) -> DataFrame:
+    """One row per page: which way found its elements (``selector``, ``link`` or ``jsonld``; a page uses only one), its text once, and the places of the elements' texts
+    in it, so that nested elements do not repeat what they hold. ``fetched`` is false where there was no html."""
+    return pages_cfg.select("company_id", "page_num", "html", *_SELECTORS).mapInArrow(scan_pages, _NODES)
+
+
+def _cut(place: str) -> Column:
+    """Text at a place of the page; null where there is no place. Cut from bytes, which costs as much as the text is long."""
+    return F.substring(F.col("page_text"), F.col(f"node.{place}.start") + 1, F.col(f"node.{place}.size")).cast("string")
+
+
+def elements_of(nodes: DataFrame, outer: bool = False) -> DataFrame:
+    """Raw elements of ``page_nodes``, one row per element; with ``outer`` pages without any have a row with null ``element_pos``."""
+    generate = F.posexplode_outer if outer else F.posexplode
+    each = nodes.select("company_id", "page_num", "fetched", "source", "page_text", generate("nodes").alias("element_pos", "node"))
+    markup, own = F.col("source") != "jsonld", _cut("own")
+    return each.select(
+        "company_id", "page_num", "fetched", "source", "element_pos", F.when(markup, own).alias("self_text"),
+        _cut("title").alias("title_text"), _cut("heading").alias("heading_text"), F.col("node.href").alias("href"), _cut("location").alias("location_text"),
+        F.col("node.date_attribute").alias("date_attribute"), _cut("dated").alias("date_text"), _cut("description").alias("description_text"),
+        F.when(~markup, own).alias("json_block"),
+    )
 
-    ``source`` says which way found them: ``selector``, ``link`` or ``jsonld``; a page uses only one.
-    """
-    return pages_cfg.select("company_id", "page_num", "html", *_SELECTORS).mapInPandas(scan_pages, ELEMENTS)
+
+def listing_elements(pages_cfg: DataFrame) -> DataFrame:
+    """Raw candidate elements of every page, one row per element."""
+    return elements_of(page_nodes(pages_cfg)).drop("fetched")
 
 
 def job_link_fallback(elements: DataFrame) -> DataFrame:
@@ -159,7 +181,11 @@ def jsonld_jobs(elements: DataFrame) -> DataFrame:
 
 def typed_listings(elements: DataFrame, as_of) -> DataFrame:
     """Both kinds in one projection, so that the pages behind the elements are read once."""
-    return _listed(elements, F.when(F.col("source") == "jsonld", _from_json()).otherwise(_from_markup(as_of)))
+    return _listed(elements, _any_listing(as_of))
+
+
+def _any_listing(as_of) -> Column:
+    return F.when(F.col("source") == "jsonld", _from_json()).otherwise(_from_markup(as_of))
 
 
 def valid_listings(listings: DataFrame) -> DataFrame:
@@ -192,7 +218,37 @@ def extract_jobs(pages: DataFrame, companies: DataFrame, site_configs: DataFrame
     return job_rows(dedupe_listings(valid_listings(typed_listings(elements, as_of))))
 
 
+def scan_listings(pages: DataFrame, companies: DataFrame, site_configs: DataFrame, as_of) -> DataFrame:
+    """Listings of all pages, and the companies that a page without html is of, from one pass: company_id, page_num, element_pos, fetched, listing."""
+    elements = with_base(elements_of(page_nodes(with_selectors(pages, site_configs)), outer=True), companies)
+    listing = F.when(F.col("element_pos").isNotNull(), _any_listing(as_of))
+    found = elements.select(*_POSITION, "fetched", listing.alias("listing"))
+    return found.where("listing IS NOT NULL OR NOT fetched")
+
+
+def listings_of(scanned: DataFrame) -> DataFrame:
+    """Unique job rows of ``scan_listings``."""
+    listed = scanned.where("listing IS NOT NULL").select(*_POSITION, "listing.*")
+    return job_rows(dedupe_listings(valid_listings(listed)))
+
+
+def _laid_out(raw: Column) -> Column:
+    """Text as a reader sees it: white space collapsed, each run of marked breaks as its line ends, nothing around."""
+    breaks = f"[{LINE}-{PARAGRAPH}]"
+    run = f" ?{breaks}[{LINE}-{PARAGRAPH} ]*"
+
+    def lines(marks: Column) -> Column:
+        single = F.length(marks) - F.length(F.replace(marks, F.lit(LINE), F.lit("")))
+        block = F.when(marks.contains(PARAGRAPH), 2).when(marks.contains(BLOCK), 1).otherwise(0)
+        return F.repeat(F.lit("\n"), (single + block).cast("int"))
+
+    flat = F.regexp_replace(raw, "[ \t\n\r\f]+", " ")
+    parts, runs = F.split(flat, run, -1), F.regexp_extract_all(flat, F.lit(run), F.lit(0))
+    joined = F.array_join(F.zip_with(parts, runs, lambda text, marks: F.concat(text, F.coalesce(lines(marks), F.lit("")))), "")
+    return strip_space(joined)
+
+
 def page_text(pages: DataFrame) -> DataFrame:
-    """Pages with ``html`` replaced by the text a reader would see of the main content."""
+    """Pages with ``html`` replaced by the text a reader would see of the main content. Python finds the main content and what to leave out; all else is expressions."""
     kept = [c for c in pages.columns if c != "html"]
-    return pages.select(*kept, F.pandas_udf(visible_texts, "string")("html").alias("text"))
+    return pages.select(*kept, F.pandas_udf(main_texts, "string")("html").alias("raw")).select(*kept, _laid_out(F.col("raw")).alias("text"))

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from functools import lru_cache
 from html.parser import HTMLParser
+from itertools import accumulate
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCKS = frozenset(
@@ -23,7 +24,8 @@ _ENDS = {
     "option": ({"option"}, {"select"}),
 }
 _P_ENDERS = _BLOCKS - {"body", "dd", "dt", "li", "tr", "figcaption"}
-_LINE, _BLOCK, _PARAGRAPH = "\x00", "\x01", "\x02"
+#: What stands for breaks among the text pieces.
+LINE, BLOCK, PARAGRAPH = "\x00", "\x01", "\x02"
 
 
 class Page(HTMLParser):
@@ -32,7 +34,7 @@ class Page(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.tag, self.attrs, self.parent, self.end, self.span = [], [], [], [], []
-        self.pieces, self._stack, self._open = [], [], Counter()
+        self.pieces, self._stack, self._open, self._offsets = [], [], Counter(), None
         # marked sections are no part of HTML: like browsers, take them for comments
         self.feed(html.replace("<![", "<! ["))
         self.close()
@@ -48,7 +50,7 @@ class Page(HTMLParser):
 
     def _mark(self, tag: str) -> None:
         if tag in _BLOCKS:
-            self.pieces.append(_PARAGRAPH if tag == "p" else _BLOCK)
+            self.pieces.append(PARAGRAPH if tag == "p" else BLOCK)
 
     def _depth_of(self, wanted, stops) -> int | None:
         if not any(self._open[tag] for tag in wanted):
@@ -75,7 +77,7 @@ class Page(HTMLParser):
         self.parent.append(self._stack[-1] if self._stack else -1)
         self.end.append(len(self.tag))
         if tag == "br":
-            self.pieces.append(_LINE)
+            self.pieces.append(LINE)
         self._mark(tag)
         self.span.append([len(self.pieces), len(self.pieces)])
         if tag not in _VOID:
@@ -90,13 +92,26 @@ class Page(HTMLParser):
     def handle_data(self, data):
         self.pieces.append(data)
 
-    def text(self, node: int) -> str:
-        """All text below a node, as written."""
+    def data(self) -> bytes:
+        """All text of the page, as written, in UTF-8."""
+        return b"".join(self._written())
+
+    def place(self, node: int) -> tuple[int, int]:
+        """Where the text below a node starts and ends in ``data``."""
+        if self._offsets is None:
+            self._offsets = [0, *accumulate(map(len, self._written()))]
         first, last = self.span[node]
-        return "".join(p for p in self.pieces[first:last] if p not in (_LINE, _BLOCK, _PARAGRAPH))
+        return self._offsets[first], self._offsets[last]
+
+    def _written(self) -> list[bytes]:
+        return [b"" if p in (LINE, BLOCK, PARAGRAPH) else p.encode() for p in self.pieces]
+
+    def text(self, node: int) -> str:
+        start, end = self.place(node)
+        return self.data()[start:end].decode()
 
-    def visible_text(self, node: int | None, dropped: list[int]) -> str:
-        """Text as laid out: white space collapsed, blocks on lines of their own, dropped nodes left out."""
+    def kept_text(self, node: int | None, dropped: list[int]) -> str:
+        """Text below a node, or all of it, with its breaks and without dropped nodes."""
         first, last = self.span[node] if node is not None else (0, len(self.pieces))
         kept, at = [], first
         # a dropped block takes the line break before it along
@@ -104,14 +119,7 @@ class Page(HTMLParser):
             if hi > at and lo < last:
                 kept += self.pieces[at:max(lo, at)]
                 at = max(at, hi)
-        kept += self.pieces[at:last]
-        flat = re.sub(r"[ \t\n\r\f]+", " ", "".join(kept))
-        flat = re.sub(
-            r" ?[\x00-\x02][\x00-\x02 ]*",
-            lambda m: "\n" * (m[0].count(_LINE) + (2 if _PARAGRAPH in m[0] else 1 if _BLOCK in m[0] else 0)),
-            flat,
-        )
-        return flat.strip()
+        return "".join(kept + self.pieces[at:last])
 
     def find(self, selector: str, inside: int | None = None, first: bool = False) -> list[int]:
         """Nodes matching a selector list in document order, below one node or in the whole page."""

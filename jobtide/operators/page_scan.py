@@ -2,73 +2,90 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 
 from jobtide.functions import phrases as P
 from jobtide.operators.markup import Page, parse_selector
 
-_COLUMNS = (
-    "company_id", "page_num", "source", "element_pos", "self_text", "title_text", "heading_text", "href",
-    "location_text", "date_attribute", "date_text", "description_text", "json_block",
-)
-_ROWS_PER_FRAME = 2000
+_SPAN = pa.struct([("start", pa.int32()), ("size", pa.int32())])
+#: Places of an element's texts in the text of its page, in bytes; null where a selector has no hit.
+_TEXTS = ("own", "title", "heading", "location", "dated", "description")
+_NODE = pa.struct([*((name, _SPAN) for name in _TEXTS), ("href", pa.string()), ("date_attribute", pa.string())])
+_PAGES_PER_BATCH = 200
 
 
-def _first_text(page: Page, selector: str, node: int) -> str | None:
-    """Text of the first match below a node; null when there is none, '' when the match is empty."""
+def _first(page: Page, selector: str, node: int) -> int | None:
+    hit = page.find(selector, node, first=True)
+    return hit[0] if hit else None
+
+
+def _first_place(page: Page, selector: str, node: int) -> tuple[int, int] | None:
+    """Text of the first match below a node; null when there is none, an empty one when the selector cannot be used."""
     try:
-        hit = page.find(selector, node, first=True)
+        hit = _first(page, selector, node)
     except ValueError:
-        return ""
-    return page.text(hit[0]) if hit else None
+        return 0, 0
+    return None if hit is None else page.place(hit)
 
 
-def _element(page: Page, node: int, pos: int, source: str, cfg) -> tuple:
-    anchor = page.find("a", node, first=True)
-    href = page.attrs[anchor[0]].get("href") if anchor else None
-    href = href or page.attrs[node].get("href")
+def _node(page: Page, node: int, cfg: dict) -> dict:
+    anchor = _first(page, "a", node)
+    href = page.attrs[anchor].get("href") if anchor is not None else None
     try:
-        dated = page.find(cfg.job_date_selector, node, first=True)
+        dated = _first(page, cfg["job_date_selector"], node)
     except ValueError:
-        dated = []
-    return (
-        source, pos, page.text(node),
-        _first_text(page, cfg.job_title_selector, node), _first_text(page, P.HEADING_SELECTOR, node), href,
-        _first_text(page, cfg.job_location_selector, node),
-        page.attrs[dated[0]].get("datetime") if dated else None, page.text(dated[0]) if dated else None,
-        _first_text(page, P.DESCRIPTION_SELECTOR, node), None,
-    )
-
-
-def _elements_of(cfg):
-    """Rows of one page: first listing selector with a hit, else job-like links, else JSON-LD blocks."""
-    page = Page(cfg.html or "")
-    for selector in cfg.job_listing_selector.split(", "):
+        dated = None
+    return {
+        "own": page.place(node),
+        "title": _first_place(page, cfg["job_title_selector"], node),
+        "heading": _first_place(page, P.HEADING_SELECTOR, node),
+        "location": _first_place(page, cfg["job_location_selector"], node),
+        "dated": None if dated is None else page.place(dated),
+        "description": _first_place(page, P.DESCRIPTION_SELECTOR, node),
+        "href": href or page.attrs[node].get("href"),
+        "date_attribute": None if dated is None else page.attrs[dated].get("datetime"),
+    }
+
+
+def _nodes_of(page: Page, cfg: dict) -> tuple[str, list[dict]]:
+    """Elements of one page: first listing selector with a hit, else job-like links, else JSON-LD blocks."""
+    for selector in cfg["job_listing_selector"].split(", "):
         try:
             nodes = page.find(selector)
         except ValueError:
             continue
         if nodes:
-            return (_element(page, n, i, "selector", cfg) for i, n in enumerate(nodes))
+            return "selector", [_node(page, n, cfg) for n in nodes]
     nodes = page.find(P.JOB_LINK_SELECTOR)
     if nodes:
-        return (_element(page, n, i, "link", cfg) for i, n in enumerate(nodes))
-    blocks = page.find('script[type="application/ld+json"]')
-    return (("jsonld", i, *[None] * 8, page.text(n)) for i, n in enumerate(blocks))
-
-
-def scan_pages(frames):
-    """Raw element rows of pages, a few thousand rows at a time."""
-    rows = []
-    for frame in frames:
-        for cfg in frame.itertuples(index=False):
-            for element in _elements_of(cfg):
-                rows.append((cfg.company_id, cfg.page_num, *element))
-                if len(rows) >= _ROWS_PER_FRAME:
-                    yield pd.DataFrame(rows, columns=_COLUMNS)
-                    rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=_COLUMNS)
+        return "link", [_node(page, n, cfg) for n in nodes]
+    return "jsonld", [{"own": page.place(n)} for n in page.find('script[type="application/ld+json"]')]
+
+
+def _scanned(cfg: dict) -> tuple[str, bytes, list[dict]]:
+    """Which way found the elements of a page, the text around them all, and their places in it."""
+    page = Page(cfg["html"] or "")
+    source, nodes = _nodes_of(page, cfg)
+    if not nodes:
+        return source, b"", nodes
+    low, high = min(n["own"][0] for n in nodes), max(n["own"][1] for n in nodes)
+    for node in nodes:
+        for name in _TEXTS:
+            if place := node.get(name):
+                node[name] = {"start": max(0, place[0] - low), "size": place[1] - place[0]}
+    return source, page.data()[low:high], nodes
+
+
+def scan_pages(batches):
+    """A row for each page: source, its text once, its elements; ``fetched`` tells whether there was any html."""
+    keep = ("company_id", "page_num")
+    for whole in batches:
+        for batch in (whole.slice(i, _PAGES_PER_BATCH) for i in range(0, whole.num_rows, _PAGES_PER_BATCH)):
+            rows = batch.to_pylist()
+            source, text, nodes = zip(*map(_scanned, rows))
+            fetched = pa.array([r["html"] is not None for r in rows])
+            columns = [*(batch.column(c) for c in keep), fetched, pa.array(source), pa.array(text, pa.binary()), pa.array(nodes, pa.list_(_NODE))]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "fetched", "source", "page_text", "nodes"])
 
 
 def unusable(frames):
@@ -85,7 +102,7 @@ def _parses(selector: str) -> bool:
     return True
 
 
-def _visible(html: str | None) -> str:
+def _main_text(html: str | None) -> str:
     if not html:
         return ""
     page = Page(html)
@@ -95,9 +112,10 @@ def _visible(html: str | None) -> str:
         gone.update(range(node, page.end[node]))
     main = [n for n in page.find(P.MAIN_SELECTOR) if n not in gone] or page.find("body", first=True)
     if main:
-        return page.visible_text(main[0], dropped)
-    return page.visible_text(None, dropped + page.find("head, title"))
+        return page.kept_text(main[0], dropped)
+    return page.kept_text(None, dropped + page.find("head, title"))
 
 
-def visible_texts(html: pd.Series) -> pd.Series:
-    return html.map(_visible)
+def main_texts(html):
+    """The main content of each page as written, without dropped nodes, breaks marked."""
+    return html.map(_main_text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from jobtide.schemas import instant
 from jobtide.sources.shared import written
@@ -241,6 +241,12 @@ def score_timeline(deltas: DataFrame, initial: DataFrame | None = None, block: s
     )
 
 
+def report_rows(spark: SparkSession, figures: dict[tuple[str, str], int]) -> DataFrame:
+    """Figures by task and metric as rows of a report; errors are left out where there are none."""
+    rows = [(task, metric, value) for (task, metric), value in figures.items() if value or metric != "errors"]
+    return spark.createDataFrame(rows, "task string, metric string, value bigint")
+
+
 def run_report(
     companies: DataFrame | None = None,
     inserted: DataFrame | None = None,

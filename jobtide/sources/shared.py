@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 _SHIPPED: set[str] = set()
 # Folders that ``written`` made, by application.
@@ -39,6 +39,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, label: str, **figures: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``written``, and figures of its rows (aggregates, by name) that are gathered while they are written, so that none needs a scan of its own."""
+    watched = Observation(label)
+    kept = written(df.observe(watched, *[value.alias(name) for name, value in figures.items()]), label)
+    return kept, watched.get
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is such a file or folder, in whatever store the path names."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import json
-import time
-import uuid
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
-from jobtide.schemas import CRAWLED_PAGES, KEYS, TABLES, conform
+from jobtide.schemas import CRAWLED_PAGES, JOB_HISTORY, KEYS, TABLES, conform
+from jobtide.sources.shared import exists
 
-MANIFEST = "manifest"
 # History is read by change date (scoring looks back two days), so its folders are split by month.
 _MONTH = "change_month"
-
-
-class Tables(dict):
-    """Tables by name, as one snapshot holds them. ``root`` and ``folders`` say where each one lies."""
-
-    def __init__(self, tables: dict[str, DataFrame], root: str, folders: dict[str, list[str]]):
-        super().__init__(tables)
-        self.root, self.folders = root, folders
+# Folders of history: by the run that wrote them, and whether that was all of it or what it added.
+_HISTORY = f"{JOB_HISTORY}, whole BOOLEAN, run STRING, {_MONTH} DATE"
 
 
 def load_tables(
@@ -33,16 +21,11 @@ def load_tables(
     values: dict[str, dict[str, dict[str, str]]] | None = None,
     **options,
 ) -> dict[str, DataFrame]:
-    """The four state tables below ``path`` with declared columns and defaults.
+    """The four state tables below ``path`` with declared columns and defaults, one stored table to a folder.
 
-    A run's folder is read as its last finished attempt wrote it, history with the month its folders go by; a run that never finished is an
-    error. Other folders hold one stored table each: ``columns`` then gives our name of a stored column, ``values`` our value of a stored
-    one (both by table), and a table without its key column is an error.
+    ``columns`` gives our name of a stored column, ``values`` our value of a stored
+    one (both by table); a table without its key column is an error. What ``write_snapshot`` wrote is read by ``read_snapshot``.
     """
-    root, _, run_id = path.rstrip("/").rpartition("/")
-    if _folders(spark, path, "attempt-"):
-        stored = read_snapshot(spark, root, run_id)
-        return Tables({name: _stored(df, name) for name, df in stored.items()}, stored.root, stored.folders)
     read = spark.read.format(fmt).options(**options)
     return {name: _stored(read.load(f"{path}/{name}"), name, (columns or {}).get(name), (values or {}).get(name)) for name in TABLES}
 
@@ -62,12 +45,7 @@ def _stored(df: DataFrame, table: str, columns: dict[str, str] | None = None, va
         raise ValueError(f"{table} has no column {', '.join(missing)}; name it in columns")
     for name, ours in (values or {}).items():
         df = df.withColumn(name, F.coalesce(*[F.when(F.col(name) == old, new) for old, new in ours.items()], F.col(name)))
-    month = [F.col(_MONTH)] if _MONTH in df.columns else []
-    shaped = conform(df, table)
-    if not month:
-        return shaped
-    # the folder's column stays beside the declared ones, so that a filter on it still prunes
-    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(shaped.schema[c].dataType).alias(c) for c in shaped.columns], _MONTH)
+    return conform(df, table)
 
 
 def crawled_pages(pages: DataFrame, max_pages: int = 5) -> DataFrame:
@@ -100,73 +78,71 @@ def stream_pages(spark: SparkSession, path: str, max_pages: int = 5, files_per_t
     return crawled_pages(stream.parquet(path), max_pages)
 
 
-def write_snapshot(
-    tables: dict[str, DataFrame], path: str, run_id: str, base: dict[str, DataFrame] | None = None, added: dict[str, DataFrame] | None = None
-) -> None:
-    """Write a run's tables below ``path/run_id`` in a new attempt folder; its manifest comes last and makes it visible.
+def write_snapshot(tables: dict[str, DataFrame], path: str, run_id: str, added: dict[str, DataFrame] | None = None) -> None:
+    """Write the tables that a run changed below ``path``, and history rows that it added; then mark the run as whole.
 
-    Only what changed is written. A table that is the very one of ``base`` (tables loaded from a run below the same ``path``) is
-    named where it lies; rows in ``added`` are written beside the folders that ``base`` has of that table. An attempt that dies leaves no
-    manifest, and earlier attempts stay as they are.
+    Each table is an ordinary Parquet write of its own, ``path/table/run=run_id``, history by month below; a table that is not given stays as the last run before left it. Run
+    ids sort in the order of the runs. A run that is not whole does not count, and can be written again; one that is whole stays as it is, and doing it
+    again takes another id.
     """
-    if not tables:
+    if not tables and not added:
         raise ValueError("a snapshot needs at least one table")
-    spark = next(iter(tables.values())).sparkSession
-    attempt = f"{run_id}/attempt-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    there = base.folders if isinstance(base, Tables) and base.root == path.rstrip("/") else {}
-    entries = []
+    spark = next(iter([*tables.values(), *(added or {}).values()])).sparkSession
+    if run_id in _whole_runs(spark, path):
+        raise ValueError(f"run {run_id} is there already")
     for name, df in tables.items():
-        folders, layout = list(there.get(name, [])), _laid_out(name, df).schema.json()
-        if not folders or name not in (added or {}) and df is not base[name]:
-            folders = [_write(name, df, path, attempt)]
-        elif name in (added or {}):
-            folders.append(_write(name, added[name], path, attempt))
-        entries.append((name, layout, folders))
-    manifest = spark.createDataFrame(entries, "table_name string, layout string, folders array<string>")
-    manifest.coalesce(1).write.parquet(f"{path}/{attempt}/{MANIFEST}")
-
-
-def compact(spark: SparkSession, path: str, run_id: str, into: str) -> None:
-    """Write a run's tables anew as run ``into``, each in one folder; for histories that many runs have added to."""
-    write_snapshot(dict(read_snapshot(spark, path, run_id)), path, into)
+        if name == "job_history":
+            _write_history(df, path, run_id, whole=True)
+        else:
+            df.write.mode("overwrite").parquet(f"{path}/{name}/run={run_id}")
+    for name, df in (added or {}).items():
+        if name != "job_history":
+            raise ValueError(f"rows are only added to history, not to {name}")
+        _write_history(df, path, run_id, whole=False)
+    # an empty table of its own, whose _SUCCESS says that all others are there
+    spark.createDataFrame([], "table_name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/runs/{run_id}")
+
+
+def _write_history(df: DataFrame, path: str, run_id: str, whole: bool) -> None:
+    # Ranges of time, then of job for busy moments: a task writes into one or two month folders, and
+    # row groups cover narrow spans of time that a reader can skip.
+    dated = df.select(*[f.split()[0] for f in JOB_HISTORY.split(", ")], F.trunc("changed_at", "month").alias(_MONTH))
+    ranged = dated.repartitionByRange("changed_at", "job_id").sortWithinPartitions("changed_at", "job_id")
+    ranged.write.mode("overwrite").partitionBy(_MONTH).parquet(f"{path}/job_history/whole={str(whole).lower()}/run={run_id}")
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path``, in order."""
+    if not exists(spark, path):
+        return []
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return sorted(s.getPath().getName() for s in found)
 
 
-def _laid_out(name: str, df: DataFrame) -> DataFrame:
-    return df.withColumn(_MONTH, F.trunc("changed_at", "month")) if name == "job_history" else df
+def _whole_runs(spark: SparkSession, path: str) -> list[str]:
+    return [run for run in _names(spark, f"{path}/runs") if exists(spark, f"{path}/runs/{run}/_SUCCESS")]
 
 
-def _write(name: str, df: DataFrame, path: str, attempt: str) -> str:
-    df = _laid_out(name, df)
-    writer = df.write
-    if name == "job_history":
-        # Ranges of time, then of job for busy moments: a task writes into one or two month folders, and
-        # row groups cover narrow spans of time that a reader can skip.
-        ranged = df.repartitionByRange("changed_at", "job_id").sortWithinPartitions("changed_at", "job_id")
-        writer = ranged.write.partitionBy(_MONTH)
-    writer.parquet(f"{path}/{attempt}/{name}")
-    return f"{attempt}/{name}"
+def read_snapshot(spark: SparkSession, path: str, run_id: str) -> dict[str, DataFrame]:
+    """Tables as they were after a run; fails when the run is not whole. History keeps the month its folders go by."""
+    done = [run for run in _whole_runs(spark, path) if run <= run_id]
+    if run_id not in done:
+        raise ValueError(f"run {run_id} is not whole below {path}")
 
+    def last(folder: str) -> str | None:
+        written = {name.removeprefix("run=") for name in _names(spark, folder)}
+        return max(written.intersection(done), default=None)
 
-def _folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
-    """Names of the folders below ``path`` that start so, in order."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
-    return sorted(n for n in names if n.startswith(prefix))
-
-
-def read_snapshot(spark: SparkSession, path: str, run_id: str) -> Tables:
-    """Tables of a run as its last finished attempt wrote them; fails when none was finished."""
-    root = path.rstrip("/")
-    done = [a for a in _folders(spark, f"{root}/{run_id}", "attempt-") if "_SUCCESS" in _folders(spark, f"{root}/{run_id}/{a}/{MANIFEST}", "_")]
-    if not done:
-        raise ValueError(f"run {run_id} has no finished attempt below {root}")
-    manifest = spark.read.parquet(f"{root}/{run_id}/{done[-1]}/{MANIFEST}").collect()  # one row per table
-    tables = {}
-    for m in manifest:
-        read = spark.read.schema(StructType.fromJson(json.loads(m.layout)))
-        tables[m.table_name] = reduce(DataFrame.unionByName, [read.parquet(f"{root}/{f}") for f in m.folders])
-    return Tables(tables, root, {m.table_name: list(m.folders) for m in manifest})
+    tables = {name: spark.read.schema(TABLES[name]).parquet(f"{path}/{name}/run={run}") for name in TABLES if name != "job_history" and (run := last(f"{path}/{name}"))}
+    first = last(f"{path}/job_history/whole=true")
+    broken = [n.removeprefix("run=") for n in _names(spark, f"{path}/job_history/whole=false") if n.removeprefix("run=") not in done]
+    if first is None:
+        return tables
+    rows = spark.read.schema(_HISTORY).parquet(f"{path}/job_history")
+    since_then = (F.col("run") >= first) & (F.col("run") <= run_id) & ~F.col("run").isin(broken)
+    kept = rows.where((F.col("whole") & (F.col("run") == first)) | (~F.col("whole") & since_then))
+    return {**tables, "job_history": kept.drop("whole", "run")}
 
 
 def append_history(history: DataFrame, changes: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jobtide.operators import extraction as X
 from jobtide.operators.markup import Page, parse_selector
-from jobtide.operators.page_scan import visible_texts
+from jobtide.operators.page_scan import main_texts
 
 NOW = "2024-06-15 12:00:00"
 CONFIG = "config_id long, company_id long, is_active boolean, " + ", ".join(f"{name} string" for name in X._SELECTORS)
@@ -62,7 +62,7 @@ _MARKUP = st.lists(
 def test_any_text_is_a_page(html):
     page = Page(html)
     assert all(i < end <= len(page.tag) for i, end in enumerate(page.end))
-    assert visible_texts(pd.Series([html])).notna().all()
+    assert main_texts(pd.Series([html])).notna().all()
 
 
 def test_many_unclosed_tags():
@@ -149,8 +149,8 @@ def test_html_is_not_shuffled_and_read_once(spark, companies, no_configs, tmp_pa
     pages(spark, (1, 1, "<a href=/jobs/1>x</a>")).write.parquet(str(tmp_path / "pages"))
     stored = spark.read.parquet(str(tmp_path / "pages"))
     plan = X.extract_jobs(stored, companies, no_configs, NOW)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInPandas") == 1
-    assert "html" not in plan.split("MapInPandas")[0]
+    assert plan.count("MapInArrow") == 1
+    assert "html" not in plan.split("MapInArrow")[0]
     assert plan.count("FileScan") == 1
 
 
@@ -162,3 +162,12 @@ def test_deduplication_combines_before_the_shuffle(spark):
     plan = deduped._jdf.queryExecution().executedPlan().toString()
     assert "partial_min_by" in plan and "Window" not in plan
     assert [tuple(r) for r in deduped.collect()] == [(1, "u", 0, 0)]
+
+
+def test_nested_elements_do_not_repeat_their_text(spark, no_configs):
+    depth, inner = 60, "some words " * 40
+    nested = "<div class='job'><h2>T</h2>" * depth + inner + "</div>" * depth
+    nodes = X.page_nodes(X.with_selectors(pages(spark, (1, 1, nested), (1, 2, None), (1, 3, "<p>nothing</p>")), no_configs)).orderBy("page_num").collect()
+    assert [(len(r.nodes), len(r.page_text), r.fetched) for r in nodes] == [(depth, depth + len(inner), True), (0, 0, False), (0, 0, True)]
+    texts = X.elements_of(X.page_nodes(X.with_selectors(pages(spark, (1, 1, nested + "é<b>ü</b>")), no_configs))).orderBy("element_pos").collect()
+    assert [r.self_text for r in texts] == ["T" * (depth - k) + inner for k in range(depth)] and {r.title_text for r in texts} == {"T"}

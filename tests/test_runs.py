@@ -9,7 +9,7 @@ from jobtide.plans.runs import crawl_run, scoring_run, validation_run
 from jobtide.schemas import TABLES, conform
 from jobtide.sources import shared
 from jobtide.sources.shared import clear_written, shared_folder, written
-from jobtide.sources.tables import compact, load_pages, load_tables, read_snapshot, since, spread, write_snapshot
+from jobtide.sources.tables import load_pages, load_tables, read_snapshot, since, spread, write_snapshot
 
 NOW = "2024-06-15 12:00:00"
 
@@ -40,8 +40,8 @@ def test_crawl_validate_score_and_store(spark, tables, tmp_path):
     assert {r.company_id: r.current_job_count for r in crawled.tables["companies"].collect()} == {1: 2, 2: 1}
     assert {r.metric: r.value for r in crawled.report.collect()} == {"companies_processed": 2, "jobs_added": 2}
 
-    write_snapshot(crawled.tables, str(tmp_path), "crawl")
-    stored = read_snapshot(spark, str(tmp_path), "crawl")
+    write_snapshot(crawled.tables, str(tmp_path), "1-crawl")
+    stored = read_snapshot(spark, str(tmp_path), "1-crawl")
     job_pages = spark.createDataFrame(
         [("https://a.example/jobs/2", "<body>" + "This position has been filled and the job expired. " * 2), ("https://b.example/jobs/3", "")],
         "url string, html string",
@@ -52,8 +52,8 @@ def test_crawl_validate_score_and_store(spark, tables, tmp_path):
     change = validated.tables["job_history"].first()
     assert (change.old_status, change.new_status, change.change_reason) == ("unknown", "closed", "keyword_fallback: Found 2 explicit closed indicators")
 
-    write_snapshot(validated.tables, str(tmp_path), "validate")
-    scored = scoring_run(read_snapshot(spark, str(tmp_path), "validate"), NOW)
+    write_snapshot({name: validated.tables[name] for name in validated.changed}, str(tmp_path), "2-validate", validated.added)
+    scored = scoring_run(read_snapshot(spark, str(tmp_path), "2-validate"), NOW)
     # company 1: two new jobs, one of them closed just now
     assert {r.company_id: r.hiring_score for r in scored.tables["companies"].collect()} == {1: 10 - 5 + 3, 2: 5}
 
@@ -64,7 +64,10 @@ def test_failed_crawls_are_named_by_company(spark, tables):
     companies = conform(spark.createDataFrame([(i, f"C{i}", f"https://c{i}.example/") for i in range(1, 6)], "company_id long, company_name string, career_page_url string"), "companies")
     configs = conform(spark.createDataFrame([(1, 4, "li:nth-child(2)", True), (2, 5, ".job", True)], "config_id long, company_id long, job_listing_selector string, is_active boolean"), "site_configs")
     card = "<div class='job'><h2>T</h2><a href='{}'>x</a></div>".format
-    rows = [(1, "p", 1, 200, card("https://s.example/1")), (2, "p", 1, 200, card("https://s.example/1")), (3, "p", 1, 500, None), (4, "p", 1, 200, card("/jobs/9")), (5, "p", 1, 200, card("/jobs/5"))]
+    companies = companies.unionByName(conform(spark.createDataFrame([(i, f"C{i}", f"https://c{i}.example/") for i in range(6, 10)], "company_id long, company_name string, career_page_url string"), "companies"))
+    rows = [(1, "p", 1, 200, card("https://s.example/1")), (2, "p", 1, 200, card("https://s.example/1")), (3, "p", 1, 200, None), (4, "p", 1, 200, card("/jobs/9")), (5, "p", 1, 200, card("/jobs/5"))]
+    # an error page is not read; a page left out; nothing fetched for 8 (its page lies too deep) and 9
+    rows += [(6, "p", 1, None, card("/jobs/6")), (6, "p", 2, 404, card("/jobs/66")), (7, "p", 1, 200, card("/jobs/7")), (7, "p", 3, 200, card("/jobs/77")), (8, "p", 9, 200, card("/jobs/8"))]
     pages = spark.createDataFrame(rows, "company_id long, url string, page_num int, http_status int, html string")
     run = crawl_run({**tables, "companies": companies, "jobs": stored, "site_configs": configs}, pages, NOW)
     errors = {(r.item, r.error) for r in run.errors.collect()}
@@ -73,9 +76,16 @@ def test_failed_crawls_are_named_by_company(spark, tables):
         ("2", "several jobs share this URL: https://s.example/1"),
         ("3", "a page has no html"),
         ("4", "unsupported selector: li:nth-child(2)"),
+        ("6", "a page came with code 404"),
+        ("7", "no page 2"),
+        ("8", "no page was fetched"),
+        ("9", "no page was fetched"),
     }
-    assert {r.metric: r.value for r in run.report.collect()} == {"companies_processed": 1, "jobs_added": 1, "errors": 4}
-    assert sorted(r.job_url for r in run.tables["jobs"].collect()) == ["https://c5.example/jobs/5", "https://s.example/1", "https://s.example/1"]
+    assert {r.metric: r.value for r in run.report.collect()} == {"companies_processed": 1, "jobs_added": 4, "errors": 8}
+    new = ["https://c5.example/jobs/5", "https://c6.example/jobs/6", "https://c7.example/jobs/7", "https://c7.example/jobs/77"]
+    assert sorted(r.job_url for r in run.tables["jobs"].collect()) == [*new, "https://s.example/1", "https://s.example/1"]
+    plan = run.report._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" not in plan  # the figures were gathered while the results were written
 
 
 def test_latest_page_of_a_job_counts(spark, tables):
@@ -91,8 +101,8 @@ def test_latest_page_of_a_job_counts(spark, tables):
 
 
 def test_unfinished_runs_stay_hidden(spark, tables, tmp_path):
-    tables["jobs"].write.parquet(str(tmp_path / "r1" / "jobs"))
-    with pytest.raises(ValueError, match="no finished attempt"):
+    tables["jobs"].write.parquet(str(tmp_path / "jobs" / "run=r1"))
+    with pytest.raises(ValueError, match="r1 is not whole"):
         read_snapshot(spark, str(tmp_path), "r1")
     write_snapshot(tables, str(tmp_path), "r1")
     assert set(read_snapshot(spark, str(tmp_path), "r1")) == set(TABLES)
@@ -100,45 +110,61 @@ def test_unfinished_runs_stay_hidden(spark, tables, tmp_path):
         write_snapshot({}, str(tmp_path), "r2")
 
 
+def _changes(spark, *rows):
+    frame = spark.createDataFrame(rows, "job_id long, old_status string, new_status string, changed_at timestamp")
+    return conform(frame, "job_history")
+
+
 def test_a_failing_rerun_leaves_the_finished_rows(spark, tables, tmp_path):
-    write_snapshot(tables, str(tmp_path), "r1")
-    broken = tables["job_history"].withColumn("job_id", F.raise_error(F.lit("gone")).cast("long")).unionByName(
-        spark.range(1).select(F.raise_error(F.lit("gone")).cast("long").alias("job_id")), allowMissingColumns=True
-    )
-    with pytest.raises(Exception, match="gone"):
-        write_snapshot({**tables, "jobs": tables["jobs"].limit(0), "job_history": broken}, str(tmp_path), "r1")
-    assert read_snapshot(spark, str(tmp_path), "r1")["jobs"].count() == 1
+    root = str(tmp_path)
+    write_snapshot({**tables, "job_history": _changes(spark, (10, "unknown", "open", datetime(2024, 6, 1)))}, root, "r1")
+    broken = spark.range(3).select(F.raise_error(F.lit("gone")).cast("long").alias("job_id"), F.lit(None).cast("timestamp").alias("changed_at"))
+    empty, lost = tables["jobs"].limit(0), _changes(spark, (10, "open", "closed", datetime(2024, 6, 2)))
+    with pytest.raises(ValueError, match="there already"):
+        write_snapshot({"jobs": empty}, root, "r1")
+    # the run that does it again dies on its way, with some of its rows written
+    for added in (conform(broken, "job_history"), None):
+        with pytest.raises(Exception, match="gone"):
+            failing = {"jobs": empty, "companies": broken} if added is None else {"jobs": empty}
+            write_snapshot(failing, root, "r2", added={"job_history": lost if added is None else added})
+    for run in ("r1", "r3"):
+        if run == "r3":  # a later one does not see what was left
+            write_snapshot({"companies": tables["companies"]}, root, "r3", added={"job_history": _changes(spark, (11, None, "open", datetime(2024, 6, 3)))})
+        stored = read_snapshot(spark, root, run)
+        assert stored["jobs"].count() == 1
+        assert sorted(r.job_id for r in stored["job_history"].collect()) == ([10] if run == "r1" else [10, 11])
+    with pytest.raises(ValueError, match="r2 is not whole"):
+        read_snapshot(spark, root, "r2")
+    write_snapshot({"jobs": empty}, root, "r2", added={"job_history": lost})  # and what was left can be written over
+    assert read_snapshot(spark, root, "r2")["job_history"].count() == 2 and read_snapshot(spark, root, "r3")["job_history"].count() == 3
 
 
 def test_runs_write_only_what_they_change(spark, tables, tmp_path):
     root = str(tmp_path)
-    change = spark.createDataFrame([(10, "unknown", "open", datetime(2024, 6, 14))], "job_id long, old_status string, new_status string, changed_at timestamp")
-    write_snapshot({**tables, "job_history": conform(change, "job_history")}, root, "r1")
-    base = load_tables(spark, f"{root}/r1")
-    scored = scoring_run(base, NOW)
-    write_snapshot(scored.tables, root, "r2", base=base)
-    assert [p.name for p in next((tmp_path / "r2").iterdir()).iterdir() if p.name != "manifest"] == ["companies"]
-
-    base = load_tables(spark, f"{root}/r2")
+    write_snapshot({**tables, "job_history": _changes(spark, (10, "unknown", "open", datetime(2024, 6, 14)))}, root, "r1")
+    scored = scoring_run(read_snapshot(spark, root, "r1"), NOW)
+    write_snapshot({name: scored.tables[name] for name in scored.changed}, root, "r2")
     page = spark.createDataFrame([("https://a.example/jobs/1", "<body>" + "The job expired and is no longer available. " * 3)], "url string, html string")
-    checked = validation_run(base, page, NOW)
-    write_snapshot(checked.tables, root, "r3", base=base, added=checked.added)
-    (attempt,) = (tmp_path / "r3").iterdir()
-    assert sorted(p.name for p in attempt.iterdir()) == ["job_history", "jobs", "manifest"]
-    assert spark.read.parquet(str(attempt / "job_history")).count() == 1
-    stored = load_tables(spark, f"{root}/r3")
-    assert sorted((r.old_status, r.new_status) for r in stored["job_history"].collect()) == [("open", "closed"), ("unknown", "open")]
-    compact(spark, root, "r3", "r4")
-    assert stored["job_history"].exceptAll(load_tables(spark, f"{root}/r4")["job_history"]).count() == 0
+    checked = validation_run(read_snapshot(spark, root, "r2"), page, NOW)
+    write_snapshot({name: checked.tables[name] for name in checked.changed}, root, "r3", checked.added)
+    there = {name: sorted(p.name for p in (tmp_path / name).iterdir() if p.is_dir()) for name in ("companies", "jobs", "site_configs")}
+    assert there == {"companies": ["run=r1", "run=r2"], "jobs": ["run=r1", "run=r3"], "site_configs": ["run=r1"]}
+    assert spark.read.parquet(str(tmp_path / "job_history" / "whole=false" / "run=r3")).count() == 1
+    statuses = lambda run: sorted((r.old_status, r.new_status) for r in read_snapshot(spark, root, run)["job_history"].collect())
+    assert statuses("r1") == statuses("r2") == [("unknown", "open")] and statuses("r3") == [("open", "closed"), ("unknown", "open")]
+    assert read_snapshot(spark, root, "r1")["jobs"].first().status == "open" and read_snapshot(spark, root, "r3")["jobs"].first().status == "closed"
+    # history written as a whole takes the place of what was there
+    write_snapshot({"job_history": read_snapshot(spark, root, "r3")["job_history"].where("new_status = 'closed'")}, root, "r4")
+    assert statuses("r4") == [("open", "closed")] and len(statuses("r3")) == 2
 
 
 def test_loaded_history_is_pruned_by_month(spark, tables, tmp_path):
-    change = spark.createDataFrame([(10, "unknown", "open", datetime(2024, 6, 14))], "job_id long, old_status string, new_status string, changed_at timestamp")
-    write_snapshot({**tables, "job_history": conform(change, "job_history")}, str(tmp_path), "r1")
-    signals = scoring_run(load_tables(spark, f"{tmp_path}/r1"), NOW)
-    history = since(load_tables(spark, f"{tmp_path}/r1")["job_history"], F.lit(NOW).cast("timestamp"))
+    write_snapshot({**tables, "job_history": _changes(spark, (10, "unknown", "open", datetime(2024, 6, 14)))}, str(tmp_path), "r1")
+    signals = scoring_run(read_snapshot(spark, str(tmp_path), "r1"), NOW)
+    history = since(read_snapshot(spark, str(tmp_path), "r1")["job_history"], F.lit(NOW).cast("timestamp"))
     plan = spark._jvm.PythonSQLUtils.explainString(history._jdf.queryExecution(), "formatted")
-    assert "PartitionFilters: [isnotnull(change_month" in plan
+    filters = next(line for line in plan.splitlines() if "PartitionFilters" in line)
+    assert "change_month" in filters and "run" in filters
     assert signals.tables["companies"].count() == 2
 
 
