@@ -37,7 +37,7 @@ def encode(
     one = short.withColumns({"doc": F.lit(0).cast("long"), "sig": F.lit(0).cast("long"), "piece": F.lit(0).cast("long")})
     whole = one.mapInArrow(_encoding(vocab_path, pattern, known), made).select("doc_id", "ids")
 
-    named = longer.withColumns(dict(zip(("doc", "sig"), row_key())))
+    named = longer.withColumns(dict(zip(("doc", "sig"), row_key(longer))))
     parts = _pieces(named.dropDuplicates(["doc", "sig"]), pattern, chunk, overlap)
     ids = parts.repartition("doc", "sig", "piece").mapInArrow(_encoding(vocab_path, pattern, known), made)
     joined = ids.groupBy("doc", "sig").agg(F.array_sort(F.collect_list(F.struct("piece", F.hex("ids").alias("ids")))).alias("parts"))

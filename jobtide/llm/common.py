@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegralType
 
 from jobtide.sources.shared import ship_package
 
@@ -14,15 +15,20 @@ SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 _TEXT_BATCH = 4 << 20
 
 
-def texts_of(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+def texts_of(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """Columns ``doc_id``, ``text`` and ``more`` alone, whatever else the input has; a null text is empty."""
     ship_package(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    """Two columns that name a row: equal only for rows that repeat each other in id and text."""
-    return [F.coalesce(F.col(doc_id), F.lit(-(2**63))).alias("doc"), F.xxhash64(F.col(text), F.col(doc_id)).alias("sig")]
+def row_key(rows: DataFrame) -> list[Column]:
+    """Two columns that name a row of doc_id and text: equal only for rows that repeat each other in both. The first is the id itself where that is a whole number, so that
+    rows can be put in its order, and else a hash of it."""
+    if isinstance(rows.schema["doc_id"].dataType, IntegralType):
+        doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    else:
+        doc = F.xxhash64("doc_id")
+    return [doc.alias("doc"), F.xxhash64("text", "doc_id").alias("sig")]
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from jobtide.sources.shared import written
+from jobtide.sources.shared import observed, written
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -17,13 +17,13 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
         a, b = (labels.select(F.col("node").alias(n), F.col("comp").alias(f"c{n}")) for n in "ab")
         cross = links.join(a, "a").join(b, "b").where("ca != cb")
         up = cross.groupBy(F.greatest("ca", "cb").alias("comp")).agg(F.min(F.least("ca", "cb")).alias("up"))
-        up = written(up, "pointers")
-        if up.isEmpty():
+        up, found = observed(up, "pointers", n=F.count("*"))
+        if not found["n"]:
             return labels
-        while True:
+        moved = found["n"]
+        while moved:
             above = up.select(F.col("comp").alias("up"), F.col("up").alias("top"))
-            jumped = written(up.join(above, "up", "left").select("comp", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), "pointers")
-            up = jumped.select("comp", "up")
-            if jumped.where("moved").isEmpty():
-                break
-        labels = written(labels.join(up, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
+            jumped = up.join(above, "up", "left").select("comp", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved"))
+            up, found = observed(jumped, "pointers", n=F.count_if("moved"))
+            moved = found["n"]
+        labels = written(labels.join(up.select("comp", "up"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels")

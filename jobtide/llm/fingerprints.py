@@ -80,7 +80,8 @@ def spliced_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     ranges = ranges or min(4_000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = texts_of(docs, id_col, text_col).withColumns(dict(zip(("doc", "sig"), row_key())))
+    rows = texts_of(docs, id_col, text_col)
+    rows = rows.withColumns(dict(zip(("doc", "sig"), row_key(rows))))
     cuts = rows.agg(F.percentile_approx("doc", [i / ranges for i in range(1, ranges)], F.lit(100 * ranges))).first()[0] if ranges > 1 else []
     cuts = F.lit(sorted(set(cuts or [])))
     rows = rows.withColumn("range", F.size(F.filter(cuts.cast("array<long>"), lambda c: c <= F.col("doc"))))

@@ -10,9 +10,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from jobtide.llm.common import SPACES
 from jobtide.llm.components import merged
 from jobtide.llm.hashed_words import HashedWords, hash_word, mixed
-from jobtide.llm.spans import keyed
+from jobtide.llm.spans import carried, keyed
 from jobtide.sources.shared import written
 
 _MANY = 4096
@@ -66,6 +67,15 @@ def near_duplicates(
     A text with fewer words is one shingle; one without words (or null) is linked with nothing and is kept. A group without any id has a null
     component_id. Repeated rows are linked, and all rows with the lowest id of their group are kept.
     """
+    named = _grouped(docs, similarity, width, bands, rows, stars, id_col, text_col)
+    least = named.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(least, "comp", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return named.select("doc_id", "doc", "sig", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _grouped(docs: DataFrame, similarity: int, width: int, bands: int, rows: int, stars: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows with a number for their group: doc_id, doc, sig, n_shingles, comp (null without shingles)."""
     named = keyed(docs, id_col, text_col)
     members = named.mapInArrow(_signing(width, bands, rows), _schema(named))
     members = written(members, "members")
@@ -84,18 +94,25 @@ def near_duplicates(
     labels = merged(labels, written(_block_links(buckets, labels, texts, similarity, width), "links"))
 
     named = members.select("doc_id", "doc", "sig", "n_shingles", "node").join(labels, "node", "left")
-    group = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node"))
-    least = named.where("n_shingles > 0").groupBy(group.alias("comp")).agg(F.min("doc_id").alias("component_id"))
-    named = named.withColumn("comp", group).join(least, "comp", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return named.select("doc_id", "doc", "sig", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return named.withColumn("comp", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node"))).drop("node")
 
 
-def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """``docs`` without the rows that ``near_duplicates`` does not keep."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings).where("kept").select("doc", "sig").distinct()
-    kept = keyed(docs.withColumn("__text", F.col(text_col)), id_col, text_col, carry=True).join(found, ["doc", "sig"], "left_semi")
-    return kept.select(*[F.col("carried")["__text" if c == text_col else c].alias(c) for c in docs.columns])
+def without_copies(
+    docs: DataFrame, similarity: int = 85, width: int = 5, bands: int = 48, rows: int = 8, stars: int = 3, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with one row of each group of ``near_duplicates``: that of the lowest id, a null one last, then of the lowest hash of its text. Of rows that repeat each other in
+    id and text any may be the one. Texts without words are in no group and stay."""
+    groups = _grouped(docs, similarity, width, bands, rows, stars, id_col, text_col).where("n_shingles > 0")
+    copies = groups.groupBy("comp", "doc_id", "doc", "sig").agg(F.count("*").alias("copies"))
+    first = F.min_by(F.struct("doc", "sig", "copies"), F.struct(F.col("doc_id").isNull(), "doc_id", "sig"))
+    one = copies.groupBy("comp").agg(first.alias("one")).select("one.*")
+    named = keyed(docs, id_col, text_col, carry=True).join(one, ["doc", "sig"], "left")
+    blank = F.btrim("text", F.lit(SPACES)) == ""
+    single = named.where((F.col("copies") == 1) | blank)
+    # repeats combine before they move
+    several = named.where((F.col("copies") > 1) & ~blank).dropDuplicates(["doc", "sig"])
+    text = F.when(~F.col("carried.no_text"), F.col("text"))
+    return single.unionByName(several).select(*carried(docs, text_col, text))
 
 
 def _schema(named: DataFrame) -> str:

@@ -96,28 +96,27 @@ def fit(
     rows = texts_of(docs, id_col, text_col).join(F.broadcast(marks), "doc_id", "left")  # at most three times ``sample`` ids
     uses = [F.coalesce(F.col(k) & F.col("train"), F.lit(False)).alias(k) for k in kinds]
     counts = rows.select("text", *uses).mapInArrow(_counting(orders, slots), "slot int, raw long, good long, toxic long, clean long")
-    # as many rows as there are slots at most
-    total = counts.groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("raw", *kinds)]).toArrow()
-    at = total.column("slot").to_numpy()
-
-    def column(name: str) -> np.ndarray:
-        found = np.zeros(orders * slots)
-        found[at] = total.column(name).to_numpy()
-        return found
-
-    target, found = column("good"), column("toxic")
-    weights = np.stack([_ratio(target, column("raw"), orders, priors), _ratio(found, column("clean"), orders, priors)])
+    total = written(counts.groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("raw", *kinds)]), "slots")
+    order = F.floor(F.col("slot") / slots)
+    sizes = {r.order: r for r in total.groupBy(order.alias("order")).agg(*[F.sum(c).alias(c) for c in ("raw", *kinds)]).collect()}  # a row an order
+    targets, toxics = (sum(r[c] for r in sizes.values()) for c in ("good", "toxic"))
+    ratios = [_ratio("good", "raw", order, sizes, priors).alias("weight"), _ratio("toxic", "clean", order, sizes, priors).alias("evidence")]
+    table = total.select("slot", *[r.cast("float") for r in ratios]).toArrow()  # as many rows as there are slots at most
+    weights = np.zeros((2, orders * slots), dtype=np.float32)
+    weights[:, table.column("slot").to_numpy()] = table.column(1).to_numpy(), table.column(2).to_numpy()
+    del table
     model = Resampling(spark.sparkContext.broadcast(weights), orders, passage, seed, None, None)
-    if not target.any() and not found.any():
+    del weights
+    if not targets and not toxics:
         return model
     scored = rows.withColumn("scored", model.scored(F.col("text")))
     key = model.key(F.col("doc_id"), F.col("text"), F.col("scored.weight"))
     held_out = [(F.coalesce(F.col(k), F.lit(False)) & ~F.col("train")).alias(k) for k in ("good", "clean")]
     scored = written(scored.select(*held_out, "scored.*", key.alias("key")), "weights")
     # one row from each task, over at most ``sample`` values
-    if found.any():
+    if toxics:
         model = model._replace(worst=scored.where("clean").agg(F.percentile("evidence", F.lit(1 - lose_clean))).first()[0])
-    if not target.any():
+    if not targets:
         return model
     scored = scored.where(~model.rejected(F.col("evidence")))
     bound = scored.where("good").agg(F.percentile("weight", F.lit(lose))).first()[0]
@@ -144,13 +143,12 @@ def decided(docs: DataFrame, model: Resampling, id_col: str = "doc_id", text_col
     return made.withColumn("sample_key", key).withColumn("kept", model.kept(F.col("sample_key")) & ~rejected)
 
 
-def _ratio(one: np.ndarray, other: np.ndarray, orders: int, priors: tuple[float, ...]) -> np.ndarray:
-    """Log ratios of the counts of each slot, brought to the same size for each order."""
-    out = np.zeros(len(one), dtype=np.float32)
-    for n in range(orders):
-        part = slice(n * len(one) // orders, (n + 1) * len(one) // orders)
-        size = one[part].sum() / max(other[part].sum(), 1)
-        out[part] = np.log((one[part] + priors[n]) / (other[part] * size + priors[n]))
+def _ratio(one: str, other: str, order: Column, sizes: dict, priors: tuple[float, ...]) -> Column:
+    """Log ratio of two counts of a slot, brought to the same size for its order."""
+    out = F.lit(None).cast("double")
+    for n, row in sizes.items():
+        size, prior = row[one] / max(row[other], 1), priors[n]
+        out = F.when(order == n, F.log((F.col(one) + prior) / (F.col(other) * size + prior))).otherwise(out)
     return out
 
 
@@ -165,22 +163,20 @@ def _places(hashes: np.ndarray, orders: int, slots: int) -> np.ndarray:
 
 def _counting(orders: int, slots: int):
     def run(batches):
-        words = HashedWords(lambda h: h)
-        raw, target = (np.zeros(orders * slots, dtype=np.int64) for _ in range(2))
-        toxic, clean = (np.zeros(orders * slots, dtype=np.int32) for _ in range(2))
+        words, size = HashedWords(lambda h: h), orders * slots
+        counts = [np.zeros(size, dtype=np.int64) for _ in range(4)]
         for batch in batches:
-            marks = [batch.column(k).to_pylist() for k in ("good", "toxic", "clean")]
+            good, toxic, clean = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("good", "toxic", "clean"))
             for start, texts in words.batches(batch.column("text")):
-                for i, hashes in enumerate(texts, start):
-                    at, (good, bad, fair) = _places(hashes, orders, slots), (m[i] for m in marks)
-                    for counts in (raw, target) if good else (raw,):
-                        np.add.at(counts, at, 1)
-                    if bad or fair:
-                        (toxic if bad else clean)[np.unique(at)] += 1
-        used = np.flatnonzero(raw).astype(np.int32)
+                places = [_places(hashes, orders, slots) for hashes in texts]
+                marks = (np.ones(len(texts), dtype=bool), *(m[start : start + len(texts)] for m in (good, toxic, clean & ~toxic)))
+                for n, (total, mark) in enumerate(zip(counts, marks)):
+                    # of toxic and clean texts it counts in how many a slot is
+                    if found := [np.unique(places[i]) if n > 1 else places[i] for i in np.flatnonzero(mark).tolist()]:
+                        total += np.bincount(np.concatenate(found), minlength=size)
+        used = np.flatnonzero(counts[0]).astype(np.int32)
         for part in np.array_split(used, len(used) // 100_000 + 1):
-            numbers = [pa.array(c[part].astype(np.int64)) for c in (raw, target, toxic, clean)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), *numbers], ["slot", "raw", "good", "toxic", "clean"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(c[part]) for c in counts)], ["slot", "raw", "good", "toxic", "clean"])
 
     return run
 

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from jobtide.llm.common import row_key, texts_of
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
-    """doc_id, text and the key (doc, sig) of each row; with ``carry`` also ``carried``, a struct of all columns but the text."""
-    rows = docs.select("*", F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("__carried")) if carry else docs
-    texts = texts_of(rows, id_col, text_col, *(["__carried"] if carry else []))
-    return texts.withColumnRenamed("__carried", "carried").withColumns(dict(zip(("doc", "sig"), row_key())))
+    """doc_id, text and the key (doc, sig) of each row; with ``carry`` also ``carried``, a struct of all columns but the text, by their place, and whether the text is null."""
+    struct = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col], F.col(f"`{text_col}`").isNull().alias("no_text"))
+    texts = texts_of(docs, id_col, text_col, *([struct.alias("carried")] if carry else []))
+    return texts.withColumns(dict(zip(("doc", "sig"), row_key(texts))))
+
+
+def carried(docs: DataFrame, text_col: str, text: Column) -> list[Column]:
+    """The columns of ``docs`` out of a ``carried`` struct, with ``text`` in the place of the text."""
+    return [(text if c == text_col else F.col(f"carried.c{i}")).alias(c) for i, c in enumerate(docs.columns)]
 
 
 def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
