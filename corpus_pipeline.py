@@ -11,6 +11,7 @@ from jobtide.llm.common import documents
 from jobtide.llm.near_duplicates import without_copies
 from jobtide.llm.quality_rules import judged
 from jobtide.llm.queries import packed
+from jobtide.llm.spans import carried
 from jobtide.sources.shared import written
 
 
@@ -32,10 +33,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that an earlier one has; n_chars is that of the new text."""
-    kept = chunk_dedup.dedup(docs, carry=True).withColumn("text", F.col("kept").cast("string"))
-    made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return kept.select(*[(made[c] if c in made else F.col("carried")[c]).alias(c) for c in docs.columns])
+    """All documents, without the passages that an earlier one has; n_chars is that of the new text, a null text stays null."""
+    kept = chunk_dedup.dedup(docs, carry=True)
+    text = F.when(~F.col("carried.no_text"), F.col("kept").cast("string"))
+    return kept.select(*carried(docs, "text", text)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
