@@ -94,7 +94,7 @@ def test_fingerprints_of_ties_and_odd_rows(spark):
     assert all(r.x in (1.0, None) for r in full)
 
 
-@pytest.mark.parametrize("settings", [{}, {"most_tokens": 30, "paired_tokens": 10}, {"bits": 10}])
+@pytest.mark.parametrize("settings", [{}, {"most_tokens": 30}, {"bits": 10}])
 def test_scores_against_brute_force(spark, settings):
     rng = random.Random(4)
     texts = {i: english(rng, rng.randint(0, 80)) for i in range(120)} | {200: None, 201: "", 202: "THE Bating É é zzz zzz"}
@@ -132,6 +132,30 @@ def test_pair_scores_are_those_of_brute_force(spark, settings):
         assert math.isclose(got[k].score, want, abs_tol=1e-9) or settings.get("bits") == 9 and got[k].score > want
 
 
+def test_smoothing_is_chosen_on_the_training_texts(spark):
+    rng = random.Random(21)
+    strict = [" ".join(f"{a}{k} {a}{k}x {a}{k}y" for a in rng.choices("abcdefgh", k=60) for k in [rng.randrange(9)]) for _ in range(400)]
+    loose = [" ".join(rng.choices([f"w{k}" for k in range(300)], k=200)) for _ in range(400)]
+    chosen = []
+    for texts in (strict, loose):
+        training = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+        model = bloom_model.fit(training)
+        chosen.append(model.inertia)
+        new = spark.createDataFrame([(0, " ".join(texts[0].split()[::-1])), (1, texts[1])], "doc_id long, text string")
+        best = {r.doc_id: r.score for r in bloom_model.score(new, model).collect()}
+        fixed = {r.doc_id: r.score for r in bloom_model.score(new, bloom_model.fit(training, inertia=model.inertia)).collect()}
+        assert best == pytest.approx(fixed)
+    assert chosen[0] < chosen[1]  # where the word before tells much, the unigrams weigh less
+    assert bloom_model.fit(training.limit(0)).inertia > 0
+
+
+def test_filter_grows_with_the_pairs(spark):
+    texts = [" ".join(f"w{i * 40 + k}" for k in range(40)) for i in range(300)]
+    training = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    small, large = (bloom_model.fit(training.where(f"doc_id < {n}"), bits=10, inertia=5.0).filter.blocks for n in (30, 300))
+    assert 8 * small < large and large > 60
+
+
 def test_pairs_seen_in_training_score_better(spark):
     rng = random.Random(5)
     text = [f"{a} {a}x {a}y" for a in "abcdefgh"]
