@@ -52,11 +52,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``written`` put aside as soon as nothing reads it any more: later steps build on what was written after it."""
+    for table in tables:
+        spark = table.sparkSession
+        known = _WRITTEN.get(spark.sparkContext.applicationId, [])
+        for folder in {file.rpartition("/")[0].rpartition("/")[2] for file in table.inputFiles()}:
+            for path in [p for p in known if p.rpartition("/")[2] == folder]:
+                known.remove(path)
+                _delete(spark, path)
+
+
 def clear_written(spark: SparkSession) -> None:
     """Delete what this application has put aside with ``written``; call it once the results that build on it are saved."""
     for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(spark, path)
 
 
 def broadcast_if_small(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:

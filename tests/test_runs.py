@@ -8,7 +8,7 @@ from jobtide.operators.classification import build_prompts, classify
 from jobtide.plans.runs import crawl_run, scoring_run, validation_run
 from jobtide.schemas import TABLES, conform
 from jobtide.sources import shared
-from jobtide.sources.shared import clear_written, shared_folder, written
+from jobtide.sources.shared import clear_written, discard, shared_folder, written
 from jobtide.sources.tables import load_pages, load_tables, read_snapshot, since, spread, write_snapshot
 
 NOW = "2024-06-15 12:00:00"
@@ -225,6 +225,14 @@ def test_what_was_put_aside_can_be_cleared(spark):
     assert not Path(path.removeprefix("file://")).exists() and kept.count() == 2
 
 
+def test_a_table_that_is_used_up_can_be_discarded(spark):
+    first, second = written(spark.range(5), "used"), written(spark.range(3), "kept")
+    place = Path(first.inputFiles()[0].removeprefix("file://")).parent
+    discard(first)
+    assert not place.exists() and second.count() == 3
+    discard(first.limit(0), written(spark.range(0), "empty"))  # nothing there, nothing to do
+
+
 def test_cascade(spark):
     long = "Nothing here tells whether anyone may still write to us about this. "
     texts = {1: "Job", 2: "Position has been filled, no longer available. " + long, 3: long, 4: long, 5: long, 6: long, 7: long + "apply now"}
