@@ -84,8 +84,8 @@ def _grouped(docs: DataFrame, similarity: int, width: int, bands: int, rows: int
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     buckets = written(buckets.join(shared, "bucket").select("bucket", "node", "n"), "buckets")
     nodes = buckets.select("node").distinct()
-    texts = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "sig")).alias("one"))
-    texts = named.join(texts.select("node", "one.*"), ["doc", "sig"]).dropDuplicates(["node"]).select("node", "text")
+    texts = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "sig")).alias("one"), F.first("n_shingles").alias("size"))
+    texts = named.join(texts.select("node", "one.*", "size"), ["doc", "sig"]).dropDuplicates(["node"]).select("node", "text", "size")
     texts = written(texts, "texts")
     labels = written(nodes.select("node", F.col("node").alias("comp")), "labels")
 
@@ -153,7 +153,7 @@ def _star_links(buckets: DataFrame, labels: DataFrame, texts: DataFrame, turn: i
     pairs = rows.join(stars.select("bucket", "s.star", "s.star_comp"), "bucket").where("comp != star_comp")
     pairs = pairs.groupBy("node", "star").agg(F.count("*").alias("votes")).groupBy("node").agg(F.max_by("star", F.struct("votes", "star")).alias("star"))
     other = texts.select(F.col("node").alias("star"), F.col("text").alias("star_text"))
-    both = pairs.join(texts, "node").join(other, "star").select("node", "star", "text", "star_text")
+    both = pairs.join(texts.select("node", "text"), "node").join(other, "star").select("node", "star", "text", "star_text")
 
     def run(batches):
         sets = _Sets(width)
@@ -167,18 +167,22 @@ def _star_links(buckets: DataFrame, labels: DataFrame, texts: DataFrame, turn: i
     return both.mapInArrow(run, "a long, b long")
 
 
-def _block_links(buckets: DataFrame, labels: DataFrame, texts: DataFrame, similarity: int, width: int, asked: int = 128, told: int = 1024) -> DataFrame:
+def _block_links(
+    buckets: DataFrame, labels: DataFrame, texts: DataFrame, similarity: int, width: int, asked: tuple[int, int] = (128, 1 << 18), told: tuple[int, int] = (1024, 1 << 21)
+) -> DataFrame:
     """Links between components that share an open bucket: classes outside the bucket's main component, ``asked`` at a time, against that
-    component and each other, ``told`` at a time."""
+    component and each other, ``told`` at a time: so many classes, or so many shingles of them, whichever makes the smaller blocks."""
     rows = _open(buckets, labels)
     parts = rows.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("main"))
     outside = rows.join(main, "bucket").where("comp != main").select("main", "node", "comp").distinct()
     outside = written(outside, "outside")
     inside = labels.withColumn("main", F.col("comp")).join(outside.select("main").distinct(), "main", "left_semi").select("main", "node", "comp")
-    sizes = outside.groupBy("main").agg(F.count("*").alias("q"))
-    sizes = sizes.join(inside.groupBy("main").agg(F.count("*").alias("m")), "main")
-    sizes = sizes.select("main", F.ceil(F.col("q") / asked).alias("qs"), F.ceil((F.col("q") + F.col("m")) / told).alias("ms"))
+    asking = F.col("asks")
+    each = outside.withColumn("asks", F.lit(True)).unionByName(inside.withColumn("asks", F.lit(False))).join(texts.select("node", "size"), "node")
+    sizes = each.groupBy("main").agg(F.count_if(asking).alias("q"), F.sum(F.when(asking, F.col("size"))).alias("qw"), F.count("*").alias("m"), F.sum("size").alias("mw"))
+    parts = [F.ceil(F.greatest(F.col(n) / most[0], F.col(w) / most[1])).alias(name) for n, w, most, name in (("q", "qw", asked, "qs"), ("m", "mw", told, "ms"))]
+    sizes = sizes.select("main", *parts)
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1))
 
     def block(count: str, salt: int):
@@ -187,7 +191,7 @@ def _block_links(buckets: DataFrame, labels: DataFrame, texts: DataFrame, simila
     queries = outside.join(sizes, "main").withColumn("count", F.col("ms")).select("main", "node", "comp", block("qs", 1).alias("i"), every.alias("j"), F.lit(True).alias("asks"))
     answers = inside.unionByName(outside).join(sizes, "main").withColumn("count", F.col("qs"))
     answers = answers.select("main", "node", "comp", every.alias("i"), block("ms", 2).alias("j"), F.lit(False).alias("asks"))
-    work = queries.unionByName(answers).join(texts, "node")
+    work = queries.unionByName(answers).join(texts.select("node", "text"), "node")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         sets = _Sets(width)

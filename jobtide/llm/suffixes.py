@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from jobtide.llm.hashed_words import mixed
 from jobtide.llm.rolling import lowest, names
 from jobtide.llm.spans import keyed, without_spans
-from jobtide.sources.shared import written
+from jobtide.sources.shared import discard, written
 
 #: Bytes ranked first, and the longest names that doubling makes; two of these name any string up to twice as long.
 _SEED, _LONG = 32, 256
@@ -122,10 +122,10 @@ def repeated_spans(rows: DataFrame, length: int = 400, width: int = 74) -> DataF
     sampled = written(texts.mapInArrow(sampling, "doc long, sig long, place long, seed long"), "sampled")
     # written, so that a join with a seed that very many places have can be split
     common = written(sampled.groupBy("seed").count().where("count > 1").select("seed"), "seeds")
-    sampled = sampled.join(common, "seed", "left_semi")
-    places = sampled.groupBy("doc", "sig").agg(F.collect_set("place").alias("places"))
+    places = sampled.join(common, "seed", "left_semi").groupBy("doc", "sig").agg(F.collect_set("place").alias("places"))
     runs = texts.join(places, ["doc", "sig"]).mapInArrow(running, "doc long, sig long, low long, high long, core long, span long")
     runs = written(runs, "runs")
+    discard(sampled, common)
 
     spans = runs.groupBy("core", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc", "sig", "low", "high")).alias("one"))
     spans = written(spans, "spans")

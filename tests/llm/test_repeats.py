@@ -159,3 +159,18 @@ def test_a_large_group_of_copies_keeps_one(spark):
 def test_empty_tables(spark):
     none = frame(spark, [(1, "a")]).limit(0)
     assert suffixes.dedup(none).collect() == chunk_dedup.dedup(none).collect() == near_duplicates(none).collect() == []
+
+
+def test_blocks_of_long_texts_are_small(spark):
+    """Look-alikes of many shingles that are not linked: all pairs are compared, in blocks bounded by shingles."""
+    from jobtide.llm import near_duplicates as nd
+
+    rng = random.Random(31)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(12)]
+    texts[7] = texts[2] + " one more"
+    nodes = spark.createDataFrame([(k, t, len(t.split()) - 4) for k, t in enumerate(texts)], "node long, text string, size long")
+    buckets = nodes.selectExpr("1L AS bucket", "node", "12L AS n")
+    labels = nodes.selectExpr("node", "node AS comp")
+    for most in ((128, 1 << 18), (128, 600), (2, 1 << 18)):
+        links = nd._block_links(buckets, labels, nodes, 85, 5, asked=most, told=(1024, 900)).collect()
+        assert {frozenset((r.a, r.b)) for r in links} == {frozenset((2, 7))}
