@@ -4,10 +4,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from jobtide.llm import bloom_model, resampling
 from jobtide.llm.fingerprints import fingerprint, fingerprints, likeness, spliced_fingerprints
+from jobtide.llm.hashed_words import hash_word
 from jobtide.llm.quality_rules import COMMON_WORDS, quality_rules
 from pyspark.sql import functions as F
 
@@ -211,3 +213,46 @@ def test_kth_largest(spark, k):
     rng = random.Random(k)
     values = [rng.choice([rng.randint(-(2**46), 2**46), 5, -7]) for _ in range(100)]
     assert resampling._kth_largest(spark.createDataFrame([(v,) for v in values], "key long"), k) == sorted(values, reverse=True)[k - 1]
+
+
+def test_weights_keys_and_k_are_those_of_brute_force(spark):
+    rng, slots, priors, passage, lose, seed = random.Random(33), 1 << 12, (2.0, 3.0), 512, 0.1, 7
+    texts = {i: english(rng, rng.randint(1, 120)) for i in range(300)} | {400: None, 401: ""}
+    for i in range(0, 300, 4):
+        texts[i] += " raw noise words that good rows lack" * rng.randint(1, 4)
+    labels = [(i, int(i % 4 != 0), 0) for i in range(0, 240, 2)]
+    docs = spark.createDataFrame([*texts.items(), (7, texts[7])], "doc_id long, text string").repartition(3)
+    got = resampling.resample(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), slots=slots, priors=priors, lose=lose, seed=seed).collect()
+
+    marked = docs.selectExpr("doc_id", "text", f"pmod(xxhash64(doc_id, {seed + 1}), 3) <> 0 AS train", f"shiftrightunsigned(xxhash64({seed}, doc_id, coalesce(text, '')), 11) AS noise")
+    rows = [(r.doc_id, (r.text or "").encode().lower().split(), r.train, r.noise) for r in marked.collect()]
+    places = [resampling._places(np.array([hash_word(w) for w in words], dtype=np.uint64), 2, slots).tolist() if words else [] for _, words, *_ in rows]
+    good = {i for i, quality, _ in labels if quality}
+    raw, target = Counter(), Counter()
+    for (i, _, train, _), at in zip(rows, places):
+        raw.update(at)
+        if i in good and train:
+            target.update(at)
+    size = [sum(n for s, n in target.items() if s // slots == o) / sum(n for s, n in raw.items() if s // slots == o) for o in (0, 1)]
+    ratio = {s: math.log((target[s] + priors[s // slots]) / (n * size[s // slots] + priors[s // slots])) for s, n in raw.items()}
+    weights, keys = [], []
+    for (i, _, _, noise), at in zip(rows, places):
+        weights.append(passage * sum(ratio[s] for s in at) / len(at) if at else None)
+        gumbel = -math.log(-math.log((noise + 0.5) / 2.0**53))
+        keys.append(None if weights[-1] is None else round((weights[-1] + gumbel) * 2**20))
+    held = sorted(w for (i, _, train, _), w in zip(rows, weights) if i in good and not train and w is not None)
+    place = lose * (len(held) - 1)
+    bound = held[int(place)] + (place - int(place)) * (held[min(int(place) + 1, len(held) - 1)] - held[int(place)])
+    k = sum(w is not None and w >= bound for w in weights)
+    least = sorted((x for x in keys if x is not None), reverse=True)[k - 1]
+    # slot weights are single precision, so keys may differ by a few steps
+    want = {i: (w, x, x is not None and x >= least) for (i, *_), w, x in zip(rows, weights, keys)}
+    for r in got:
+        weight, key, kept = want[r.doc_id]
+        assert (r.log_weight is None) == (weight is None)
+        if weight is not None:
+            assert r.log_weight == pytest.approx(weight, abs=1e-3) and abs(r.sample_key - key) < 2000
+            assert r.kept == kept or abs(key - least) < 2000
+        else:
+            assert not r.kept
+    assert 0 < k < len(rows) and abs(sum(r.kept for r in got) - k) <= 2

@@ -174,3 +174,64 @@ def test_blocks_of_long_texts_are_small(spark):
     for most in ((128, 1 << 18), (128, 600), (2, 1 << 18)):
         links = nd._block_links(buckets, labels, nodes, 85, 5, asked=most, told=(1024, 900)).collect()
         assert {frozenset((r.a, r.b)) for r in links} == {frozenset((2, 7))}
+
+
+def plain_chunks(rows, min_run=100, **sizes):
+    """Passages out of all texts but the first, by loops over the chunks."""
+    first, out = {}, []
+    places = sorted({(k is not None, k or 0, t or "") for k, t in rows})
+    for key in places:
+        data = key[2].encode()
+        ends = boundaries(data, *sizes.values())
+        for a, b in zip([0, *ends[:-1]], ends):
+            first.setdefault(data[a:b], (key, a))
+    for k, t in rows:
+        key, data = (k is not None, k or 0, t or ""), (t or "").encode()
+        ends, spans = boundaries(data, *sizes.values()), []
+        for a, b in zip([0, *ends[:-1]], ends):
+            if first[data[a:b]] != (key, a):
+                if spans and spans[-1][1] == a:
+                    spans[-1][1] = b
+                else:
+                    spans.append([a, b])
+        spans = [(a, b) for a, b in spans if b - a >= min_run]
+        at = [0, *(x for s in spans for x in s), len(data)]
+        out.append((k, len(data), spans, b"".join(data[a:b] for a, b in zip(at[::2], at[1::2]))))
+    return sorted(out, key=repr)
+
+
+def test_chunks_go_as_brute_force_has_it(spark):
+    rng = random.Random(17)
+    passages = [prose(rng, rng.randrange(20, 120)) for _ in range(5)]
+    rows = [(k, " ".join(rng.choice([*passages, prose(rng, 30)]) for _ in range(rng.randrange(5)))) for k in range(60)]
+    rows += [(100 + k, passages[0]) for k in range(40)] + [(200, passages[1] * 4), (None, passages[2] + " é日🙂"), (201, None), (202, ""), (203, "x" * 5000)]
+    rows += [rows[3], rows[3], (None, passages[2] + " é日🙂"), (204, passages[4] + prose(rng, 8000) + passages[4])]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, __carried int").repartition(3)
+    got = [(r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in chunk_dedup.dedup(docs, carry=True).collect()]
+    assert sorted(got, key=repr) == plain_chunks(rows, least=16, average=40, most=256)
+
+
+def test_ids_of_any_type(spark):
+    rng = random.Random(19)
+    shared, rows = prose(rng, 150), []
+    for k in range(12):
+        rows.append((k, shared + " " + prose(rng, 30)))
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    named = plain.selectExpr("concat('d', doc_id) AS doc_id", "text", "1 AS __carried")
+    for made in (suffixes.dedup, lambda d: near_duplicates(d).selectExpr("doc_id", "n_shingles AS n_bytes")):
+        assert sorted(r.n_bytes for r in made(plain).collect()) == sorted(r.n_bytes for r in made(named).collect())
+    kept = chunk_dedup.dedup(named).collect()
+    assert len(kept) == 12 and sum(not r.spans for r in kept) == 1
+    assert without_copies(named.unionByName(named)).columns == ["doc_id", "text", "__carried"]
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(23)
+    base = prose(rng, 200)
+    near = base + " one more"
+    rows = [(5, base), (5, base), (5, base), (3, near), (3, near), (None, base), (None, "lonely text of five words or more")] * 2
+    rows += [(9, None), (9, None), (10, ""), (None, "no id in this group at all here"), (None, "no id in this group at all here")]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, carried string").repartition(4)
+    kept = [(r.doc_id, r.text) for r in without_copies(docs).collect()]
+    want = [(3, near), (None, "lonely text of five words or more"), (9, None), (9, None), (10, ""), (None, "no id in this group at all here")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
