@@ -266,10 +266,14 @@ UNION ALL SELECT 'companies.company_id unique', count(*) - count(DISTINCT compan
 UNION ALL SELECT 'jobs.job_id unique', count(*) FROM (SELECT job_id FROM j GROUP BY job_id HAVING count(*) > 1)
 UNION ALL SELECT 'jobs.company_id+job_url unique', count(*) FROM (SELECT company_id, job_url FROM j GROUP BY company_id, job_url HAVING count(*) > 1)
 UNION ALL SELECT 'site_configs.one active per company', count(*) FROM (SELECT company_id FROM {{site_configs}} WHERE is_active GROUP BY company_id HAVING count(*) > 1)
+UNION ALL SELECT 'site_configs.selectors usable', count(*) FROM {{site_configs}} WHERE is_active AND company_id % 9 = 4 AND config_id < 1000000000
 UNION ALL SELECT 'jobs.company_id known', count(*) FROM j WHERE company_id NOT IN (SELECT company_id FROM {{companies}})
 UNION ALL SELECT 'job_history.job_id known', count(*) FROM {{job_history}} WHERE job_id NOT IN (SELECT job_id FROM j)
 UNION ALL SELECT 'site_configs.company_id known', count(*) FROM {{site_configs}} WHERE company_id NOT IN (SELECT company_id FROM {{companies}})
 """)
 def quality_report(d):
     # not conformed: that would turn missing values into defaults
-    return report({**d.tables(), "jobs": d.sql(BROKEN_JOBS)})
+    tables = d.tables()
+    # some selectors that the page scan has no way to follow
+    faulty = F.when(F.expr("company_id % 9 = 4 AND config_id < 1000000000"), "time:hover").otherwise(F.col("job_date_selector"))
+    return report({**tables, "jobs": d.sql(BROKEN_JOBS), "site_configs": tables["site_configs"].withColumn("job_date_selector", faulty)})

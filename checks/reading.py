@@ -42,6 +42,16 @@ def list_companies(d):
     return page.select("company_id", "company_name", "career_page_url", "industry", "hiring_score")
 
 
+@check("list_companies_after", """
+SELECT company_id, company_name, hiring_score FROM {companies}
+WHERE industry = 'BUILDING' AND (hiring_score < 60 OR hiring_score = 60 AND company_id > 20)
+ORDER BY hiring_score DESC, company_id LIMIT 100
+""")
+def list_companies_after(d):
+    page = R.list_companies(d.view("companies"), page_size=100, industry="BUILDING", after=(60, 20))
+    return page.select("company_id", "company_name", "hiring_score")
+
+
 @check("company_detail", """
 SELECT company_id, company_name, career_page_url, industry, hiring_score, last_job_count FROM {companies} WHERE company_id = 7
 """)

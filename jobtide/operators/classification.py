@@ -18,7 +18,7 @@ def build_prompts(texts: DataFrame) -> DataFrame:
 
 
 def _answers(responses: DataFrame) -> DataFrame:
-    """One row per posting with the verdict of each provider; only HTTP 200 counts.
+    """One row per posting with the verdict of each provider; only HTTP 200 counts, and of several answers the first: by ``answered_at`` where that column is there, else by text.
 
     The text of an answer sits in ``response`` (first provider) or ``generated_text`` (second, possibly as
     item 0 of a list). A missing field reads as '', an unreadable body as no answer.
@@ -45,8 +45,10 @@ def _answers(responses: DataFrame) -> DataFrame:
     )
     parsed = body.withColumn("answer", answer).filter(F.col("answer").isNotNull())
 
+    moment = [F.col("answered_at").isNull(), "answered_at"] if "answered_at" in responses.columns else []
+
     def of(provider):
-        return F.min(F.when(F.col("provider") == provider, F.col("answer")))
+        return F.min_by("answer", F.when(F.col("provider") == provider, F.struct(*moment, "answer")))
 
     return (
         parsed.groupBy("posting_id")

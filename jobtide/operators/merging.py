@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from jobtide.functions.phrases import DEFAULT_CHANGE_REASON
 from jobtide.schemas import JOB_TYPES, STATUSES, conform, instant
+from jobtide.sources.shared import written
 
 JOB_PATCHABLE = ("job_title", "location", "job_type", "description_preview", "status")
 COMPANY_PATCHABLE = ("company_name", "career_page_url", "logo_url", "industry")
@@ -63,7 +64,8 @@ def upsert_jobs(jobs: DataFrame, listings: DataFrame, as_of) -> Upsert:
     title of the last company that lists it, and a location only while it has none. Jobs that are no longer
     listed stay as they are. URLs that several jobs share cannot be matched and come back as errors.
     """
-    return merge_matched(jobs, match_listings(jobs, listings), as_of, listings)
+    # kept, inserted and error rows all build on the match, which is worked out once
+    return merge_matched(jobs, written(match_listings(jobs, listings), "matched"), as_of, listings)
 
 
 def merge_matched(jobs: DataFrame, matched: DataFrame, as_of, listings: DataFrame) -> Upsert:

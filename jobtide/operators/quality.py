@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from jobtide.operators.extraction import unsupported_selectors
 from jobtide.schemas import JOB_TYPES, STATUSES
 
 
@@ -65,7 +66,7 @@ def _orphans(rule: str, children: DataFrame, parents: DataFrame, key: str) -> Da
 
 
 def quality_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row per rule with its violations: rows for row and orphan rules, groups for uniqueness rules."""
+    """One row per rule with its violations: rows for row and orphan rules, groups for uniqueness rules, companies for selectors that the page scan cannot use."""
     companies, jobs, history, configs = (tables[t] for t in ("companies", "jobs", "job_history", "site_configs"))
     parts = [_row_violations(tables[t], rules) for t, rules in ROW_RULES.items()]
     parts += [
@@ -73,6 +74,7 @@ def quality_report(tables: dict[str, DataFrame]) -> DataFrame:
         _repeated("jobs.job_id unique", jobs, "job_id"),
         _repeated("jobs.company_id+job_url unique", jobs, "company_id", "job_url"),
         _repeated("site_configs.one active per company", configs.filter("is_active"), "company_id"),
+        _count("site_configs.selectors usable", unsupported_selectors(configs).select("company_id").distinct()),
         _orphans("jobs.company_id known", jobs, companies, "company_id"),
         _orphans("job_history.job_id known", history, jobs, "job_id"),
         _orphans("site_configs.company_id known", configs, companies, "company_id"),

@@ -95,8 +95,10 @@ def list_companies(
     industry: str | None = None,
     min_score: int | None = None,
     search: str | None = None,
+    after: tuple | None = None,
 ) -> DataFrame:
-    """One page of companies by score; a minimum score of 0 does filter."""
+    """One page of companies by score; a minimum score of 0 does filter. Deep pages are cheaper with ``after``, the (hiring_score, company_id) of the last row seen, than
+    with a page number. Companies without a score come last."""
     skip = _check_page(page, page_size)
     tests = []
     if industry:
@@ -105,6 +107,11 @@ def list_companies(
         tests.append(F.col("hiring_score") >= min_score)
     if search:
         tests.append(_contains("company_name", search))
+    if after is not None:
+        score, last_id = F.lit(after[0]).cast("int"), after[1]
+        lower = (F.col("hiring_score") < score) | F.col("hiring_score").isNull()
+        same = F.col("hiring_score").eqNullSafe(score) & (F.col("company_id") > last_id)
+        tests.append(same if after[0] is None else lower | same)
     ranked = companies.filter(_both(tests)).orderBy(F.desc("hiring_score"), "company_id")
     return ranked.offset(skip).limit(page_size).select(*COMPANY_SUMMARY)
 

@@ -80,10 +80,19 @@ def test_a_hot_url_is_reduced_before_it_moves(spark):
     result = M.upsert_jobs(jobs(spark, []), crawl, NOW)
     assert result.jobs.count() == 200_001
     assert result.jobs.filter("job_url = 'hot'").first().company_id == 0
-    plan = result.jobs._jdf.queryExecution().executedPlan().toString()
+    plan = M.match_listings(jobs(spark, []), crawl)._jdf.queryExecution().executedPlan().toString()
     assert "partial_min_by" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_the_match_is_worked_out_once(spark, tmp_path):
+    jobs(spark, [(1, 1, "a", "u1", None, "open", OLD)]).write.parquet(str(tmp_path / "jobs"))
+    spark.createDataFrame([(2, "T", "u2", "", OLD, "d")], LISTING).write.parquet(str(tmp_path / "listings"))
+    result = M.upsert_jobs(spark.read.parquet(str(tmp_path / "jobs")), spark.read.parquet(str(tmp_path / "listings")), NOW)
+    plan = result.jobs._jdf.queryExecution().executedPlan().toString()
+    assert "min_by" not in plan and f"{tmp_path}/listings" not in plan
+    assert plan.count("FileScan") == 3 and result.jobs.count() == 2  # jobs once, the match for either side
+
+
 def test_validation(spark):
     known = [(1, 1, "a", "1", None, "unknown", OLD), (2, 1, "b", "2", None, "open", None), (3, 1, "c", "3", None, "open", OLD), (4, 1, "d", "4", None, "closed", None)]
     table = jobs(spark, known)

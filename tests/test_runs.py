@@ -263,5 +263,14 @@ def test_cascade(spark):
     assert not any("text#" in line and "Exchange" in line for line in plan.splitlines())
 
 
+def test_the_first_of_several_answers_counts(spark):
+    texts = spark.createDataFrame([(1, "Nothing here tells whether anyone may still write to us about this. ")], "posting_id long, text string")
+    rows = [(1, "ai_ollama", 200, '{"response": "open"}', datetime(2024, 1, 2)), (1, "ai_ollama", 500, '{"response": "closed"}', datetime(2024, 1, 1)),
+            (1, "ai_ollama", 200, '{"response": "closed"}', datetime(2024, 1, 3)), (1, "ai_ollama", 200, '{"response": "closed"}', None)]
+    answers = spark.createDataFrame(rows, "posting_id long, provider string, http_status int, body string, answered_at timestamp")
+    assert classify(texts, answers).first().status == "open"
+    assert classify(texts, answers.drop("answered_at")).first().status == "closed"
+
+
 def test_as_of_may_be_a_datetime(spark, tables):
     assert scoring_run(tables, datetime(2024, 6, 15)).tables["companies"].first().last_checked == datetime(2024, 6, 15)

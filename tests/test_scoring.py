@@ -140,6 +140,18 @@ def test_paging_and_search(spark):
             R.list_jobs(table, **bad)
 
 
+def test_pages_of_companies_go_on_after_the_last_one_seen(spark):
+    rows = [(i, f"C{i}", None if i % 10 == 9 else i % 4) for i in range(45)]
+    table = conform(spark.createDataFrame(rows, "company_id long, company_name string, s int").withColumnRenamed("s", "hiring_score"), "companies").withColumn(
+        "hiring_score", F.when(F.col("company_id") % 10 != 9, F.col("company_id") % 4).cast("int")
+    )
+    seen, after = [], None
+    while page := R.list_companies(table, page_size=7, after=after).collect():
+        seen += [r.company_id for r in page]
+        after = (page[-1].hiring_score, page[-1].company_id)
+    assert seen == [i for i, *_ in sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))]
+
+
 def test_scoring_prunes_and_never_multiplies(spark, tmp_path):
     from jobtide.sources.tables import read_snapshot, write_snapshot
 
