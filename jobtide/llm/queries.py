@@ -13,9 +13,9 @@ from jobtide.llm.common import documents
 from jobtide.llm.fingerprints import spliced_fingerprints
 from jobtide.llm.near_duplicates import near_duplicates
 from jobtide.llm.packing import pack
-from jobtide.llm.quality_rules import quality_rules
+from jobtide.llm.quality_rules import fit as fit_references, quality_rules
 from jobtide.llm.resampling import resample
-from jobtide.llm.sql import CONTAMINATION, LEXICAL_SEARCH, NEAR_DUPLICATES
+from jobtide.llm.sql import CONTAMINATION, LEXICAL_SEARCH, NEAR_DUPLICATES, QUALITY_RULES
 from jobtide.llm.token_counts import token_counts
 
 _PATTERN = public_tokenizers.PATTERN
@@ -43,8 +43,11 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
-    names = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept char_distance word_distance"
-    return quality_rules(documents(spark, folder).select("doc_id", "text")).select(*names.split())
+    docs = documents(spark, folder)
+    found = quality_rules(docs.select("doc_id", "text"), references=fit_references(docs, spark.read.parquet(f"{folder}/labels.parquet")))
+    names = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept"
+    # sums of doubles differ in the last places with their order
+    return found.select(*names.split(), F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
 def op6_minmax_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 ORACLES: dict[str, str] = {
+    op5_quality_divergence.__name__: QUALITY_RULES,
     op6_minmax_near_duplicates.__name__: NEAR_DUPLICATES,
     op11_lexical_search.__name__: LEXICAL_SEARCH,
     op12_decontamination.__name__: CONTAMINATION,

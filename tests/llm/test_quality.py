@@ -10,7 +10,7 @@ import pytest
 from jobtide.llm import bloom_model, resampling
 from jobtide.llm.fingerprints import fingerprint, fingerprints, likeness, spliced_fingerprints
 from jobtide.llm.hashed_words import hash_word
-from jobtide.llm.quality_rules import COMMON_WORDS, quality_rules
+from jobtide.llm.quality_rules import COMMON_WORDS, fit, quality_rules
 from pyspark.sql import functions as F
 
 
@@ -256,3 +256,43 @@ def test_weights_keys_and_k_are_those_of_brute_force(spark):
         else:
             assert not r.kept
     assert 0 < k < len(rows) and abs(sum(r.kept for r in got) - k) <= 2
+
+
+def test_references_are_fitted_and_limits_calibrated(spark):
+    rng = random.Random(41)
+    tongue = {"aa": [f"k{i}" for i in range(30)], "bb": [f"z{i}o" for i in range(30)]}
+
+    def prose(lang, n):
+        words = rng.choices(tongue[lang], [1 / k for k in range(1, 31)], k=n // 2) + [f"w{rng.randrange(10**6)}" for _ in range(n // 2)]
+        rng.shuffle(words)
+        return ", ".join(words).capitalize() + "."
+
+    rows = [(i, prose("ab"[i % 2] * 2, rng.randint(60, 200)), "ab"[i % 2] * 2) for i in range(400)]
+    junk = [(1000 + i, " | ".join(f"QX{rng.randrange(10**6)}" for _ in range(100)), "aa") for i in range(40)]
+    odd = [(2000, None, "aa"), (None, "k1 k2", "aa"), (2001, "k1", None), (5, rows[5][1], "bb")]
+    docs = spark.createDataFrame([(*r, 0.5, "x") for r in [*rows, *junk, *odd]], "doc_id long, text string, lang string, kept double, rules string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 400, 2)] + [(1000 + i, 0, 0) for i in range(30)] + [(None, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    refs = fit(docs, labels, common=5)
+
+    md5 = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    held = {i for i in range(0, 400, 2) if md5(i) < "8"}
+    used = [(t, lang) for i, t, lang in [*rows, *junk, *odd] if i is not None and lang and i not in held and not 1000 <= i < 1030 and i != 1]
+    for lang in ("aa", "bb"):
+        texts = [t or "" for t, own in used if own == lang]
+        words = Counter(w for t in texts for w in re.sub(r"[.,;:?'\"()-]", "", t.lower()).split())
+        top = sorted(words.items(), key=lambda x: (-x[1], x[0]))[:5]
+        assert refs.words[lang] == pytest.approx({w: n / sum(words.values()) for w, n in top}) and list(refs.words[lang]) == [w for w, _ in top]
+        classes = [0] * 6
+        for c in "".join(texts):
+            classes[3 if c == " " else 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 4 if c in ".,;:?'\"()-" else 5] += 1
+        assert refs.characters[lang] == pytest.approx([n / sum(classes) for n in classes])
+    judged = {r.doc_id: r for r in quality_rules(docs, references=refs).collect() if r.doc_id is not None}
+    assert not any(judged[i].kept for i in range(1000, 1040)) and sum(judged[i].kept for i in range(400)) > 0.95 * 400
+    assert quality_rules(docs, references=refs).columns.count("kept") == 1 and judged[2000].n_words == 0
+    far = sorted(judged[i].word_distance for i in held)
+    place = 0.99 * (len(far) - 1)
+    limit = far[int(place)] + (place - int(place)) * (far[min(int(place) + 1, len(far) - 1)] - far[int(place)])
+    assert refs.max_word_distance == pytest.approx(limit, abs=1.1e-4) and refs.max_word_distance >= limit - 1e-9
+    none = fit(docs.limit(0), labels)
+    assert none.words == {} and none.max_char_distance == math.inf
+    assert quality_rules(docs, references=none).where("char_distance IS NOT NULL OR word_distance IS NOT NULL").count() == 0
