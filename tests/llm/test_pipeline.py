@@ -62,3 +62,41 @@ def test_near_dedup_keeps_the_lowest_id_of_brute_force_groups(spark):
     docs = spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.near_dedup(spark, docs.repartition(3), SMALL)
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(up.values()))
+
+
+def test_stages_take_odd_rows(spark, stages):
+    """Nulls in any column, empty and repeated texts, texts met often, ids twice, extra columns with names that the stages use themselves."""
+    texts = {r.doc_id: r.text for r in stages[0][3]}
+    some = sorted(texts)[:25]
+    rows = [(i, texts[i], "en", "web", len(texts[i]), "x", 1) for i in some]
+    rows += rows[:6] + [(None, texts[some[0]] + " and one more word", None, None, None, None, None)] * 2
+    rows += [(90000, None, None, "web", None, "x", 1), (90001, "", "en", None, 0, None, 1), (90002, " \n", "en", "web", 2, "x", None)]
+    rows += [(91000 + k, texts[some[1]], "en", "web", 5, "x", 1) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __carried string, kept int").repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, SMALL)
+        out = made.collect()
+        if name == "packing":
+            assert {r.doc_id for r in out} == ids and all(r.length > 0 for r in out)
+            break
+        assert made.columns == docs.columns
+        ids = {r.doc_id for r in out}
+        assert ids <= {r[0] for r in rows} and len(out) <= len(rows)
+        if name == "quality rules":
+            assert not ids & {90000, 90001, 90002} and set(some) <= ids
+        if name == "near-dedup":
+            # copies of a text, and repeated rows, leave one; the row without id is a near copy of the first text
+            assert len(out) == len({r.text for r in out}) and None not in ids and not any(i is not None and i >= 91000 for i in ids)
+        if name == "substring dedup":
+            assert all(r.n_chars == len(r.text) for r in out)
+        docs = spark.createDataFrame(out, made.schema)
+    assert ids
+
+
+def test_stages_take_empty_tables(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, SMALL)
+        assert made.collect() == []
+    rows = spark.createDataFrame([(1, None, None, None, None), (None, "", None, None, None)], docs.schema)
+    assert [r.text for r in corpus_pipeline.substring_dedup(spark, rows, SMALL).orderBy("doc_id").collect()] == ["", None]
