@@ -34,11 +34,14 @@ class Page(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.tag, self.attrs, self.parent, self.end, self.span = [], [], [], [], []
-        self.pieces, self._stack, self._open, self._offsets = [], [], Counter(), None
+        self.pieces, self._stack, self._open = [], [], Counter()
         # marked sections are no part of HTML: like browsers, take them for comments
         self.feed(html.replace("<![", "<! ["))
         self.close()
         self._pop_to(0)
+        written = [b"" if p in (LINE, BLOCK, PARAGRAPH) else p.encode() for p in self.pieces]
+        # all text of the page, as written
+        self.data, self._offsets = b"".join(written), [0, *accumulate(map(len, written))]
 
     def _pop_to(self, depth: int) -> None:
         while len(self._stack) > depth:
@@ -92,24 +95,11 @@ class Page(HTMLParser):
     def handle_data(self, data):
         self.pieces.append(data)
 
-    def data(self) -> bytes:
-        """All text of the page, as written, in UTF-8."""
-        return b"".join(self._written())
-
     def place(self, node: int) -> tuple[int, int]:
         """Where the text below a node starts and ends in ``data``."""
-        if self._offsets is None:
-            self._offsets = [0, *accumulate(map(len, self._written()))]
         first, last = self.span[node]
         return self._offsets[first], self._offsets[last]
 
-    def _written(self) -> list[bytes]:
-        return [b"" if p in (LINE, BLOCK, PARAGRAPH) else p.encode() for p in self.pieces]
-
-    def text(self, node: int) -> str:
-        start, end = self.place(node)
-        return self.data()[start:end].decode()
-
     def kept_text(self, node: int | None, dropped: list[int]) -> str:
         """Text below a node, or all of it, with its breaks and without dropped nodes."""
         first, last = self.span[node] if node is not None else (0, len(self.pieces))

@@ -73,7 +73,7 @@ def _scanned(cfg: dict) -> tuple[str, bytes, list[dict]]:
         for name in _TEXTS:
             if place := node.get(name):
                 node[name] = {"start": max(0, place[0] - low), "size": place[1] - place[0]}
-    return source, page.data()[low:high], nodes
+    return source, page.data[low:high], nodes
 
 
 def scan_pages(batches):
