@@ -12,7 +12,7 @@ from jobtide.llm.near_duplicates import without_copies
 from jobtide.llm.quality_rules import judged
 from jobtide.llm.queries import packed
 from jobtide.llm.spans import carried
-from jobtide.sources.shared import written
+from jobtide.sources.shared import clear_written, put_aside, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces that all stages make of the documents; what a stage keeps is written before the next one reads it."""
-    docs = documents(spark, sf_dir)
+    """The pieces that all stages make of the documents; what a stage keeps is written before the next one reads it, and what it no longer needs goes."""
+    docs, mark = documents(spark, sf_dir), put_aside(spark)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        clear_written(spark, mark, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)

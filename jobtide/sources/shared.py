@@ -68,10 +68,19 @@ def discard(*tables: DataFrame) -> None:
                 _delete(spark, path)
 
 
-def clear_written(spark: SparkSession) -> None:
-    """Delete what this application has put aside with ``written``; call it once the results that build on it are saved."""
-    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        _delete(spark, path)
+def put_aside(spark: SparkSession) -> int:
+    """How many tables this application has put aside so far; a mark for ``clear_written``."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def clear_written(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete what this application has put aside with ``written``, after the mark ``since`` and but for the table ``keep``; call it once the results that build on it are saved."""
+    known = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    kept = {file.rpartition("/")[0].rpartition("/")[2] for file in keep.inputFiles()} if keep is not None else set()
+    for path in known[since:]:
+        if path.rpartition("/")[2] not in kept:
+            known.remove(path)
+            _delete(spark, path)
 
 
 def broadcast_if_small(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:

@@ -8,7 +8,7 @@ from jobtide.operators.classification import build_prompts, classify
 from jobtide.plans.runs import crawl_run, scoring_run, validation_run
 from jobtide.schemas import TABLES, conform
 from jobtide.sources import shared
-from jobtide.sources.shared import clear_written, discard, shared_folder, written
+from jobtide.sources.shared import clear_written, discard, put_aside, shared_folder, written
 from jobtide.sources.tables import load_pages, load_tables, read_snapshot, since, spread, write_snapshot
 
 NOW = "2024-06-15 12:00:00"
@@ -231,6 +231,11 @@ def test_a_table_that_is_used_up_can_be_discarded(spark):
     discard(first)
     assert not place.exists() and second.count() == 3
     discard(first.limit(0), written(spark.range(0), "empty"))  # nothing there, nothing to do
+    mark = put_aside(spark)
+    third, fourth = written(spark.range(2), "third"), written(spark.range(6), "fourth")
+    clear_written(spark, mark, keep=fourth)
+    assert put_aside(spark) == mark + 1 and fourth.count() == 6 and second.count() == 3
+    assert not Path(third.inputFiles()[0].removeprefix("file://")).exists()
 
 
 def test_cascade(spark):
