@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import shutil
 import tempfile
 import uuid
@@ -66,6 +67,14 @@ def discard(*tables: DataFrame) -> None:
             for path in [p for p in known if p.rpartition("/")[2] == folder]:
                 known.remove(path)
                 _delete(spark, path)
+    for table in tables[:1]:
+        let_go(table.sparkSession)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have the driver collect its garbage now: Spark deletes the shuffle files of finished steps only once their plans are gone, which can take until the disks are full."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def put_aside(spark: SparkSession) -> int:
