@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from jobtide.llm.hashed_words import mixed
 from jobtide.llm.rolling import lowest, names
 from jobtide.llm.spans import keyed, without_spans
-from jobtide.sources.shared import discard, written
+from jobtide.sources.shared import discard, let_go, written
 
 #: Bytes ranked first, and the longest names that doubling makes; two of these name any string up to twice as long.
 _SEED, _LONG = 32, 256
@@ -122,6 +122,7 @@ def repeated_spans(rows: DataFrame, length: int = 400, width: int = 74) -> DataF
     sampled = written(texts.mapInArrow(sampling, "doc long, sig long, place long, seed long"), "sampled")
     # written, so that a join with a seed that very many places have can be split
     common = written(sampled.groupBy("seed").count().where("count > 1").select("seed"), "seeds")
+    let_go(rows.sparkSession)  # each step shuffles about as much as the texts have; what is done with must not wait
     places = sampled.join(common, "seed", "left_semi").groupBy("doc", "sig").agg(F.collect_set("place").alias("places"))
     runs = texts.join(places, ["doc", "sig"]).mapInArrow(running, "doc long, sig long, low long, high long, core long, span long")
     runs = written(runs, "runs")
@@ -129,6 +130,7 @@ def repeated_spans(rows: DataFrame, length: int = 400, width: int = 74) -> DataF
 
     spans = runs.groupBy("core", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc", "sig", "low", "high")).alias("one"))
     spans = written(spans, "spans")
+    let_go(rows.sparkSession)
     covered = runs.join(spans.where("n > 1").select("core", "span"), ["core", "span"], "left_semi")
     covered = covered.select("doc", "sig", F.col("low").alias("start"), (F.col("high") + length).alias("stop"))
 
@@ -138,6 +140,7 @@ def repeated_spans(rows: DataFrame, length: int = 400, width: int = 74) -> DataF
     # rows equal in id and text are covered already, so one of them will do here
     singles = texts.join(edge, ["doc", "sig"]).mapInArrow(single, "doc long, sig long, start long, core long, name long")
     singles = written(singles, "strings")
+    let_go(rows.sparkSession)
     again = singles.select("doc", "sig", "start", "core", "name").distinct().groupBy("core", "name").count().where("count > 1").select("core", "name")
     found = singles.join(again, ["core", "name"], "left_semi").select("doc", "sig", "start", (F.col("start") + length).alias("stop"))
     return covered.unionByName(found)
