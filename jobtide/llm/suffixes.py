@@ -143,7 +143,10 @@ def repeated_spans(rows: DataFrame, length: int = 400, width: int = 74) -> DataF
     let_go(rows.sparkSession)
     again = singles.select("doc", "sig", "start", "core", "name").distinct().groupBy("core", "name").count().where("count > 1").select("core", "name")
     found = singles.join(again, ["core", "name"], "left_semi").select("doc", "sig", "start", (F.col("start") + length).alias("stop"))
-    return covered.unionByName(found)
+    # in a step of its own, so that these joins' shuffle files are gone when the texts move
+    found = written(covered.unionByName(found), "repeated")
+    discard(runs, spans, singles)
+    return found
 
 
 def dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
