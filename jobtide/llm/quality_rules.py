@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from jobtide.llm.common import let, words_of
-from jobtide.sources.shared import written
+from jobtide.sources.shared import broadcast_if_small, written
 
 # ---- fixed values: the most frequent words of each language, most frequent first -------------------------------
 COMMON_WORDS = {
@@ -58,7 +58,6 @@ def _typed() -> References:
 def fit(
     docs: DataFrame,
     labels: DataFrame,
-    sample: int = 2000,
     languages: int = 8,
     common: int = 24,
     lose: float = 0.01,
@@ -70,10 +69,10 @@ def fit(
 ) -> References:
     """Fit the histograms of the most frequent ``languages`` on ``docs``, and calibrate the limits on ``labels`` (doc_id, quality, toxic).
 
-    Half of the rows that labels call good and not toxic are held out, by hash of their id. Of each language the ``sample`` rows of lowest hash, without these and without those that labels
-    call bad or toxic, give the shares of character classes and the ``common`` most frequent words. The limits are what all but a share ``lose`` of the held-out rows keep, at most
-    ``sample`` of these, rounded up to four places; without such rows nothing is too far. Rows without id or language give no histogram; of equal counts the alphabetically lower language
-    and word comes first.
+    Half of the rows that labels call good and not toxic are held out, by hash of their id. All rows of a language without these and without those that labels
+    call bad or toxic give its shares of character classes and its ``common`` most frequent words. The limits are what all but a share ``lose`` of all held-out rows keep,
+    rounded up to four places; without such rows nothing is too far. Rows without id or language give no histogram; of equal counts the alphabetically lower language
+    and word comes first. Ids of labels meet the texts by broadcast if they are small; else Spark chooses the join.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     named = labels.where("doc_id IS NOT NULL")
@@ -81,18 +80,19 @@ def fit(
     top = [r.lang for r in rows.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
     draw = F.md5(F.col("doc_id").cast("string"))
     good = named.where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id").distinct().join(bad, "doc_id", "left_anti").where(F.substring(draw, 1, 1) < "8")
-    order = Window.partitionBy("lang").orderBy(draw, "doc_id")
-    ids = rows.select("doc_id", "lang").where(F.col("lang").isin(top)).join(bad.unionByName(good), "doc_id", "left_anti")
-    ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
-    ids = written(ids.select("doc_id").distinct(), "references")  # at most ``languages`` times ``sample``
-    texts = rows.join(F.broadcast(ids), "doc_id").select("lang", F.coalesce("text", F.lit("")).alias("text"))
-
-    inside = F.length(F.array_join(words_of(F.col("text")), ""))
-    classes = texts.select("lang", _character_histogram(F.col("text"), inside).alias("h"))
-    sums = classes.groupBy("lang").agg(F.array(*[F.sum(F.col("h")[i]) for i in range(_CLASSES)]).alias("h")).collect()
-    characters = {r.lang: tuple(n / max(1, sum(r.h)) for n in r.h) for r in sorted(sums)}
-
-    running = texts.select("lang", F.explode(words_of(_bare(F.col("text")))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    good = written(good, "held-out")
+    left_out = written(bad.unionByName(good), "left-out")
+    texts = rows.where(F.col("lang").isin(top)).join(broadcast_if_small(left_out), "doc_id", "left_anti").select("lang", F.coalesce("text", F.lit("")).alias("text"))
+
+    size = {r.lang: r.n for r in texts.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    spelled = texts.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    spelled = written(spelled, "spelled")  # classes and small letters are worked out once for each different word
+    classes = spelled.select("lang", "n", _character_histogram(F.col("word"), F.length("word")).alias("h"))
+    sums = {r.lang: r.h for r in classes.groupBy("lang").agg(F.array(*[F.sum(F.col("h")[i] * F.col("n")) for i in range(_CLASSES)]).alias("h")).collect()}
+    histograms = {lang: [*h[:3], n - sum(h), *h[4:]] for lang, n in sorted(size.items()) for h in [sums.get(lang, [0] * _CLASSES)]}  # what is not in words are spaces
+    characters = {lang: tuple(n / max(1, sum(h)) for n in h) for lang, h in histograms.items()}
+
+    running = spelled.select("lang", _bare(F.col("word")).alias("word"), "n").where("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     running = written(running, "words")
     ranked = running.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= common)
     total = {r.lang: r.n for r in running.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -101,12 +101,36 @@ def fit(
         words[r.lang][r.word] = r.n / total[r.lang]
 
     found = References(characters, words, math.inf, math.inf)
-    good = good.orderBy(draw, "doc_id").limit(sample)
-    held = rows.join(F.broadcast(good), "doc_id").select(judged(F.col("text"), references=found, char_guard=char_guard, word_guard=word_guard).alias("j"))
-    limits = held.agg(*[F.percentile(F.col("j")[c], F.lit(1 - lose)) for c in ("char_distance", "word_distance")]).first()
+    held = rows.join(broadcast_if_small(good), "doc_id").select(judged(F.col("text"), references=found, char_guard=char_guard, word_guard=word_guard).alias("j"))
+    held = written(held.select("j.char_distance", "j.word_distance"), "distances")
+    limits = [_percentile(held, c, 1 - lose) for c in held.columns]
     return found._replace(**{n: math.inf if x is None else math.ceil(x * 10_000) / 10_000 for n, x in zip(("max_char_distance", "max_word_distance"), limits)})
 
 
+def _percentile(rows: DataFrame, column: str, share: float) -> float | None:
+    """The percentile, as ``F.percentile`` has it, of a column of distances (0 to 1): equal ones are counted by steps first, then only those of the steps it lies in, so that no task holds all."""
+    values = rows.select(F.col(column).alias("x")).where("x IS NOT NULL")
+    step = F.floor(F.col("x") * 100_000)
+    steps = sorted(values.groupBy(step.alias("x")).count().collect())
+    if not steps:
+        return None
+    at = (sum(n for _, n in steps) - 1) * share
+    ends = [math.floor(at), math.ceil(at)]
+
+    def reaching(counts: list, start: int, place: int) -> tuple[float, int]:
+        """The first value whose counts, added up from ``start``, go beyond a place, and what came before it."""
+        for value, n in counts:
+            if start + n > place:
+                return value, start
+            start += n
+        return counts[-1][0], start
+
+    first, start = reaching(steps, 0, ends[0])
+    exact = sorted(values.where(step.isin(first, reaching(steps, 0, ends[1])[0])).groupBy("x").count().collect())
+    low, high = (reaching(exact, start, place)[0] for place in ends)
+    return low if low == high else (ends[1] - at) * low + (at - ends[0]) * high
+
+
 def quality_rules(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
     """``docs`` with its columns and those in NAMES, the fields of ``judged``, whose limits can be given.
 

@@ -10,7 +10,7 @@ import pytest
 from jobtide.llm import bloom_model, resampling
 from jobtide.llm.fingerprints import fingerprint, fingerprints, likeness, spliced_fingerprints
 from jobtide.llm.hashed_words import hash_word
-from jobtide.llm.quality_rules import COMMON_WORDS, fit, quality_rules
+from jobtide.llm.quality_rules import COMMON_WORDS, _percentile, fit, quality_rules
 from pyspark.sql import functions as F
 
 
@@ -296,3 +296,28 @@ def test_references_are_fitted_and_limits_calibrated(spark):
     none = fit(docs.limit(0), labels)
     assert none.words == {} and none.max_char_distance == math.inf
     assert quality_rules(docs, references=none).where("char_distance IS NOT NULL OR word_distance IS NOT NULL").count() == 0
+
+
+def test_references_and_limits_come_from_all_rows(spark):
+    rng = random.Random(51)
+    rows = [(i, " ".join(rng.choices([f"k{j}" for j in range(9)], [1 / j for j in range(1, 10)], k=12)).upper()[: 20 + i % 17], "aa") for i in range(7000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 7000, 3)] + [(i, 1, 0) for i in range(1, 7000, 3)], "doc_id long, quality int, toxic int")
+    refs = fit(docs, labels, common=4, char_guard=1, word_guard=1)
+    held = {i for i in range(7000) if i % 3 < 2 and hashlib.md5(str(i).encode()).hexdigest() < "8"}
+    assert len(held) > 2200 and 7000 - len(held) > 2200
+    words = Counter(w for i, t, _ in rows if i not in held for w in t.lower().split())
+    top = sorted(words.items(), key=lambda x: (-x[1], x[0]))[:4]
+    assert refs.words["aa"] == {w: n / sum(words.values()) for w, n in top}
+    judged = quality_rules(docs.where(F.col("doc_id").isin(*held)), references=refs, char_guard=1, word_guard=1)
+    for limit, column in ((refs.max_char_distance, "char_distance"), (refs.max_word_distance, "word_distance")):
+        assert limit == math.ceil(judged.agg(F.percentile(column, F.lit(0.99))).first()[0] * 10_000) / 10_000
+
+
+def test_percentile_is_that_of_spark(spark):
+    rng = random.Random(52)
+    for n, values in ((1, [0.25]), (7, [0.1, 0.3]), (500, None), (501, [0.123456, 0.123457, 0.9])):
+        rows = spark.createDataFrame([(rng.choice(values) if values else rng.random() ** 9,) for _ in range(n)] + [(None,)], "far double").repartition(2)
+        for share in (0.0, 0.37, 0.99, 1.0):
+            assert _percentile(rows, "far", share) == rows.agg(F.percentile("far", F.lit(share))).first()[0]
+    assert _percentile(rows.limit(0), "far", 0.99) is None
