@@ -12,7 +12,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, SparkFiles, TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from jobtide.llm.common import texts_of
 from jobtide.llm.hashed_words import HashedWords, hash_word, mixed
@@ -22,8 +22,9 @@ from jobtide.sources.shared import written
 _END = np.uint64(hash_word(b" "))
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 _RARE = pa.struct([("token", pa.int64()), ("other", pa.int64()), ("known", pa.int64()), ("last", pa.bool_()), ("level", pa.int8()), ("times", pa.int64())])
-#: Weights of the unigrams that fitting tries, and of how many texts it tries them on one.
-_INERTIAS, _TRIED = (2.0, 5.0, 10.0, 20.0, 50.0, 100.0, 200.0, 500.0, 1000.0, 2000.0), 50
+_RARE_TYPE = "array<struct<token: long, other: long, known: long, last: boolean, level: byte, times: long>>"
+#: Weights of the unigrams that fitting tries.
+_INERTIAS = (2.0, 5.0, 10.0, 20.0, 50.0, 100.0, 200.0, 500.0, 1000.0, 2000.0)
 
 
 class BloomModel(NamedTuple):
@@ -73,8 +74,7 @@ def fit(
     1 + floor(log2 n), ``probes`` bits each, in one block of 2^``bits`` bits. The filter has as many blocks as keep half of the bits empty, so it grows with the pairs and none
     stays out. It is sent to every executor as a file, once.
 
-    Without ``inertia`` it is the one of a few that gives the training texts the highest probability, each pair being left out of the counts for its own turn; it is
-    tried on one text in 50, by hash, and on pairs of frequent tokens.
+    Without ``inertia`` it is the one of a few that gives all pairs of all training texts the highest probability, each pair being left out of the counts for its own turn.
     """
     spark = training.sparkSession
     rows = texts_of(training, id_col, text_col).select("text")
@@ -97,7 +97,7 @@ def fit(
     blocks = max(1, math.ceil(entries * probes / (np.log(2) * (1 << bits))))
     made = pairs.withColumn("block", F.shiftrightunsigned("pair", 1) % blocks).groupBy("block").applyInArrow(_table(bits, probes), "block long, bits binary")
     model = BloomModel(sent, counts, total[0] or 0, total[1], _shipped(spark, written(made, "filter"), blocks, bits, probes), inertia or _INERTIAS[-1])
-    return model if inertia else model._replace(inertia=_chosen(rows.where(F.pmod(F.xxhash64("text"), F.lit(_TRIED)) == 0), model))
+    return model if inertia else model._replace(inertia=_chosen(rows, model))
 
 
 def _shipped(spark: SparkSession, made: DataFrame, blocks: int, bits: int, probes: int) -> Filter:
@@ -114,25 +114,41 @@ def _shipped(spark: SparkSession, made: DataFrame, blocks: int, bits: int, probe
 
 
 def _chosen(rows: DataFrame, model: BloomModel) -> float:
-    """The inertia of _INERTIAS under which the pairs of training texts are most probable, each left out of the counts once; the lowest of equal ones."""
-    head, filter_, lowest = model.head, model.filter, model.tokens + 0.5 * (model.different + 1)
+    """The inertia of _INERTIAS under which the pairs of training texts are most probable, each left out of the counts once; the lowest of equal ones.
+
+    A pair's probability is (seen - 1 + inertia * P(w)) / (c(v) - 1 + inertia). Were no pair seen again, the sum of logs would follow from the counts of tokens alone, as each comes first in
+    as many pairs as it has occurrences; to that come log(1 + (seen - 1) / (inertia * P(w))) of the pairs that the filter has seen twice or more, in one pass over the texts.
+    """
+    head, filter_, lowest = model.head, model.filter, float(model.tokens + 0.5 * (model.different + 1))
 
     def run(batches):
-        words, end, sums = HashedWords(_look_up(head.value)), _look_up(head.value)(np.array([_END])), np.zeros(len(_INERTIAS))
+        look_up = _look_up(head.value)
+        words, end = HashedWords(look_up), look_up(np.array([_END]))
         for batch in batches:
             for _, texts in words.batches(batch.column("text"), 2 << 20):
-                tokens, lengths = _bounded(texts, end)
-                before, after = _neighbours(tokens, lengths, end)
-                whole = (before[:, 1] >= 0) & (after[:, 1] >= 0)
-                before, after = before[whole], after[whole]
+                before, after = _neighbours(*_bounded(texts, end), end)
+                pairs = _pair(before[:, 0], after[:, 0])
+                level = _levels(filter_, pairs, 2)
+                again = np.flatnonzero(level > 1)
+                before, after, pairs, level = before[again], after[again], pairs[again], level[again]
                 count, earlier = _often(head.value[1], after[:, 1]), _often(head.value[1], before[:, 1])
-                seen = np.maximum(_seen(_levels(filter_, _pair(before[:, 0], after[:, 0])), earlier, count) - 1, 0)
-                for n, inertia in enumerate(_INERTIAS):
-                    sums[n] += np.log10((seen + inertia * (count + 0.5) / lowest) / (earlier - 1 + inertia)).sum()
-        yield pa.RecordBatch.from_arrays([pa.array(_INERTIAS), pa.array(sums)], ["inertia", "log"])
-
-    tried = rows.mapInArrow(run, "inertia double, log double").groupBy("inertia").agg(F.sum("log").alias("log"))
-    return max(tried.collect(), key=lambda r: (r["log"], -r["inertia"]), default={"inertia": _INERTIAS[-1]})["inertia"]
+                whole = (before[:, 1] >= 0) & (after[:, 1] >= 0)
+                odds = np.maximum(_seen(level[whole], earlier[whole], count[whole]) - 1, 0) * lowest / (count[whole] + 0.5)
+                gains = pa.array([[float(np.log1p(odds / x).sum() / np.log(10)) for x in _INERTIAS]], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([gains, _rare(before, after, earlier, count, pairs, level, np.array([len(again)]))], ["gains", "rare"])
+
+    found = written(rows.mapInArrow(run, f"gains array<double>, rare {_RARE_TYPE}"), "smoothing")
+    n = F.col("n").cast("double")
+    plain = [F.sum(n * (F.log10(x * (n + 0.5) / F.lit(lowest)) - F.log10(n - 1 + x))) for x in _INERTIAS]
+    rare = _with_counts(found.select(F.lit(0).alias("row"), F.explode("rare").alias("r")).select("row", "r.*"), model.counts)
+    odds = F.greatest(F.lit(0.0), _seen_of(F.col("level"), F.col("v"), F.col("w")) - 1) * F.lit(lowest) / (F.col("w") + 0.5)
+    parts = [
+        model.counts.agg(*plain),
+        found.agg(*[F.sum(F.col("gains")[i]) for i in range(len(_INERTIAS))]),
+        rare.agg(*[F.sum(F.col("times") * F.log10(1 + odds / x)) for x in _INERTIAS]),
+    ]
+    sums = [sum(x or 0.0 for x in each) for each in zip(*[part.first() for part in parts])]
+    return max(zip(sums, _INERTIAS), key=lambda x: (x[0], -x[1]))[1] if model.tokens else _INERTIAS[-1]
 
 
 def score(docs: DataFrame, model: BloomModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,19 +166,13 @@ def score(docs: DataFrame, model: BloomModel, id_col: str = "doc_id", text_col:
     parts = rows.mapInArrow(
         _scoring(model),
         f"doc_id {key}, row long, n_tokens long, n_known long, base double, score double, "
-        "rare array<struct<token: long, other: long, known: long, last: boolean, level: byte, times: long>>",
+        f"rare {_RARE_TYPE}",
     )
     parts = written(parts, "scores")
-    rare = parts.select("row", F.explode("rare").alias("r")).select("row", "r.*")
-    n, known = F.coalesce("n", F.lit(0)), F.col("known")
-    one = rare.where("other IS NULL").join(model.counts, "token", "left")
-    one = one.select("row", "last", "level", "times", F.when(F.col("last"), known).otherwise(n).alias("v"), F.when(F.col("last"), n).otherwise(known).alias("w"))
-    two = rare.where("other IS NOT NULL").join(model.counts, "token", "left").select("row", "last", "level", "times", "other", n.alias("w"))
-    two = two.join(model.counts.withColumnRenamed("token", "other"), "other", "left").select("row", "last", "level", "times", n.alias("v"), "w")
-    rare, v, w, inertia = one.unionByName(two), F.col("v"), F.col("w"), F.lit(float(model.inertia))
+    rare = _with_counts(parts.select("row", F.explode("rare").alias("r")).select("row", "r.*"), model.counts)
+    v, w, inertia = F.col("v"), F.col("w"), F.lit(float(model.inertia))
     share = (w + 0.5) / F.lit(float(model.tokens + 0.5 * (model.different + 1)))
-    middle = F.greatest(F.lit(1.0), 1.5 * F.pow(F.lit(2.0), F.col("level") - 1) - 0.5)
-    seen = F.when((F.col("level") > 0) & (w > 0), F.least(middle, v.cast("double"), w.cast("double"))).otherwise(0.0)
+    seen = _seen_of(F.col("level"), v, w)
     log = F.log10(F.when(v > 0, (seen + inertia * share) / (v + inertia)).otherwise(share))
     rare = rare.groupBy("row").agg(
         F.sum(F.col("times") * log).alias("log"),
@@ -179,6 +189,22 @@ def score(docs: DataFrame, model: BloomModel, id_col: str = "doc_id", text_col:
     )
 
 
+def _with_counts(rare: DataFrame, counts: DataFrame) -> DataFrame:
+    """Pairs with a token outside the head (see ``_rare``), with the counts ``v`` and ``w`` of their tokens."""
+    n, known = F.coalesce("n", F.lit(0)), F.col("known")
+    one = rare.where("other IS NULL").join(counts, "token", "left")
+    one = one.select("row", "last", "level", "times", F.when(F.col("last"), known).otherwise(n).alias("v"), F.when(F.col("last"), n).otherwise(known).alias("w"))
+    two = rare.where("other IS NOT NULL").join(counts, "token", "left").select("row", "last", "level", "times", "other", n.alias("w"))
+    two = two.join(counts.withColumnRenamed("token", "other"), "other", "left").select("row", "last", "level", "times", n.alias("v"), "w")
+    return one.unionByName(two)
+
+
+def _seen_of(level: Column, v: Column, w: Column) -> Column:
+    """As ``_seen``, and 0 of a token that was never seen."""
+    middle = F.greatest(F.lit(1.0), 1.5 * F.pow(F.lit(2.0), level - 1) - 0.5)
+    return F.when((level > 0) & (w > 0), F.least(middle, v.cast("double"), w.cast("double"))).otherwise(0.0)
+
+
 def _fitting(parts: list[tuple[int, int]], most: int) -> int:
     """The lowest of the steps, which come from the highest down, for which all down to it add up to ``most`` at most."""
     taken, least = 0, parts[0][0] + 1 if parts else 0
@@ -291,10 +317,10 @@ def _table(bits: int, probes: int):
     return run
 
 
-def _levels(model: Filter, pairs: np.ndarray) -> np.ndarray:
-    """The highest level of each pair up to which every probe succeeds."""
+def _levels(model: Filter, pairs: np.ndarray, first: int = 1) -> np.ndarray:
+    """The highest level of each pair up to which every probe succeeds; those below ``first`` are known to."""
     block = ((pairs >> np.uint64(1)) % np.uint64(model.blocks)).astype(np.int64)
-    return _levels_in(model.table(), block << model.bits - 6, pairs, model.bits, model.probes)
+    return _levels_in(model.table(), block << model.bits - 6, pairs, model.bits, model.probes, first)
 
 
 def _seen(level: np.ndarray, *most: np.ndarray) -> np.ndarray:
@@ -302,9 +328,9 @@ def _seen(level: np.ndarray, *most: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(level > 0, np.maximum(1.0, 1.5 * 2.0 ** (level - 1) - 0.5), 0.0), np.minimum(*most))
 
 
-def _levels_in(table: np.ndarray, start: np.ndarray, pairs: np.ndarray, bits: int, probes: int) -> np.ndarray:
-    level, open_ = np.zeros(len(pairs), dtype=np.int64), np.arange(len(pairs))
-    for j in range(1, 64):
+def _levels_in(table: np.ndarray, start: np.ndarray, pairs: np.ndarray, bits: int, probes: int, lowest: int = 1) -> np.ndarray:
+    level, open_ = np.full(len(pairs), lowest - 1, dtype=np.int64), np.arange(len(pairs))
+    for j in range(lowest, 64):
         first, second = _steps(pairs[open_], j)
         for at in range(probes):
             if not len(open_):

@@ -321,3 +321,25 @@ def test_percentile_is_that_of_spark(spark):
         for share in (0.0, 0.37, 0.99, 1.0):
             assert _percentile(rows, "far", share) == rows.agg(F.percentile("far", F.lit(share))).first()[0]
     assert _percentile(rows.limit(0), "far", 0.99) is None
+
+
+@pytest.mark.parametrize("most_tokens", [1 << 20, 5, 0])
+def test_smoothing_is_that_of_all_pairs(spark, most_tokens):
+    rng = random.Random(61)
+    texts = [" ".join(f"{a}{k} {a}{k}x" for a in rng.choices("abcd", k=20) for k in [rng.randrange(12)]) + f" {i}" for i in range(60)]
+    training = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tokens = [[*t.split(), " "] for t in texts]
+    count = Counter(x for found in tokens for x in found)
+    pairs = Counter(p for found in tokens for p in zip([" ", *found], found))
+    total, different = sum(count.values()), len(count)
+
+    def log(inertia):
+        each = 0.0
+        for (v, w), n in pairs.items():
+            seen = min(max(1.0, 1.5 * 2 ** math.floor(math.log2(n)) - 0.5), count[v], count[w]) - 1
+            each += n * math.log10((seen + inertia * (count[w] + 0.5) / (total + 0.5 * (different + 1))) / (count[v] - 1 + inertia))
+        return each
+
+    want = max(bloom_model._INERTIAS, key=log)
+    assert 2.0 < want < 2000.0
+    assert bloom_model.fit(training, most_tokens=most_tokens, probes=30).inertia == want
