@@ -235,3 +235,25 @@ def test_one_row_of_each_group_stays(spark):
     kept = [(r.doc_id, r.text) for r in without_copies(docs).collect()]
     want = [(3, near), (None, "lonely text of five words or more"), (9, None), (9, None), (10, ""), (None, "no id in this group at all here")]
     assert sorted(kept, key=str) == sorted(want, key=str)
+
+
+def test_only_strings_close_to_where_repeats_end_are_compared_one_by_one(spark, monkeypatch):
+    rows, put = {}, suffixes.written
+
+    def counting(df, label):
+        kept = put(df, label)
+        rows[label] = kept.count()
+        return kept
+
+    monkeypatch.setattr(suffixes, "written", counting)
+    rng = random.Random(71)
+    letters = "abcdefghijklmnop"
+    shared = ["".join(rng.choices(letters, k=700)) for _ in range(12)]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(90, 600))) + shared[i % 12] + "".join(rng.choices(letters, k=rng.randrange(90, 600))) for i in range(48)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: [(x.start, x.stop) for x in r.spans] for r in suffixes.dedup(docs).collect()}
+    for i, text in enumerate(texts):
+        strings = {other[k : k + 400] for j, other in enumerate(texts) if j != i for k in range(len(other) - 399)}
+        found = [k for k in range(len(text) - 399) if text[k : k + 400] in strings]
+        assert got[i] == [(found[0], found[-1] + 400)]
+    assert 0 < rows["strings"] < 48 * 4 * 20  # some 74 for each run before
