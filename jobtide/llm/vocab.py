@@ -56,14 +56,33 @@ def merge_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return keys[order], order.astype(np.int32), made[order], of_byte
 
 
+_SHORT, _NEVER = 48, 1 << 62
+
+
+def _short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    rank_of, n = ranks.get, len(piece)
+    cuts = list(range(n + 1))
+    waiting = [rank_of(piece[i : i + 2], _NEVER) for i in range(n - 1)]
+    while waiting and (lowest := min(waiting)) != _NEVER:
+        i = waiting.index(lowest)
+        del cuts[i + 1], waiting[i]
+        if i:
+            waiting[i - 1] = rank_of(piece[cuts[i - 1] : cuts[i + 1]], _NEVER)
+        if i < len(waiting):
+            waiting[i] = rank_of(piece[cuts[i] : cuts[i + 2]], _NEVER)
+    return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:])]
+
+
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token: join the neighbours of lowest rank, the leftmost first, until none can be joined.
 
-    A heap of candidate joins keeps long pieces at n log n steps.
+    A heap of candidate joins keeps long pieces at n log n steps; short ones are quicker looked through for their lowest rank.
     """
     if (whole := ranks.get(piece)) is not None:
         return [whole]
     n = len(piece)
+    if n <= _SHORT:
+        return _short(piece, ranks)
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
     waiting = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
     heapq.heapify(waiting)

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 from jobtide.llm.byte_bpe import decode, encode
 from jobtide.llm.packing import assign, encoder, pack
 from jobtide.llm.token_counts import count_symbols, token_counts
+from jobtide.llm import vocab
 from jobtide.llm.vocab import merge_piece, read_ranks
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -134,3 +135,13 @@ def test_empty_tables(docs):
 def test_digest_of_ids_is_little_endian(docs):
     row = pack(docs.where("text = 'x'").unionByName(docs.limit(1)), JSON, PATTERN).select("tokens", F.crc32("tokens").alias("c")).first()
     assert zlib.crc32(bytes(row.tokens)) == row.c
+
+
+def test_short_pieces_merge_as_long_ones_do(monkeypatch):
+    ranks, rng = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), random.Random(81)
+    pieces = ["".join(rng.choices("ab'cdethin éß漢01!?", k=rng.randrange(40))).encode() for _ in range(500)]
+    pieces += [bytes(rng.choices(range(256), k=rng.randrange(48))) for _ in range(200)] + [b"a" * k for k in range(vocab._SHORT + 3)]
+    short = [merge_piece(p, ranks) for p in pieces]
+    assert any(len(x) > 5 for x in short)
+    monkeypatch.setattr(vocab, "_SHORT", -1)
+    assert short == [merge_piece(p, ranks) for p in pieces]
