@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from jobtide.schemas import instant
@@ -18,6 +20,9 @@ JOB_UPDATED = 3
 UPDATE_HOURS = 24
 CLOSURE_HOURS = 48
 
+#: Rows that a task of ``run_deltas`` joins and spreads over runs, or so.
+_SPREAD = 2_000_000
+
 
 def hours_before(as_of, hours: int) -> Column:
     return instant(as_of) - F.make_dt_interval(F.lit(0), F.lit(hours))
@@ -163,7 +168,8 @@ def run_deltas(
 
     A run at time t counts the jobs created since the run before it, and the updates and closures whose windows
     still hold t (both ends included); closures are judged by the present status. Events are first counted per
-    job and run slot; only those counts are spread over the runs whose windows they fall in.
+    job and run slot; only those counts are spread over the runs whose windows they fall in. Rows are counted first,
+    so that a task spreads about as many whatever the size of the history.
     """
     step = every_hours * 3_600_000_000
 
@@ -175,7 +181,7 @@ def run_deltas(
         micros = F.unix_micros(moment) + F.lit(hours * 3_600_000_000)
         return ((micros - F.pmod(micros, F.lit(step))) / step).cast("bigint")
 
-    created = jobs.groupBy("company_id", first_run("created_at").alias("run")).agg(F.count("*").alias("new_jobs"))
+    created = jobs.select("company_id", first_run("created_at").alias("run"), F.lit(1).cast("bigint").alias("new_jobs"))
     span = {
         "first": first_run("changed_at"),
         "last_update": last_run("changed_at", update_hours),
@@ -186,19 +192,17 @@ def run_deltas(
         .groupBy("job_id", *span)
         .agg(F.count_if(_is_update()).alias("updates"), F.count_if(F.col("new_status") == "closed").alias("closures"))
     )
-    changed = (
-        jobs.select("job_id", "company_id", "status")
-        .join(per_job, "job_id")
-        .groupBy("company_id", *span)
-        .agg(F.sum("updates").alias("updates"), F.sum(F.when(F.col("status") == "closed", F.col("closures"))).alias("closures"))
-    )
+    # As many parts as the rows need: jobs and runs are met in one step, which combines a company's counts before they move.
+    rows = jobs.count() + history.count() * (1 + max(update_hours, closure_hours) / every_hours)
+    parts = max(1, math.ceil(rows / _SPREAD))
+    owned = jobs.select("job_id", "company_id", "status").repartition(parts, "job_id").join(per_job.repartition(parts, "job_id"), "job_id")
     runs = F.sequence("first", F.greatest("first", "last_update", "last_closure"))
-    spread = changed.withColumn("run", F.explode(runs)).select(
+    spread = owned.withColumn("run", F.explode(runs)).select(
         "company_id",
         "run",
         F.lit(0).cast("bigint").alias("new_jobs"),
         F.when(F.col("run") <= F.col("last_update"), F.col("updates")).otherwise(0).alias("updates"),
-        F.when(F.col("run") <= F.col("last_closure"), F.coalesce("closures", F.lit(0))).otherwise(0).alias("closures"),
+        F.when((F.col("status") == "closed") & (F.col("run") <= F.col("last_closure")), F.col("closures")).otherwise(0).alias("closures"),
     )
     events = created.select("*", F.lit(0).alias("updates"), F.lit(0).alias("closures")).unionByName(spread)
     summed = events.groupBy("company_id", "run").agg(*[F.sum(c).alias(c) for c in ("new_jobs", "updates", "closures")])

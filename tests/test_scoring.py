@@ -110,6 +110,20 @@ def test_run_deltas_equal_scoring_at_every_run(spark):
     assert got == want
 
 
+def test_run_deltas_spread_as_many_rows_a_task_whatever_the_size(spark, monkeypatch):
+    start = datetime(2024, 1, 1)
+    work = [(i, i % 3, "closed", start) for i in range(40)] + [(7, 1, "open", start), (None, 2, "closed", start)]
+    moves = [(i % 41, "open", "closed", start + timedelta(hours=i % 90)) for i in range(200)] + [(None, "open", "closed", start), (3, "open", "closed", None)]
+    table = conform(spark.createDataFrame(work, "job_id long, company_id long, status string, created_at timestamp"), "jobs")
+    log = conform(spark.createDataFrame(moves, "job_id long, old_status string, new_status string, changed_at timestamp"), "job_history")
+    whole = S.run_deltas(table, log, every_hours=24)
+    assert "REPARTITION_BY_NUM" in whole._jdf.queryExecution().toString()
+    monkeypatch.setattr(S, "_SPREAD", 50)
+    cut = S.run_deltas(table, log, every_hours=24)
+    assert "job_id#" in (plan := cut._jdf.queryExecution().toString()) and ", 13), REPARTITION_BY_NUM" in plan  # (42 + 202 * 3) / 50
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect())) != []
+
+
 def test_every_company_comes_in_the_same_parts(spark):
     work = jobs(spark, [(i, 1, "open") for i in range(5000)] + [(1000000, 2, "open")])
     rows = R.company_with_jobs(companies(spark, [(1, 0, 0), (2, 0, 0), (3, 0, 0)]), work, parts=4).collect()
