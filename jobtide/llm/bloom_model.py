@@ -14,12 +14,10 @@ import pyarrow as pa
 from pyspark import Broadcast, SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from jobtide.llm.common import texts_of
-from jobtide.llm.hashed_words import HashedWords, hash_word, mixed
+from jobtide.llm.common import blocks, texts_of
+from jobtide.llm.hashed_words import END, mixed, token_hashes
 from jobtide.sources.shared import written
 
-#: The token that ends a text and stands before its first word. No word holds a blank.
-_END = np.uint64(hash_word(b" "))
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 _RARE = pa.struct([("token", pa.int64()), ("other", pa.int64()), ("known", pa.int64()), ("last", pa.bool_()), ("level", pa.int8()), ("times", pa.int64())])
 _RARE_TYPE = "array<struct<token: long, other: long, known: long, last: boolean, level: byte, times: long>>"
@@ -123,10 +121,10 @@ def _chosen(rows: DataFrame, model: BloomModel) -> float:
 
     def run(batches):
         look_up = _look_up(head.value)
-        words, end = HashedWords(look_up), look_up(np.array([_END]))
+        end = look_up(np.array([END]))
         for batch in batches:
-            for _, texts in words.batches(batch.column("text"), 2 << 20):
-                before, after = _neighbours(*_bounded(texts, end), end)
+            for _, texts in blocks(batch.column("text"), 2 << 20):
+                before, after = _neighbours(*_tokens(texts, look_up), end)
                 pairs = _pair(before[:, 0], after[:, 0])
                 level = _levels(filter_, pairs, 2)
                 again = np.flatnonzero(level > 1)
@@ -222,11 +220,11 @@ def _level(n):
 
 def _counts(batches):
     """Counts of tokens and of pairs of neighbours, added up over many texts."""
-    words, end = HashedWords(lambda h: h), np.array([_END])
+    end = np.array([END])
     tokens, pairs = _Sums(False), _Sums(True)
     for batch in batches:
-        for _, texts in words.batches(batch.column("text"), 1 << 20):
-            found, lengths = _bounded(texts, end)
+        for _, texts in blocks(batch.column("text"), 1 << 20):
+            found, lengths = token_hashes(texts)
             yield from tokens.add(found)
             yield from pairs.add(_pair(*_neighbours(found, lengths, end)))
     yield from tokens.rest()
@@ -236,7 +234,7 @@ def _counts(batches):
 class _Sums:
     """Counts of keys, given out when they get many."""
 
-    def __init__(self, pair: bool, most: int = 1_000_000):
+    def __init__(self, pair: bool, most: int = 2_000_000):
         self._pair, self._most, self._held, self._size = pair, most, [], 0
 
     def add(self, keys: np.ndarray):
@@ -274,10 +272,11 @@ def _look_up(head: tuple[np.ndarray, np.ndarray]):
     return run
 
 
-def _bounded(texts: list[np.ndarray], end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All tokens of the texts one after another, each with its end, and the lengths."""
-    lengths = np.array([len(t) + 1 for t in texts])
-    return np.concatenate([x for t in texts for x in (t, end)]), lengths
+def _tokens(texts: list[str], look_up) -> tuple[np.ndarray, np.ndarray]:
+    """What ``look_up`` gives for all tokens of the texts one after another, each text with its end, and the lengths."""
+    hashes, lengths = token_hashes(texts)
+    different, place = np.unique(hashes, return_inverse=True)
+    return look_up(different)[place], lengths
 
 
 def _neighbours(tokens: np.ndarray, lengths: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -331,13 +330,16 @@ def _seen(level: np.ndarray, *most: np.ndarray) -> np.ndarray:
 def _levels_in(table: np.ndarray, start: np.ndarray, pairs: np.ndarray, bits: int, probes: int, lowest: int = 1) -> np.ndarray:
     level, open_ = np.full(len(pairs), lowest - 1, dtype=np.int64), np.arange(len(pairs))
     for j in range(lowest, 64):
-        first, second = _steps(pairs[open_], j)
+        first, second = _steps(pairs, j)
         for at in range(probes):
             if not len(open_):
                 return level
-            place = (first + np.uint64(at) * second) >> np.uint64(64 - bits)
-            good = (table[start[open_] + (place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)) == 1
-            open_, first, second = open_[good], first[good], second[good]
+            place = first >> np.uint64(64 - bits)
+            word = np.take(table, start + (place >> np.uint64(6)).view(np.int64))
+            good = np.flatnonzero(word >> (place & np.uint64(63)) & np.uint64(1))
+            if len(good) < len(open_):
+                open_, pairs, start, first, second = open_[good], pairs[good], start[good], first[good], second[good]
+            first = first + second
         level[open_] = j
     return level
 
@@ -370,10 +372,10 @@ def _scoring(model: BloomModel):
 
     def run(batches):
         look_up, often, row = _look_up(head.value), head.value[1], TaskContext.get().partitionId() << 40
-        words, end = HashedWords(look_up), look_up(np.array([_END]))
+        end = look_up(np.array([END]))
 
-        def block(texts: list[np.ndarray]) -> tuple:
-            tokens, lengths = _bounded(texts, end)
+        def block(texts: list[str]) -> tuple:
+            tokens, lengths = _tokens(texts, look_up)
             before, after = _neighbours(tokens, lengths, end)
             inside, inner = after[:, 1] >= 0, before[:, 1] >= 0
             count, earlier = _often(often, after[:, 1]), _often(often, before[:, 1])
@@ -400,7 +402,7 @@ def _scoring(model: BloomModel):
             )
 
         for batch in batches:
-            columns = list(zip(*[block(texts) for _, texts in words.batches(batch.column("text"), 2 << 20)])) or [()] * 5
+            columns = list(zip(*[block(texts) for _, texts in blocks(batch.column("text"), 2 << 20)])) or [()] * 5
             n = batch.num_rows
             numbers = [pa.array(np.concatenate(c) if c else [], kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
             rare = pa.concat_arrays(list(columns[4])) if columns[4] else pa.array([], pa.list_(_RARE))

@@ -9,7 +9,7 @@ import pytest
 
 from jobtide.llm import bloom_model, resampling
 from jobtide.llm.fingerprints import fingerprint, fingerprints, likeness, spliced_fingerprints
-from jobtide.llm.hashed_words import hash_word
+from jobtide.llm.hashed_words import END, hash_word, token_hashes
 from jobtide.llm.quality_rules import COMMON_WORDS, _percentile, fit, quality_rules
 from pyspark.sql import functions as F
 
@@ -96,6 +96,21 @@ def test_fingerprints_of_ties_and_odd_rows(spark):
     assert all(r.x in (1.0, None) for r in full)
 
 
+@pytest.mark.parametrize("part", [1, 7, 1 << 20])
+def test_hashes_of_a_block_of_texts_are_those_of_its_words(part):
+    rng = random.Random(3)
+    letters = "aAbBzZéÉ\u00a0\u0085\x00\x1c\U0001f600" + " \t\n\v\f\r" * 2
+    texts = ["", " ", "\n a\r", "ab ba", "x" * 40] + ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(400)]
+    words = [t.encode().lower().split() for t in texts]
+    hashes, lengths = token_hashes(texts, part)
+    assert lengths.tolist() == [len(w) + 1 for w in words]
+    tokens = [x for found in words for x in (*found, None)]
+    name = dict(zip(tokens, hashes.tolist()))
+    assert len(set(name.values())) == len(name) > 500 and [name[x] for x in tokens] == hashes.tolist()
+    assert name[None] == END and token_hashes(texts, 11)[0].tolist() == hashes.tolist()
+    assert [len(x) for x in token_hashes([])] == [0, 0]
+
+
 @pytest.mark.parametrize("settings", [{}, {"most_tokens": 30}, {"bits": 10}])
 def test_scores_against_brute_force(spark, settings):
     rng = random.Random(4)
