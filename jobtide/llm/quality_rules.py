@@ -206,13 +206,16 @@ def _repeated_words(words: Column, width: int = 8) -> Column:
         gaps = let(starts, lambda s: F.transform(s, lambda at, i: F.least(F.lit(width), F.coalesce(F.get(s, i + 1) - at, F.lit(width)))))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(F.aggregate(gaps, F.lit(0), lambda a, b: a + b))
 
-    def windows(each: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(each) - width + 1), lambda i: F.xxhash64(F.slice(each, i, width)))
-
-    hashed = let(F.transform(words, lambda w: F.xxhash64(w)), windows)
+    hashed = let(F.transform(words, lambda w: F.xxhash64(w)), lambda each: _windows(each, width))
     return F.when(F.size(words) <= width, 0).otherwise(let(hashed, of))
 
 
+def _windows(each: Column, width: int) -> Column:
+    """Hashes of all runs of ``width`` values of a longer array, without a copy of each run."""
+    hashes = F.transform(each, lambda x, i: F.xxhash64(x, *[F.get(each, i + k) for k in range(1, width)]))
+    return F.slice(hashes, 1, F.size(each) - width + 1)
+
+
 def _character_histogram(text: Column, inside: Column) -> Column:
     """Numbers of small letters, capitals, digits, spaces, punctuation marks and other characters."""
 

@@ -10,7 +10,7 @@ import pytest
 from jobtide.llm import bloom_model, resampling
 from jobtide.llm.fingerprints import fingerprint, fingerprints, likeness, spliced_fingerprints
 from jobtide.llm.hashed_words import END, hash_word, token_hashes
-from jobtide.llm.quality_rules import COMMON_WORDS, _percentile, fit, quality_rules
+from jobtide.llm.quality_rules import COMMON_WORDS, _percentile, _windows, fit, quality_rules
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,13 @@ def test_base_counts_are_those_of_brute_force(spark):
     assert {i: base(t) for i, t in enumerate(texts)} == got
 
 
+def test_windows_are_hashed_without_copies(spark):
+    values = F.transform(F.sequence(F.lit(1), F.col("id")), lambda x: F.xxhash64(x % 3))
+    copied = F.transform(F.sequence(F.lit(1), F.size(values) - 7), lambda i: F.xxhash64(F.slice(values, i, 8)))
+    rows = spark.range(9, 40).select(_windows(values, 8).alias("got"), copied.alias("want"), F.size(values).alias("n"))
+    assert all(r.got == r.want and len(r.got) == r.n - 7 for r in rows.collect())
+
+
 def test_divergence_tells_junk_from_language(spark):
     rng = random.Random(2)
     good = [english(rng, 120) for _ in range(20)]
