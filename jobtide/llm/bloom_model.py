@@ -329,17 +329,21 @@ def _seen(level: np.ndarray, *most: np.ndarray) -> np.ndarray:
 
 def _levels_in(table: np.ndarray, start: np.ndarray, pairs: np.ndarray, bits: int, probes: int, lowest: int = 1) -> np.ndarray:
     level, open_ = np.full(len(pairs), lowest - 1, dtype=np.int64), np.arange(len(pairs))
+    inside, words = np.uint64(64 - bits), np.uint64(64 - bits + 6)
     for j in range(lowest, 64):
         first, second = _steps(pairs, j)
+        so_far = None
         for at in range(probes):
             if not len(open_):
                 return level
-            place = first >> np.uint64(64 - bits)
-            word = np.take(table, start + (place >> np.uint64(6)).view(np.int64))
-            good = np.flatnonzero(word >> (place & np.uint64(63)) & np.uint64(1))
-            if len(good) < len(open_):
-                open_, pairs, start, first, second = open_[good], pairs[good], start[good], first[good], second[good]
+            good = np.take(table, start + (first >> words).view(np.int64)) >> (first >> inside & np.uint64(63)) & np.uint64(1)
+            so_far = good if so_far is None else so_far & good
+            left = np.count_nonzero(so_far)
             first = first + second
+            # copying pays only where many are done with
+            if left < (len(open_) if at == probes - 1 else 0.8 * len(open_)):
+                keep = np.flatnonzero(so_far)
+                open_, pairs, start, first, second, so_far = open_[keep], pairs[keep], start[keep], first[keep], second[keep], None
         level[open_] = j
     return level
 
